@@ -6,7 +6,7 @@ import importlib
 
 from sondeo.catalog.base import ORACLES, QUERIES
 
-MODULES = ["tables", "text_functions", "retrieval", "evaluation", "judging", "logs", "segments", "sync", "streams"]
+MODULES = ["logs"]
 
 
 def _load() -> None:

@@ -95,9 +95,9 @@ def chunk_key(collection: Column, document: Column, chunk_index: Column) -> Colu
 
 
 def share_text(part: Column, whole: Column) -> Column:
-    """``part / whole (p %)`` with one decimal; zero when the whole is zero."""
+    """``part / whole (p%)`` with one decimal, halves to even; zero when the whole is zero."""
     percent = F.when(whole == 0, F.lit(0.0)).otherwise(part * 100.0 / whole)
-    return F.format_string("%d / %d (%.1f%%)", part.cast("long"), whole.cast("long"), percent)
+    return F.format_string("%d / %d (%.1f%%)", part.cast("long"), whole.cast("long"), F.bround(percent, 1))
 
 
 def render_result(rank, score, collection, document, chunk_index, content, chunk_end=None) -> Column:
