@@ -6,7 +6,7 @@ import importlib
 
 from sondeo.catalog.base import ORACLES, QUERIES
 
-MODULES = ["logs"]
+MODULES = ["retrieval", "evaluation"]
 
 
 def _load() -> None:
