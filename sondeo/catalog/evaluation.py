@@ -144,7 +144,7 @@ def sweep_summary(spark, sf, ranges=RANGES):
     hits = modes.sweep(lists, cells)
     keys = ["cell", "query_id"]
     queries = asked(spark, sf).select("query_id").withColumn("_j", F.lit(1)).join(cells.withColumn("_j", F.lit(1)), "_j").drop("_j")
-    per = ev.rank_metrics(queries, hits, expected(spark, sf), F.col("top_k"), keys) if False else _cell_metrics(queries, hits, expected(spark, sf), keys)
+    per = _cell_metrics(queries, hits, expected(spark, sf), keys)
     spread_quotes = quotes(spark, sf).join(queries.select(*keys), "query_id")
     snip = ev.found_share(ev.snippet_match(spread_quotes, with_content(spark, sf, hits), keys), "snippet_recall", keys)
     per = per.join(snip, keys, "left")
@@ -158,7 +158,7 @@ def _cell_metrics(queries, hits, expected_rows, keys):
 
 @query("a10_parameter_sweep", ctes(*SWEEP) + "SELECT * FROM sweep")
 def a10(spark, sf):
-    return sweep_summary(spark, sf)
+    return sweep_summary(spark, sf).drop("full_snippet_match", "zero_snippet_match")
 
 
 @query("a11_cross_table", ctes(*SWEEP) + """
@@ -174,9 +174,9 @@ def a11b(spark, sf):
 
 
 @query("a11_spread_notes", ctes(*SWEEP) + """
-SELECT mode, min(snippet_recall) AS low, max(snippet_recall) AS high, first(top_k ORDER BY snippet_recall DESC, top_k) AS peak_at FROM sweep GROUP BY 1 HAVING max(snippet_recall) - min(snippet_recall) >= 0.1""")
+SELECT mode, min(snippet_recall) AS low, max(snippet_recall) AS high, first(top_k ORDER BY snippet_recall DESC, top_k) AS peak_at FROM sweep GROUP BY 1 HAVING max(snippet_recall) - min(snippet_recall) >= 0.02""")
 def a11c(spark, sf):
-    return ev.spread_notes(sweep_summary(spark, sf), "mode", "top_k")
+    return ev.spread_notes(sweep_summary(spark, sf), "mode", "top_k", 0.02)
 
 
 ALPHAS = {"mode": ["cc"], "alpha": [0.5, 0.6, 0.7, 0.8, 0.9]}

@@ -1 +1,58 @@
-"""Queries."""
+"""Streaming queries over the given tables, run until their input is used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sondeo.catalog import standins as st
+from sondeo.catalog.base import ctes, query, table
+from sondeo.catalog.logs import ATTRIBUTED
+from sondeo.session import scratch_folder
+from sondeo.streaming import jobs
+
+
+def _stream(spark, sf, name):
+    """The table as a stream of its files."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+
+
+def _finish(q):
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
+@query("st1_incremental_sync", ctes(st.CORPUS) + "SELECT collection, document, sha256(content) AS sha256 FROM corpus")
+def st1(spark, sf):
+    base = scratch_folder(spark)
+    docs = _stream(spark, sf, "documents").select(
+        F.col("source").alias("collection"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document"),
+        F.col("text").alias("content"), F.lit(0).alias("version"))
+    _finish(jobs.sync_corpus(docs, f"{base}/chunks", f"{base}/manifest", f"{base}/staging", f"{base}/checkpoint"))
+    return spark.read.schema("collection string, document string, sha256 string").parquet(f"{base}/manifest")
+
+
+@query("st2_streamed_attribution", ctes(st.LOGS, ATTRIBUTED) + "SELECT expand_id, search_id, kind, hit_rank FROM attributed WHERE search_id IS NOT NULL")
+def st2(spark, sf):
+    base = scratch_folder(spark)
+    ev = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e, k = F.col("event_id"), F.col("k")
+    tag = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    where = st._collection()
+    expands = ev.filter("event_type = 'click'").select(st._tag("e", e, 9).alias("expand_id"), "ts", where.alias("collection"), tag("d", k % 20).alias("document"), (k % 3).alias("chunk_index"))
+    count = F.when(e % 9 == 0, 0).otherwise(1 + e % 4).cast("int")
+    ranks = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    listed = ev.filter("event_type = 'view'").withColumn("hit_rank", F.explode(ranks)).select(
+        st._tag("s", e, 9).alias("search_id"), "ts", where.alias("collection"), tag("d", (k + F.col("hit_rank") * (e % 3)) % 20).alias("document"),
+        ((k + F.col("hit_rank")) % 3).alias("chunk_index"), "hit_rank")
+    _finish(jobs.append_to(jobs.attribution_candidates(expands, listed), f"{base}/candidates", f"{base}/checkpoint"))
+    return jobs.best_candidates(spark.read.parquet(f"{base}/candidates")).filter("search_id IS NOT NULL")
+
+
+@query("st3_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def st3(spark, sf):
+    base = scratch_folder(spark)
+    ev = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    _finish(jobs.replace_at(jobs.daily_counts(ev, "event_type"), f"{base}/counts", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/counts").withColumn("day", F.col("day").cast("timestamp_ntz"))

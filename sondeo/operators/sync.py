@@ -34,27 +34,32 @@ def classify_for_index(current: DataFrame, stored: DataFrame, progress: DataFram
     return current.join(old, DOC, "left").join(whole, DOC, "left").select(*DOC, "sha256", action.alias("action"))
 
 
+def plan_sync(corpus: DataFrame, stored: DataFrame, collections: DataFrame | None = None, removals: bool = True) -> DataFrame:
+    """The diff a sync would apply. In scope are the collections named, else those of the corpus; without ``removals``
+    (a partial delivery) only the documents that arrived."""
+    if not removals:
+        scope = stored.join(corpus.select(*DOC), DOC, "left_semi")
+    else:
+        named = corpus.select("collection").distinct() if collections is None else collections.select("collection").distinct()
+        scope = stored.join(named, "collection", "left_semi")
+    return hash_diff(corpus, scope)
+
+
 def apply_sync(
-    corpus: DataFrame, stored: DataFrame, chunk_table: DataFrame, size: int = chunking.CHUNK_SIZE,
+    corpus: DataFrame, stored: DataFrame, chunk_table: DataFrame, diff: DataFrame, size: int = chunking.CHUNK_SIZE,
     overlap: int = chunking.OVERLAP,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunk table, manifest, report) after a sync. Only added and updated documents are cut again.
+    """(chunk table, manifest, new chunks) after a sync. Only added and updated documents are cut again.
 
-    ``corpus`` holds (collection, document, sha256, content). Collections that the corpus does not mention stay as they
-    are. A document that yields no chunk still gets its hash.
+    ``corpus`` holds (collection, document, sha256, content). A document that yields no chunk still gets its hash.
     """
-    known = corpus.select("collection").distinct()
-    in_scope = stored.join(known, "collection", "left_semi")
-    diff = hash_diff(corpus, in_scope)
     fresh = diff.filter(F.col("change").isin("added", "updated")).select(*DOC)
-    stale = diff.filter(F.col("change").isin("removed", "updated", "added")).select(*DOC)
-    new_chunks = chunking.chunk_documents(corpus.join(fresh, DOC, "left_semi"), size, overlap)
-    kept = chunk_table.join(stale, DOC, "left_anti")
-    table = kept.select(*new_chunks.columns).unionByName(new_chunks)
-    manifest = stored.join(stale, DOC, "left_anti").select(*DOC, "sha256").unionByName(
-        corpus.join(fresh, DOC, "left_semi").select(*DOC, "sha256")
-    )
-    return table, manifest, sync_report(diff, new_chunks)
+    stale = diff.filter(F.col("change") != "unchanged").select(*DOC)
+    arrived = corpus.join(fresh, DOC, "left_semi")
+    new_chunks = chunking.chunk_documents(arrived, size, overlap)
+    table = chunk_table.join(stale, DOC, "left_anti").select(*new_chunks.columns).unionByName(new_chunks)
+    manifest = stored.select(*DOC, "sha256").join(stale, DOC, "left_anti").unionByName(arrived.select(*DOC, "sha256"))
+    return table, manifest, new_chunks
 
 
 def sync_report(diff: DataFrame, new_chunks: DataFrame) -> DataFrame:
@@ -66,34 +71,31 @@ def sync_report(diff: DataFrame, new_chunks: DataFrame) -> DataFrame:
     return counts.join(cut, "collection", "left").fillna(0, ["total_chunks_indexed"])
 
 
+MANIFEST_SCHEMA = "collection string, document string, sha256 string"
+CHUNK_SCHEMA = "collection string, document string, chunk_index int, total_chunks int, content string"
+
+
 def sync_table(corpus: DataFrame, chunk_path: str, manifest_path: str, staging_path: str, size: int = chunking.CHUNK_SIZE,
-               overlap: int = chunking.OVERLAP) -> DataFrame:
-    """Sync Parquet tables in place and return the plan that was applied; the manifest is written last.
+               overlap: int = chunking.OVERLAP, collections: DataFrame | None = None, removals: bool = True) -> DataFrame:
+    """Sync Parquet tables (partitioned by collection) in place and return the diff that was applied.
 
-    Every table is staged first and swapped from its staged copy. A run that stops half-way leaves the manifest old, so
-    the next run finds the same documents to do again.
+    The diff and the new partitions are staged first; the swap reads only staged rows and the manifest is swapped last.
+    A run that stops half-way leaves the old manifest, so the next run finds the same documents to do again.
     """
     spark = corpus.sparkSession
-    manifest_schema = "collection string, document string, sha256 string"
-    chunk_schema = "collection string, document string, chunk_index int, total_chunks int, content string"
 
     def read(path: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(path) if tables._exists(spark, path) else spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(path) if tables.exists(spark, path) else spark.createDataFrame([], schema)
 
-    stored, table = read(manifest_path, manifest_schema), read(chunk_path, chunk_schema)
+    stored, table = read(manifest_path, MANIFEST_SCHEMA), read(chunk_path, CHUNK_SCHEMA)
     diff_path, chunk_stage, manifest_stage = (f"{staging_path}/{n}" for n in ("diff", "chunks", "manifest"))
-    known = corpus.select("collection").distinct()
-    hash_diff(corpus, stored.join(known, "collection", "left_semi")).write.mode("overwrite").parquet(diff_path)
+    plan_sync(corpus, stored, collections, removals).write.mode("overwrite").parquet(diff_path)
     diff = spark.read.parquet(diff_path)
     touched = diff.filter("change <> 'unchanged'").select("collection").distinct()
-    new_table, new_manifest, _ = apply_sync(corpus.join(touched, "collection", "left_semi"), stored.join(touched, "collection", "left_semi"),
-                                            table.join(touched, "collection", "left_semi"), size, overlap)
+    narrow = lambda df: df.join(touched, "collection", "left_semi")
+    new_table, new_manifest, _ = apply_sync(narrow(corpus), narrow(stored), narrow(table), diff, size, overlap)
     new_table.write.mode("overwrite").partitionBy("collection").parquet(chunk_stage)
     new_manifest.write.mode("overwrite").partitionBy("collection").parquet(manifest_stage)
-    for staged, target, schema in ((chunk_stage, chunk_path, chunk_schema), (manifest_stage, manifest_path, manifest_schema)):
-        if not tables._exists(spark, target):
-            spark.createDataFrame([], schema).write.partitionBy("collection").parquet(target)
-        # Collections whose last document went away have no staged partition; their old rows are left out by a full pass.
-        spark.read.schema(schema).parquet(staged).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(target)
+    tables.swap_partitions(touched, chunk_stage, chunk_path, CHUNK_SCHEMA)
+    tables.swap_partitions(touched, manifest_stage, manifest_path, MANIFEST_SCHEMA)
     return diff

@@ -31,3 +31,12 @@ def checkpointed(df, fallback_dir: str | None = None):
             raise ValueError(f"{CHECKPOINT_KEY} is not set and no fallback folder was given")
         spark.sparkContext.setCheckpointDir(fallback_dir)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get(CHECKPOINT_KEY, None)
+    return f"{base.rstrip('/')}/sondeo-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sondeo-")

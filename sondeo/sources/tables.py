@@ -61,24 +61,40 @@ def duplicate_keys(chunks: DataFrame) -> DataFrame:
 
 
 def write_replaced(incoming: DataFrame, table_path: str, staging_path: str) -> None:
-    """Replace documents in a Parquet table partitioned by collection.
-
-    Only the partitions of incoming collections are rewritten. They go to a staging folder first; the swap reads the
-    staged rows, so it can be run again after a failure and never reads what it overwrites.
-    """
+    """Replace documents in a Parquet table partitioned by collection; only partitions of incoming collections move."""
     spark = incoming.sparkSession
     touched = incoming.select("collection").distinct()
-    table = spark.read.schema(incoming.schema).parquet(table_path) if _exists(spark, table_path) else incoming.limit(0)
+    table = spark.read.schema(incoming.schema).parquet(table_path) if exists(spark, table_path) else incoming.limit(0)
     affected = table.join(touched, "collection", "left_semi")
     replace_documents(affected, incoming).write.mode("overwrite").partitionBy("collection").parquet(staging_path)
-    staged = spark.read.schema(incoming.schema).parquet(staging_path)
+    swap_partitions(touched, staging_path, table_path, incoming.schema)
+
+
+def swap_partitions(touched: DataFrame, staging_path: str, table_path: str, schema) -> None:
+    """Overwrite the staged partitions, and drop those of touched collections that have no staged row left.
+
+    Reads only staged rows, so it can be run again after a failure. Collections are named by people in a manifest; the
+    emptied ones among them are the only names that reach the driver.
+    """
+    spark = touched.sparkSession
+    staged = spark.read.schema(schema).parquet(staging_path)
+    emptied = touched.join(staged.select("collection").distinct(), "collection", "left_anti")
+    names = [row["collection"] for row in emptied.toLocalIterator()]
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(table_path)
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for name in names:
+        system, target = _resolve(spark, f"{table_path}/collection={escape(name)}")
+        system.delete(target, True)
+
+
+def _resolve(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _resolve(spark, path)
+    return system.exists(target)
 
 
 def upsert_collections(stored: DataFrame, stats: DataFrame) -> DataFrame:
