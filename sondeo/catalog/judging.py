@@ -111,14 +111,12 @@ SELECT_CLAIMS = f"SELECT claim, wins, losses, ties, round(mean_first, 6) AS mean
 
 @query("a14_paired_comparison", ctes(*ALL, claims_sql([("guided or logged", "G@12", "A@12", "asp")])) + SELECT_CLAIMS)
 def a14(spark, sf):
-    pairs = spark.createDataFrame([("guided or logged", "G@12", "A@12", "asp")], "claim string, first string, second string, measure string")
-    return rounded(jd.compare_lists(metrics(spark, sf), pairs), "mean_first", "mean_second")
+    return rounded(jd.compare_lists(metrics(spark, sf), [("guided or logged", "G@12", "A@12", "asp")]), "mean_first", "mean_second")
 
 
 @query("a18_claims", ctes(*ALL, claims_sql(CLAIMS)) + SELECT_CLAIMS)
 def a18(spark, sf):
-    pairs = spark.createDataFrame(CLAIMS, "claim string, first string, second string, measure string")
-    return rounded(jd.compare_lists(metrics(spark, sf), pairs), "mean_first", "mean_second")
+    return rounded(jd.compare_lists(metrics(spark, sf), CLAIMS), "mean_first", "mean_second")
 
 
 HIT_SUMS = ", ".join(f"coalesce(sum(hit) FILTER (list = '{a}@{b}'), 0)::BIGINT AS hit_{a.lower()}_{b}" for a in ("A", "G") for b in jd.BUDGETS)

@@ -70,15 +70,15 @@ def _tail(current: str, overlap: int) -> str:
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, content: str = "content") -> DataFrame:
     """(collection, document, content) to chunk rows with index and total; an empty document yields none.
 
-    The cutter is a sequential scan of one text, so it runs as an Arrow batch function over rows; documents are spread
-    by key first, because a few scan files may hold many long texts.
+    The cutter is a sequential scan of one text, so it runs as an Arrow batch function over rows, in the partitions the
+    documents come in (see ``sources.corpus.spread`` for scans with too few of them).
     """
 
     @F.pandas_udf("array<string>")
     def cut(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: cut_text(b, size, overlap) if b else [])
 
-    cut_up = docs.repartition(*DOC).select(*DOC, cut(F.col(content)).alias("_chunks"))
+    cut_up = docs.select(*DOC, cut(F.col(content)).alias("_chunks"))
     return enrich(cut_up, "_chunks")
 
 

@@ -190,38 +190,50 @@ def _outcomes(a: Column, b: Column) -> list[Column]:
             F.count_if(~F.coalesce(decided, F.lit(False))).alias("ties")]
 
 
-def measures_long(metrics: DataFrame, measures: list[str]) -> DataFrame:
-    """(need_id, list, measure, value)"""
-    return metrics.unpivot(["need_id", "list"], measures, "measure", "value") if len({metrics.schema[m].dataType for m in measures}) == 1 else (
-        metrics.select("need_id", "list", *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(["need_id", "list"], measures, "measure", "value"))
-
-
-def compare_lists(metrics: DataFrame, pairs: DataFrame, groups: list[str] = ["claim"]) -> DataFrame:
-    """Wins, losses, ties, verdict and means for each pair (claim, first, second, measure) over needs that have both lists."""
-    long = measures_long(metrics, ["hit", "rel", "p", "asp", "reldocs"])
-    side = lambda n: long.select("need_id", F.col("list").alias(n), "measure", F.col("value").alias(f"{n}_value"))
-    j = pairs.join(side("first"), ["first", "measure"]).join(side("second"), ["need_id", "second", "measure"])
-    a, b = F.col("first_value"), F.col("second_value")
-    return j.groupBy(*groups).agg(*_outcomes(a, b), F.coalesce(F.avg(a), F.lit(0.0)).alias("mean_first"), F.coalesce(F.avg(b), F.lit(0.0)).alias("mean_second")).withColumn(
+def _lists_of_needs(metrics: DataFrame) -> DataFrame:
+    """One row per need with its metrics by list name; the named lists are some thirty, whatever the size of the log."""
+    values = F.struct(*[F.col(m).cast("double").alias(m) for m in ("hit", "rel", "p", "asp", "reldocs")])
+    return metrics.groupBy("need_id").agg(F.map_from_entries(F.collect_list(F.struct("list", values))).alias("by_list"))
+
+
+def compare_lists(metrics: DataFrame, claims: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Wins, losses, ties, verdict and means for each (claim, first, second, measure) over needs that have both lists."""
+    per = _lists_of_needs(metrics)
+    lists = F.col("by_list")
+    rows = F.array(*[F.struct(
+        F.lit(claim).alias("claim"), (F.map_contains_key(lists, F.lit(one)) & F.map_contains_key(lists, F.lit(two))).alias("both"),
+        lists[one][measure].alias("a"), lists[two][measure].alias("b")) for claim, one, two, measure in claims])
+    j = per.select(F.explode(rows).alias("r")).select("r.*").filter("both")
+    a, b = F.col("a"), F.col("b")
+    return j.groupBy("claim").agg(*_outcomes(a, b), F.coalesce(F.avg(a), F.lit(0.0)).alias("mean_first"), F.coalesce(F.avg(b), F.lit(0.0)).alias("mean_second")).withColumn(
         "verdict", verdict(F.col("wins"), F.col("losses")))
 
 
+# The strategy comparisons (name, first list, second list, intent of the needs or none for all).
+STRATEGIES = [("all", "S@3", "A@12", None), ("recall_only", "S@3", "A@12", "recall"), ("precision_only", "S@3", "A@12", "precision"),
+              ("multiplicity_control", "S@3", "G@12", None), ("shape_control", "G@12", "A@12", None)]
+
+
 def strategy_decisions(metrics: DataFrame, needs: DataFrame) -> DataFrame:
     """Adopt the first list? At least all but one hit of the second, a larger aspect mean, and more wins than losses.
 
     Five comparisons: siblings against logged for all, recall and precision needs, siblings and guided as controls.
     """
-    subsets = [("all", "S@3", "A@12", None), ("recall_only", "S@3", "A@12", "recall"), ("precision_only", "S@3", "A@12", "precision"),
-               ("multiplicity_control", "S@3", "G@12", None), ("shape_control", "G@12", "A@12", None)]
-    pairs = metrics.sparkSession.createDataFrame(subsets, "comparison string, first string, second string, intent string")
     kind = F.when(F.col("intent") == "recall", "recall").otherwise("precision")
-    typed = metrics.join(needs.select("need_id", kind.alias("kind")), "need_id")
-    side = lambda n: typed.select("need_id", "kind", F.col("list").alias(n), F.col("hit").alias(f"{n}_hit"), F.col("asp").alias(f"{n}_asp"))
-    j = pairs.join(side("first"), "first").join(side("second").drop("kind"), ["need_id", "second"]).filter(
-        F.col("intent").isNull() | (F.col("intent") == F.col("kind")))
+    per = _lists_of_needs(metrics).join(needs.select("need_id", kind.alias("kind")), "need_id")
+    lists = F.col("by_list")
+
+    def row(name, one, two, intent):
+        usable = F.map_contains_key(lists, F.lit(one)) & F.map_contains_key(lists, F.lit(two))
+        if intent:
+            usable = usable & (F.col("kind") == intent)
+        return F.struct(F.lit(name).alias("comparison"), usable.alias("usable"), lists[one]["hit"].alias("ha"), lists[two]["hit"].alias("hb"),
+                        lists[one]["asp"].alias("a"), lists[two]["asp"].alias("b"))
+
+    j = per.select(F.explode(F.array(*[row(*s) for s in STRATEGIES])).alias("r")).select("r.*").filter("usable")
     agg = j.groupBy("comparison").agg(
-        F.sum("first_hit").alias("hit_s"), F.sum("second_hit").alias("hit_a"), F.coalesce(F.avg("first_asp"), F.lit(0.0)).alias("asp_mean_s"),
-        F.coalesce(F.avg("second_asp"), F.lit(0.0)).alias("asp_mean_a"), *_outcomes(F.col("first_asp"), F.col("second_asp")))
+        F.sum("ha").cast("long").alias("hit_s"), F.sum("hb").cast("long").alias("hit_a"), F.coalesce(F.avg("a"), F.lit(0.0)).alias("asp_mean_s"),
+        F.coalesce(F.avg("b"), F.lit(0.0)).alias("asp_mean_a"), *_outcomes(F.col("a"), F.col("b")))
     adopt = (F.col("hit_s") >= F.col("hit_a") - HIT_TOLERANCE) & (F.round("asp_mean_s", 12) > F.round("asp_mean_a", 12)) & (F.col("wins") > F.col("losses"))
     return agg.withColumn("adopt", adopt)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sondeo.functions import logs, ordered
 from sondeo.operators.filters import LOG_FAILURE_CODES
+from sondeo.session import checkpointed
 
 # Margins, windows, ranks and limits of the report.
 JOIN_MARGIN_US = 2_000_000
@@ -41,40 +42,43 @@ def with_project(calls: DataFrame, projects: DataFrame) -> DataFrame:
 
 # -- joins ---------------------------------------------------------------------------------------------------------------
 
-def join_calls_to_searches(calls: DataFrame, log: DataFrame, call_id: str, tie: str) -> DataFrame:
+def join_calls_to_searches(calls: DataFrame, log: DataFrame, call_id: str, tie: str, scratch: str | None = None) -> DataFrame:
     """(call_id, search_id): calls in time order each take the earliest unused search of the same key in their window.
 
     Windows that overlap in a chain form an island; islands of a key do not influence each other. Islands of one call,
     the usual case, are solved by a join and a minimum. Only longer chains need the sequential pass, island by island, so
     a hot key is spread over its islands. Calls without a result never match.
+
+    The two narrow intermediate tables are read several times and therefore checkpointed (``scratch``: folder to use
+    where the cluster names none).
     """
     us = logs.micros
     timed = calls.filter(F.col("result_ts").isNotNull()).select(
         F.col(call_id).alias("call_id"), F.col(tie).alias("tie"), *SEARCH_KEY,
         (us(F.col("tool_use_ts")) - JOIN_MARGIN_US).alias("lo"), (us(F.col("result_ts")) + JOIN_MARGIN_US).alias("hi"),
     )
-    reach = ordered.largest_before(timed, timed, SEARCH_KEY, "lo", "lo", F.col("hi"), HOUR_US, "reach", strict=True)
+    reach = checkpointed(
+        ordered.largest_before(timed, timed, SEARCH_KEY, "lo", "lo", F.col("hi"), HOUR_US, "reach", strict=True), scratch)
     heads = reach.filter(F.col("reach").isNull() | (F.col("reach") < F.col("lo"))).select(*SEARCH_KEY, "lo").distinct()
-    placed = ordered.largest_before(timed, heads, SEARCH_KEY, "lo", "lo", F.col("lo"), HOUR_US, "island")
-    records = log.select("search_id", *SEARCH_KEY, us(F.col("ts")).alias("at"))
-    found = ordered.largest_before(records, heads, SEARCH_KEY, "at", "lo", F.col("lo"), HOUR_US, "island")
-    found = found.filter(F.col("island").isNotNull())
-
-    group = [*SEARCH_KEY, "island"]
-    sizes = placed.groupBy(*group).agg(F.count("*").alias("n_calls"))
-    sized = _null_safe_join(placed, sizes, group, ["n_calls"])
-    single = sized.filter("n_calls = 1")
-    pairs = single.join(found.select(*[F.col(c).alias(f"r_{c}") for c in group], "search_id", "at"),
-                        _equal(group, "r_") & F.col("at").between(F.col("lo"), F.col("hi")))
-    direct = pairs.groupBy("call_id").agg(F.min(F.struct("at", "search_id")).alias("m")).select("call_id", "m.search_id")
-
-    chained = sized.filter("n_calls > 1").select(*group, "call_id", "tie", "lo", "hi",
-                                                 F.lit(None).cast("string").alias("search_id"), F.lit(None).cast("long").alias("at"))
-    multi = chained.select(*group).distinct()
-    wanted = _null_safe_join(found, multi.withColumn("_m", F.lit(True)), group, ["_m"]).filter("_m").select(
-        *group, *[F.lit(None).cast(chained.schema[c].dataType).alias(c) for c in ("call_id", "tie", "lo", "hi")], "search_id", "at")
-    call_type = chained.schema["call_id"].dataType.simpleString()
-    greedy = chained.unionByName(wanted).groupBy(*group).applyInPandas(_take_in_order, f"call_id {call_type}, search_id string")
+    none = lambda kind: F.lit(None).cast(kind)
+    call_type = reach.schema["call_id"].dataType.simpleString()
+    tie_type = reach.schema["tie"].dataType.simpleString()
+    # Calls and searches as one table of points, each placed on its island: "lo" is set for calls, "at" for searches.
+    points = reach.select(*SEARCH_KEY, F.col("lo").alias("pos"), "call_id", "tie", "lo", "hi", none("string").alias("search_id"), none("long").alias("at")).unionByName(
+        log.select(*SEARCH_KEY, us(F.col("ts")).alias("pos"), none(call_type).alias("call_id"), none(tie_type).alias("tie"),
+                   none("long").alias("lo"), none("long").alias("hi"), "search_id", us(F.col("ts")).alias("at")))
+    placed = ordered.largest_before(points, heads, SEARCH_KEY, "pos", "lo", F.col("lo"), HOUR_US, "island").filter(F.col("island").isNotNull())
+    # Unions of keys into one text spare the null-safe comparisons of the group key from here on.
+    group = F.concat_ws("|", F.to_json(F.struct(*SEARCH_KEY)), F.col("island").cast("string"))
+    members = checkpointed(placed.select(group.alias("group"), "call_id", "tie", "lo", "hi", "search_id", "at"), scratch)
+
+    sizes = members.groupBy("group").agg(F.count("call_id").alias("n_calls"), F.count("search_id").alias("n_records")).filter("n_calls > 0 AND n_records > 0")
+    single = members.filter("lo IS NOT NULL").join(sizes.filter("n_calls = 1").select("group"), "group", "left_semi").select("group", "call_id", "lo", "hi")
+    records = members.filter("at IS NOT NULL").select("group", "search_id", "at")
+    direct = single.join(records, "group").filter(F.col("at").between(F.col("lo"), F.col("hi"))).groupBy("call_id").agg(
+        F.min(F.struct("at", "search_id")).alias("m")).select("call_id", "m.search_id")
+    chained = members.join(sizes.filter("n_calls > 1").select("group"), "group", "left_semi")
+    greedy = chained.groupBy("group").applyInPandas(_take_in_order, f"call_id {call_type}, search_id string")
     return direct.unionByName(greedy)
 
 
@@ -92,18 +96,6 @@ def _take_in_order(island: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["call_id", "search_id"])
 
 
-def _equal(keys: list[str], prefix: str):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
-    return cond
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], *extra)
-    return left.join(r, _equal(keys, "r_"), "left").drop(*[f"r_{k}" for k in keys])
-
-
 def attribute_expands(expands: DataFrame, log: DataFrame, hits: DataFrame, window_us: int = EXPAND_WINDOW_US) -> DataFrame:
     """Each expand with the latest search of its collection, at most an hour old, that listed the chunk, else the document.
 

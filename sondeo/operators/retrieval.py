@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondeo.functions import ordered
 from sondeo.operators import filters
@@ -200,18 +200,19 @@ def exploded_map(df: DataFrame, keys: list[str], sparse: str) -> DataFrame:
 def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8) -> DataFrame:
     """Cosine of sparse vectors in long form: queries (query_id, dim, weight), chunks (key, dim, weight).
 
-    An equality join on the dimension touches only chunks that share one with the query; chunks that share none would
-    score 0 and are left out. A dimension found in very many chunks is spread by salting the chunk side.
+    Both sides are scaled to unit length first, inside the vectors they belong to (a vector has at most as many rows as
+    active dimensions), so the products only need to be summed. The equality join on the dimension touches only chunks
+    that share one with the query; chunks that share none would score 0 and are left out. A dimension found in very many
+    chunks is spread by salting the chunk side.
     """
-    def norms(df, keys): return df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    def unit(df, keys):
+        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys)))
+        return df.withColumn("weight", F.col("weight") / norm)
 
-    asked = queries.select("query_id", "dim", F.col("weight").alias("qw")).withColumn(
+    asked = unit(queries, ["query_id"]).select("query_id", "dim", F.col("weight").alias("qw")).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    stored = chunks.withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(salt)).cast("int"))
-    dots = stored.join(asked, ["dim", "_salt"]).groupBy("query_id", *KEY).agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
-    cn = norms(chunks, KEY).withColumnRenamed("norm", "cn")
-    qn = norms(queries, ["query_id"]).withColumnRenamed("norm", "qn")
-    scored = dots.join(cn, KEY).join(qn, "query_id").withColumn("raw", F.round(F.col("dot") / (F.col("cn") * F.col("qn")), 9))
+    stored = unit(chunks, KEY).withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(salt)).cast("int"))
+    scored = stored.join(asked, ["dim", "_salt"]).groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("raw"))
     best = ordered.top_k(scored, ["query_id"], [F.desc("raw"), *[F.asc(x) for x in KEY]], k)
     return best.select("query_id", "rank", *KEY, F.round("raw", 4).alias("score"))
 
@@ -268,5 +269,4 @@ def production_search(queries: DataFrame, chunks: DataFrame, score_pairs, candid
 
 def with_ranks(hits: DataFrame, keys: list[str] = ["query_id"], tie: list[str] = KEY) -> DataFrame:
     """1-based positions by falling score. A result list is as long as its search depth."""
-    from pyspark.sql import Window
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), *[F.asc(c) for c in tie])))

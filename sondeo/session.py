@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -24,19 +27,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def checkpointed(df, fallback_dir: str | None = None):
-    """Cut the lineage in the shared folder the cluster names; ``fallback_dir`` serves only where none is set (tests)."""
+    """Cut the lineage in the shared folder the cluster names. Where none is set, as in tests, a folder is made up."""
     spark = df.sparkSession
-    if not spark.conf.get(CHECKPOINT_KEY, None):
-        if not fallback_dir:
-            raise ValueError(f"{CHECKPOINT_KEY} is not set and no fallback folder was given")
-        spark.sparkContext.setCheckpointDir(fallback_dir)
+    if not spark.conf.get(CHECKPOINT_KEY, None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(fallback_dir or tempfile.mkdtemp(prefix="sondeo-"))
     return df.checkpoint(eager=True)
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder; a temporary one only where none is set, as in tests."""
-    import tempfile
-    import uuid
-
     base = spark.conf.get(CHECKPOINT_KEY, None)
     return f"{base.rstrip('/')}/sondeo-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sondeo-")

@@ -94,3 +94,14 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.select(
         "collection", "document", F.sha2("bytes", 256).alias("sha256"), F.col("bytes").cast("string").alias("content")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for a scan that yields fewer partitions than there are cores (one file, one row group).
+
+    Meant for file scans in front of costly row work: a table with many splits passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
