@@ -9,6 +9,13 @@ from sondeo.catalog.base import ORACLES, QUERIES
 MODULES = ["tables", "text_functions", "retrieval", "evaluation", "judging", "logs", "segments", "sync", "streams"]
 
 
+# Columns that Spark types as int where DuckDB's counters are BIGINT.
+INT_COLUMNS = {name: ["rank"] for name in (
+    "r01_dense_top_k", "r01_filtered_dense", "r02_sparse_top_k", "r02_sparse_text_search", "r03_lexical_top_k", "r04_reciprocal_rank_fusion",
+    "r04_fusion_of_order_lines", "r05_convex_combination", "r06_rerank", "r07_production_search", "r14_mode_comparison", "w01_rank_assignment",
+    "a08_snippet_match", "a10_alpha_sweep")} | {"a34_output_sizes": ["max_value", "median", "p90"]}
+
+
 def _load() -> None:
     for name in MODULES:
         importlib.import_module(f"sondeo.catalog.{name}")
@@ -21,4 +28,8 @@ def queries():
 
 def oracles():
     _load()
-    return dict(ORACLES)
+    out = dict(ORACLES)
+    for name, columns in INT_COLUMNS.items():
+        casts = ", ".join(f"{c}::INT AS {c}" for c in columns)
+        out[name] = f"SELECT * REPLACE ({casts}) FROM ({out[name]})"
+    return out

@@ -139,11 +139,11 @@ SWEEP = (st.VECTORS, WORDED, EXPECTED, DENSE_ALL, DENSE, SPARSE_ALL, SPARSE, fus
 
 
 def sweep_summary(spark, sf, ranges=RANGES):
-    cells = modes.grid(spark, ranges, CONFIG)
+    cells = modes.grid(ranges, CONFIG)
     lists = {"dense": dense50(spark, sf), "sparse": sparse50(spark, sf)}
     hits = modes.sweep(lists, cells)
     keys = ["cell", "query_id"]
-    queries = asked(spark, sf).select("query_id").withColumn("_j", F.lit(1)).join(cells.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    queries = modes.with_cells(asked(spark, sf).select("query_id"), cells, ["cell", *dict.fromkeys([*ranges, "top_k"])])
     per = _cell_metrics(queries, hits, expected(spark, sf), keys)
     spread_quotes = quotes(spark, sf).join(queries.select(*keys), "query_id")
     snip = ev.found_share(ev.snippet_match(spread_quotes, with_content(spark, sf, hits), keys), "snippet_recall", keys)
@@ -186,7 +186,7 @@ ALPHAS = {"mode": ["cc"], "alpha": [0.5, 0.6, 0.7, 0.8, 0.9]}
        "dca AS (SELECT cell, alpha, dsc.* FROM dsc CROSS JOIN alphas)", "sca AS (SELECT cell, alpha, ssc.* FROM ssc CROSS JOIN alphas)",
        fused_sql("fused", "cell, alpha, query_id", CC_RAW.format(a="alpha"), "dca", "sca", 12)) + f"SELECT cell, query_id, rank, {K}, score FROM fused")
 def a10b(spark, sf):
-    cells = modes.grid(spark, ALPHAS, CONFIG)
+    cells = modes.grid(ALPHAS, CONFIG)
     return modes.sweep({"dense": dense50(spark, sf), "sparse": sparse50(spark, sf)}, cells)
 
 
@@ -211,8 +211,8 @@ def dimension_found(spark, sf):
         dense = retrieval.dense_top_k(q.withColumn("embedding", retrieval.truncated(F.col("embedding"), dim)), c.withColumn("embedding", F.slice("embedding", 1, dim)), 50)
         both = dense.filter("rank <= 10").withColumn("mode", F.lit("dense")).unionByName(fusion.reciprocal_rank(dense, sparse, k=10).withColumn("mode", F.lit("hybrid"))).withColumn("dim", F.lit(dim))
         hits = both if hits is None else hits.unionByName(both)
-    cells = spark.createDataFrame([(m, d) for m in ("dense", "hybrid") for d in DIMS], "mode string, dim int").withColumn("_j", F.lit(1))
-    wanted = expected_documents(spark, sf).withColumn("_j", F.lit(1)).join(cells, "_j").drop("_j")
+    cells = modes.grid({"mode": ["dense", "hybrid"], "dim": DIMS}, {})
+    wanted = modes.with_cells(expected_documents(spark, sf), cells, ["mode", "dim"]).withColumn("dim", F.col("dim").cast("int"))
     keys = ["mode", "dim", "query_id"]
     return ev.document_match(wanted, hits, keys).groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("found").alias("doc_found")).join(
         asked(spark, sf).select("query_id", "type"), "query_id")

@@ -79,7 +79,7 @@ searches AS (
   FROM ev WHERE event_type = 'view'),
 hits AS (
   SELECT search_id, r::INT AS rank, 'd' || ((k + r * (event_id % 3)) % 20)::VARCHAR AS document, ((k + r) % 3)::INT AS chunk_index,
-         round(0.99 - 0.07 * r - 0.001 * (event_id % 50), 4) AS score
+         round(0.99::DOUBLE - 0.07::DOUBLE * r - 0.001::DOUBLE * (event_id % 50), 4) AS score
   FROM searches, unnest(range(1, hit_count + 1)) AS t(r)),
 expands AS (
   SELECT 'e' || lpad(event_id::VARCHAR, 9, '0') AS expand_id, ts, 'v2' AS code_version, {COLLECTION_SQL} AS collection,

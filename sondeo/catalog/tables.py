@@ -28,7 +28,7 @@ def s01(spark, sf):
     files = table(spark, sf, "pages").select("page_id", path.alias("document"), F.encode("html", "UTF-8").alias("bytes"))
     globs = spark.createDataFrame(
         [("web", "http*/*.com/**/*.md"), ("web", "http*/**/*[0-4].md"), ("all", "**.md")], "collection string, glob string"
-    ).withColumn("regex", F.udf(corpus_source.glob_regex, "string")("glob"))
+    ).withColumn("regex", corpus_source.glob_regex(F.col("glob")))
     picked = corpus_source.select_files(files, globs)
     return picked.select("collection", "page_id", "document", F.sha2("bytes", 256).alias("sha256"))
 

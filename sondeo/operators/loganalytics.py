@@ -326,13 +326,12 @@ def reference_collections(related: DataFrame) -> DataFrame:
 def attempts(joined: DataFrame, unjoined: DataFrame, searches: DataFrame) -> DataFrame:
     """One row: attempts, executed with a log row, refused, executed without one, and searches that no call explains."""
     blocked = logs.command_state(F.col("result_text")) == "hook_blocked"
-    j = joined.agg(F.count("*").alias("executed_with_log_row"))
+    executed = joined.agg(F.count("*")).scalar()
+    lost = searches.join(joined.select("search_id"), "search_id", "left_anti").agg(F.count("*")).scalar()
     u = unjoined.agg(F.count("*").alias("u"), F.count_if(blocked).alias("hook_blocked"))
-    s = searches.join(joined.select("search_id"), "search_id", "left_anti").agg(F.count("*").alias("searches_without_call"))
-    one_row = j.withColumn("k", F.lit(1)).join(u.withColumn("k", F.lit(1)), "k").join(s.withColumn("k", F.lit(1)), "k")
-    return one_row.select(
-        (F.col("executed_with_log_row") + F.col("u")).alias("attempts"), "executed_with_log_row", "hook_blocked",
-        (F.col("u") - F.col("hook_blocked")).alias("executed_without_log_row"), "searches_without_call")
+    return u.select(
+        (executed + F.col("u")).alias("attempts"), executed.alias("executed_with_log_row"), "hook_blocked",
+        (F.col("u") - F.col("hook_blocked")).alias("executed_without_log_row"), lost.alias("searches_without_call"))
 
 
 def refusals_by_hook(unjoined: DataFrame) -> DataFrame:
@@ -406,20 +405,21 @@ def size_summary(sizes: DataFrame) -> DataFrame:
 def overflow_probability(sizes: DataFrame, ks: list[int], chains: list[int], draws: int, limit: int, seed: int) -> DataFrame:
     """Share of bootstrap draws (k results times chain searches, with replacement) above the limit, and median bytes.
 
-    Picks are arithmetic: a hash of (seed, k, chain, draw, slot) modulo the number of sizes. Sizes are first reduced to
-    their distinct (chars, bytes) pairs, whose cumulative counts turn a pick into a range lookup, so the job is as
-    large as the number of draws, whatever the length of the log.
+    Picks are arithmetic: 48 bits of an MD5 over (seed, k, chain, draw, slot), modulo the number of sizes. Sizes are first
+    reduced to their distinct (chars, bytes) pairs, whose cumulative counts turn a pick into an as-of lookup, so the job is
+    as large as the number of draws, whatever the length of the log.
     """
     spark = sizes.sparkSession
     pairs = sizes.groupBy("chars", "bytes").agg(F.count("*").alias("c"))
     order = Window.orderBy("chars", "bytes")  # distinct size pairs only
     upto = pairs.withColumn("lo", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
-    total = pairs.agg(F.sum("c").alias("n"))
+    total = sizes.agg(F.count("*")).scalar()
     grid = spark.range(draws).select(F.col("id").alias("draw")).withColumn(
         "k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("chain", F.explode(F.array(*[F.lit(c) for c in chains])))
     slots = grid.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("k") * F.col("chain"))))
-    code = F.abs(F.hash(F.lit(seed), "k", "chain", "draw", "slot").cast("long"))
-    picks = slots.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").withColumn("pick", F.pmod(code, F.col("n"))).drop("one", "n")
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("k", "chain", "draw", "slot")])
+    code = F.conv(F.left(F.md5(text), F.lit(12)), 16, 10).cast("long")
+    picks = slots.withColumn("pick", F.pmod(code, total))
     # Pick -> size: as-of lookup of the last pair that starts at or before the pick.
     width = 4096
     sized = ordered.largest_before(picks, upto, [], "pick", "lo", F.struct("lo", "chars", "bytes"), width, "s")

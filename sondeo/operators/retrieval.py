@@ -232,11 +232,11 @@ def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8)
     q_terms = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     wanted = q_terms.select("term").distinct()
     tokens = chunks.select(*KEY, terms(F.col("content")).alias("_t")).withColumn("length", F.size("_t"))
-    corpus = tokens.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
+    corpus = tokens.agg(F.struct(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length")).alias("c")).scalar()
     tf = tokens.select(*KEY, "length", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy(
         *KEY, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = q_terms.join(df, "term").withColumn("_one", F.lit(1)).join(corpus.withColumn("_one", F.lit(1)), "_one").select(
+    weighted = q_terms.join(df, "term").withColumn("_c", corpus).select("query_id", "term", "df", "_c.*").select(
         "query_id", "term", "mean_length", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
         F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
     salted = tf.withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(salt)).cast("int"))

@@ -48,37 +48,48 @@ def mode_table(modes: list[str], lists: dict[str, DataFrame], top_k: int, **para
     return out
 
 
-def grid(spark, ranges: dict[str, list], base: dict) -> DataFrame:
-    """Parameter cells as rows: the product of the swept ranges over a base configuration, numbered in sweep order."""
+def grid(ranges: dict[str, list], base: dict) -> list[dict]:
+    """Parameter cells: the product of the swept ranges over a base configuration, numbered in sweep order."""
     rows = [dict(base)]
     for name, values in ranges.items():
         rows = [{**r, name: v} for r in rows for v in values]
-    names = list(rows[0])
-    return spark.createDataFrame([(i, *[r[n] for n in names]) for i, r in enumerate(rows)], ["cell", *names])
+    return [{"cell": i, **r} for i, r in enumerate(rows)]
 
 
-def sweep(lists: dict[str, DataFrame], cells: DataFrame) -> DataFrame:
-    """Hits (cell, query_id, rank, key, score) of all cells in one job: cells meet the short candidate lists, not the chunks.
+def with_cells(df: DataFrame, cells: list[dict], fields: list[str]) -> DataFrame:
+    """Every row once per cell, with the named parameters. The grid is written by hand and becomes a literal array."""
+    if not cells:
+        cells, keep = [{f: None for f in fields}], False
+    else:
+        keep = True
+    types = {int: "long", float: "double", str: "string", bool: "boolean"}
+    literals = [F.struct(*[F.lit(c[f]).cast(types.get(type(c[f]), "string")).alias(f) for f in fields]) for c in cells]
+    spread = df.withColumn("_cell", F.explode(F.array(*literals)))
+    return (spread if keep else spread.filter(F.lit(False))).select(*df.columns, *[F.col(f"_cell.{f}").alias(f) for f in fields])
 
-    ``cells`` is a hand-made grid (cell, mode, top_k, alpha, rrf_k, score_threshold) and joins by mode family.
-    """
-    fused = cells.filter(F.col("mode").isin("hybrid", "cc")).select("cell", "mode", "alpha", "rrf_k").withColumn("_j", F.lit(1))
-    keys = ["cell", "mode", "alpha", "rrf_k", *Q]
 
-    def spread(df, mode):
-        return df.withColumn("_j", F.lit(1)).join(fused.filter(F.col("mode") == mode), "_j").drop("_j")
+def sweep(lists: dict[str, DataFrame], cells: list[dict]) -> DataFrame:
+    """Hits (cell, query_id, rank, key, score) of all cells in one job: cells meet the short candidate lists, not the chunks.
 
-    parts = [
-        fusion.reciprocal_rank(spread(lists["dense"], "hybrid"), spread(lists["sparse"], "hybrid"), F.col("rrf_k"), keys),
-        fusion.convex(spread(lists["dense"], "cc"), spread(lists["sparse"], "cc"), F.col("alpha"), keys),
-    ]
-    hits = parts[0].unionByName(parts[1]).select("cell", *Q, "rank", *retrieval.KEY, "score")
+    Cells name mode, top_k, alpha, rrf_k and score_threshold.
+    """
+    def of(*modes_: str) -> list[dict]:
+        return [c for c in cells if c["mode"] in modes_]
+
+    limits = ["top_k", "score_threshold", "mode"]
+    parts = []
+    for mode, fuse, parameter in (("hybrid", fusion.reciprocal_rank, "rrf_k"), ("cc", fusion.convex, "alpha")):
+        if of(mode):
+            keys = ["cell", *limits, parameter, *Q]
+            dense, sparse = (with_cells(lists[x], of(mode), ["cell", *limits, parameter]) for x in ("dense", "sparse"))
+            parts.append(fuse(dense, sparse, F.col(parameter), keys).drop(parameter))
     for mode in ("dense", "sparse", "bm25"):
-        if mode in lists:
-            plain = cells.filter(F.col("mode") == mode).select("cell").withColumn("_j", F.lit(1))
-            part = lists[mode].withColumn("_j", F.lit(1)).join(plain, "_j").select("cell", *Q, "rank", *retrieval.KEY, "score")
-            hits = hits.unionByName(part)
+        if of(mode):
+            parts.append(with_cells(lists[mode], of(mode), ["cell", *limits]))
+    columns = ["cell", *limits, *Q, "rank", *retrieval.KEY, "score"]
+    hits = parts[0].select(*columns)
+    for part in parts[1:]:
+        hits = hits.unionByName(part.select(*columns))
     exempt = F.col("mode").isin(*filters.THRESHOLD_EXEMPT)
-    limits = cells.select("cell", "mode", "top_k", "score_threshold")
     kept = (F.col("rank") <= F.col("top_k")) & (exempt | (F.col("score_threshold") <= 0) | (F.col("score") >= F.col("score_threshold")))
-    return hits.join(limits, "cell").filter(kept).select("cell", *Q, "rank", *retrieval.KEY, "score")
+    return hits.filter(kept).drop(*limits)

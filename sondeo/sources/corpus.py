@@ -4,30 +4,22 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Folders never scanned.
 SKIPPED_FOLDERS = [".git", "venv", "node_modules", "__pycache__"]
 SKIPPED_PAIR = r"(^|/)\.claude/worktrees(/|$)"
 
 
-def glob_regex(pattern: str) -> str:
-    """Path glob as an anchored regular expression: ``**/`` any folders, ``*`` and ``?`` inside one part."""
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif pattern[i] == "[" and "]" in pattern[i + 1:]:
-            end = pattern.index("]", i + 1)
-            inner = pattern[i + 1:end]
-            out += "[" + ("^" + inner[1:] if inner.startswith("!") else inner) + "]"
-            i = end + 1
-        else:
-            out += {"*": "[^/]*", "?": "[^/]"}.get(pattern[i], re.escape(pattern[i]))
-            i += 1
-    return f"^{out}$"
+def glob_regex(pattern: Column) -> Column:
+    """Path glob as an anchored regular expression: ``**/`` any folders, ``*`` and ``?`` inside one part, ``[..]`` sets."""
+    folders, anything = "\x01", "\x02"
+    out = F.regexp_replace(pattern, r"([.^$+{}()|\\])", r"\\$1")
+    steps = [("**/", folders), ("**", anything), ("*", "[^/]*"), ("[!", "[^"), (folders, "(?:.*/)?"), (anything, ".*")]
+    out = F.replace(out, F.lit("?"), F.lit("[^/]"))
+    for glob, regex in steps:
+        out = F.replace(out, F.lit(glob), F.lit(regex))
+    return F.concat(F.lit("^"), out, F.lit("$"))
 
 
 def manifest_globs(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +32,8 @@ def manifest_globs(spark: SparkSession, path: str) -> DataFrame:
 def expand_manifest(raw: DataFrame) -> DataFrame:
     single = F.array(F.struct(F.col("collection").alias("name"), F.col("include").alias("include")))
     entries = raw.select(F.explode(F.coalesce("collections", single)).alias("e"))
-    to_regex = F.udf(glob_regex, "string")
     return entries.select(F.col("e.name").alias("collection"), F.explode("e.include").alias("glob")).withColumn(
-        "regex", to_regex("glob")
+        "regex", glob_regex(F.col("glob"))
     )
 
 
@@ -85,9 +76,10 @@ def select_files(files: DataFrame, globs: DataFrame) -> DataFrame:
     for folder in SKIPPED_FOLDERS:
         kept = kept.filter(~F.array_contains(F.split("document", "/"), folder))
     per_collection = globs.groupBy("collection").agg(
-        F.concat(F.lit("(?:"), F.array_join(F.array_sort(F.collect_set("regex")), ")|(?:"), F.lit(")")).alias("_any")
-    )
-    return kept.join(per_collection, F.expr("document RLIKE _any")).drop("_any")
+        F.concat(F.lit("(?:"), F.array_join(F.array_sort(F.collect_set("regex")), ")|(?:"), F.lit(")")).alias("regex"))
+    listed = per_collection.agg(F.collect_list(F.struct("collection", "regex")).alias("l")).select("l").scalar()
+    offered = kept.withColumn("_taker", F.explode(listed))
+    return offered.filter(F.rlike("document", "_taker.regex")).select(F.col("_taker.collection").alias("collection"), *files.columns)
 
 
 def hashed(files: DataFrame) -> DataFrame:
