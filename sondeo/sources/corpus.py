@@ -56,13 +56,18 @@ def manifest_problems(raw: DataFrame) -> DataFrame:
     return empty.unionByName(broken)
 
 
-def scan(spark: SparkSession, root: str, globs: DataFrame) -> DataFrame:
-    """(collection, document, bytes) of all markdown files below ``root`` that a glob of the manifest takes in."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    )
-    base = re.escape(root.rstrip("/"))
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", ""), f"^{base}/", "")
+def scan(spark: SparkSession, root: str, globs: DataFrame, hidden: list[str] = []) -> DataFrame:
+    """(collection, document, bytes) of all markdown files below ``root`` that a glob of the manifest takes in.
+
+    Spark's file listing passes over names that begin with ``.`` or ``_``. Folders of that kind that should be read are
+    named in ``hidden``, relative to the root.
+    """
+    base = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(
+        [base, *[f"{base}/{h.strip('/')}" for h in hidden]])
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "")
+    prefix = F.lit(re.sub("^[a-z0-9]+:/*(?=/)", "", base) + "/")
+    rel = F.substring(plain, F.length(prefix) + 1, F.length(plain))
     return select_files(files.select(rel.alias("document"), F.col("content").alias("bytes")), globs)
 
 
