@@ -11,6 +11,8 @@ from sondeo.functions import logs as lf
 from sondeo.functions import ordered
 from sondeo.operators import canary
 from sondeo.operators import loganalytics as la
+from sondeo.operators.filters import with_version
+from sondeo.operators.judging import stratified
 
 # -- shared derived tables ---------------------------------------------------------------------------------------------------
 
@@ -48,7 +50,6 @@ def registry(spark, sf):
 
 
 def items(spark, sf):
-    from sondeo.operators.filters import with_version
     s = with_version(st.searches(spark, sf))
     s = la.with_cold_start(s, la.start_events(st.errors(spark, sf)))
     s = la.with_provenance(s, registry(spark, sf))
@@ -56,7 +57,6 @@ def items(spark, sf):
 
 
 def joined(spark, sf):
-    from sondeo.operators.filters import with_version
     c = st.calls(spark, sf).filter("origin IS NOT NULL").select("tool_use_id", "session_id", "cwd", "result_ts", "result_text", F.col("origin").alias("search_id"))
     return with_version(st.searches(spark, sf)).join(c, "search_id")
 
@@ -184,13 +184,12 @@ SELECT version_group, count(*) AS searches, count(*) FILTER (ex > 0) AS searches
  (median(d) FILTER (hit_count >= 2))::DOUBLE AS median_distinct_documents, count(*) FILTER (hit_count >= 2 AND d = 1) AS single_document_lists
 FROM grouped LEFT JOIN per USING (search_id) LEFT JOIN docs USING (search_id) GROUP BY 1""")
 def a24(spark, sf):
-    return la.relevance_indicators(items(spark, sf), st.hits(spark, sf), attributions(spark, sf))
+    return la.relevance_indicators(with_version(st.searches(spark, sf)), st.hits(spark, sf), attributions(spark, sf))
 
 
 @query("a24_exact_rank_counts", ctes(*ITEM_CTES, ATTRIBUTED) + """
 SELECT version_group, hit_rank, count(*) AS n FROM grouped JOIN attributed USING (search_id) WHERE kind = 'exact' GROUP BY ALL""")
 def a24b(spark, sf):
-    from sondeo.operators.filters import with_version
     return la.exact_rank_counts(with_version(st.searches(spark, sf)), attributions(spark, sf))
 
 
@@ -199,7 +198,6 @@ ranks(rank) AS (VALUES (1), (3), (6), (12)), g AS (SELECT DISTINCT version_group
 SELECT g.version_group, r.rank, count(h.score) AS n, round(median(h.score), 4) AS median FROM g CROSS JOIN ranks r
 LEFT JOIN (SELECT version_group, rank, score FROM grouped JOIN hits USING (search_id)) h ON h.version_group = g.version_group AND h.rank = r.rank GROUP BY ALL""")
 def a25(spark, sf):
-    from sondeo.operators.filters import with_version
     return la.score_profile(with_version(st.searches(spark, sf)), st.hits(spark, sf))
 
 
@@ -250,7 +248,6 @@ def a29b(spark, sf):
 @query("a30_version_groups", ctes(st.LOGS) + """
 SELECT coalesce(version, 'all') AS version_group, count(*) AS searches, sum(hit_count)::BIGINT AS hits FROM (SELECT *, coalesce(nullif(code_version, ''), 'unversioned') AS version FROM searches) GROUP BY GROUPING SETS ((version), ())""")
 def a30(spark, sf):
-    from sondeo.operators.filters import with_version
     g = la.by_version(with_version(st.searches(spark, sf)))
     return g.groupBy("version_group").agg(F.count("*").alias("searches"), F.sum("hit_count").alias("hits"))
 
@@ -322,7 +319,6 @@ def l01(spark, sf):
 SELECT s.search_id, coalesce(nullif(s.code_version, ''), 'unversioned') AS version, s.candidates, left(s.query, 60) AS query,
  CASE WHEN g.search_id IS NULL THEN NULL WHEN g.next_gap_s IS NULL THEN 'none' ELSE round(next_gap_s)::BIGINT::VARCHAR END AS next_gap FROM searches s LEFT JOIN gaps g USING (search_id) WHERE s.hit_count = 0""")
 def l02(spark, sf):
-    from sondeo.operators.filters import with_version
     rows = la.zero_hit_rows(with_version(st.searches(spark, sf)), joined(spark, sf))
     return rows.select("search_id", "version", "candidates", "query", F.when(F.col("next_gap") == "none", "none").otherwise(
         F.round(F.expr("try_cast(next_gap AS DOUBLE)")).cast("long").cast("string")).alias("next_gap"))
@@ -337,7 +333,6 @@ def l03(spark, sf):
 SELECT search_id, CASE WHEN collection LIKE '%-reference' THEN 'reference' WHEN collection LIKE '%-docs' THEN 'docs' ELSE 'other' END AS stratum,
  md5('20261014|' || search_id) AS position FROM searches WHERE hit_count > 0""")
 def l04(spark, sf):
-    from sondeo.operators.judging import stratified
     return stratified(st.searches(spark, sf).filter("hit_count > 0"), "20261014").select("search_id", "stratum", "position")
 
 

@@ -19,7 +19,8 @@ PERSIST_THRESHOLD_CHARS = 30000
 START_CODE = "start_initiated"
 START_SERVER = "^(embedding|reranker)"
 SEARCH_KEY = ["query", "collection", "document", "exclude"]
-HOUR_US = 3_600_000_000
+MINUTE_US = 60_000_000
+HOUR_US = 60 * MINUTE_US
 DAY_US = 24 * HOUR_US
 ALL = "all"
 
@@ -126,7 +127,7 @@ def with_cold_start(log: DataFrame, starts: DataFrame) -> DataFrame:
     """Adds ``cold``: a model start lies between one second before the search began and its end."""
     points = log.withColumn("_at", logs.micros(F.col("ts")))
     marks = starts.select(logs.micros(F.col("ts")).alias("_start"))
-    found = ordered.largest_before(points, marks, [], "_at", "_start", F.col("_start"), HOUR_US, "_last")
+    found = ordered.largest_before(points, marks, [], "_at", "_start", F.col("_start"), MINUTE_US, "_last")
     begin = F.col("_at") - F.col("duration_ms") * 1000 - COLD_MARGIN_US
     return found.withColumn("cold", F.coalesce(F.col("_last") >= begin, F.lit(False))).drop("_at", "_last")
 
@@ -189,36 +190,40 @@ def by_version(items: DataFrame) -> DataFrame:
 
 
 def technical_indicators(items: DataFrame) -> DataFrame:
-    """Counts, latencies and output sizes per version group. Percentiles run over whole numbers (ms, characters)."""
-    g = by_version(items)
-    counts = g.groupBy("version_group").agg(
-        F.count("*").alias("searches"), F.count_if("complete").alias("provenance_complete"),
-        F.count_if(F.col("hit_count") == 0).alias("zero_hit"),
-        F.count_if((F.col("hit_count") == 0) & (F.col("candidates") == 0)).alias("zero_hit_no_candidates"),
-        F.max("hit_count").alias("full_length"),
-        F.count_if(F.col("output_chars") > PERSIST_THRESHOLD_CHARS).alias("output_over_threshold"),
-    )
-    lengths = g.groupBy("version_group", "hit_count").agg(F.count("*").alias("n"))
-    partial = lengths.join(counts.select("version_group", "full_length"), "version_group").groupBy("version_group").agg(
-        F.sum(F.when((F.col("hit_count") > 0) & (F.col("hit_count") < F.col("full_length")), F.col("n")).otherwise(0)).alias("partial"))
-
-    def part(df, value, prefix, quantiles, largest, number=None):
-        p = ordered.index_percentiles(df, ["version_group"], value, {f"{prefix}_p{int(q * 100)}": q for q in quantiles})
-        keep = [F.col(f"{prefix}_p{int(q * 100)}") for q in quantiles]
-        if largest:
-            keep.append(F.col("max_value").alias(f"{prefix}_max"))
-        if number:
-            keep.append(F.col("n").alias(number))
-        return p.select("version_group", *keep)
-
-    out = counts.join(partial, "version_group")
-    for p in (
-        part(g.filter("cold"), "duration_ms", "cold", [0.5], False, "cold"),
-        part(g.filter("NOT cold"), "duration_ms", "warm", [0.5, 0.9], True, "warm"),
-        part(g, "output_chars", "output", [0.5, 0.9], True),
-    ):
-        out = out.join(p, "version_group", "left")
-    return out.fillna(0, ["cold", "warm"])
+    """Counts, latencies and output sizes per version group, from one pass over the items.
+
+    Every item gives a few (measure, value) entries, which are counted first. All values are whole numbers (ms,
+    characters, hits, flags), so the counted table is bounded by their ranges, and percentiles, maxima and the length
+    of the longest list are read from it.
+    """
+    ms = F.when(F.col("cold"), "cold").otherwise("warm")
+    entry = lambda measure, value: F.struct(measure.alias("measure"), value.cast("long").alias("value"))
+    entries = F.array(
+        entry(F.lit("hits"), F.col("hit_count")), entry(ms, F.col("duration_ms")), entry(F.lit("output"), F.col("output_chars")),
+        entry(F.lit("complete"), F.col("complete").cast("int")),
+        entry(F.lit("no_candidates"), ((F.col("hit_count") == 0) & (F.col("candidates") == 0)).cast("int")))
+    groups = F.array(F.lit(ALL), F.col("version"))
+    counted = items.select(groups.alias("g"), F.explode(entries).alias("e")).select(F.explode("g").alias("version_group"), "e.*").groupBy(
+        "version_group", "measure", "value").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("version_group", "measure")
+    ranked = counted.select(
+        "*", F.sum("c").over(w).alias("n"), F.max("value").over(w).alias("top"),
+        F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    measure, value = F.col("measure"), F.col("value")
+
+    def total(cond): return F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+    def percentile(name, q): return F.min(F.when((measure == name) & (F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q)))), value)).cast("int")
+    def largest(name): return F.max(F.when(measure == name, value)).cast("int")
+
+    hits = measure == "hits"
+    return ranked.groupBy("version_group").agg(
+        total(hits).alias("searches"), total((measure == "complete") & (value == 1)).alias("provenance_complete"),
+        total(hits & (value == 0)).alias("zero_hit"), total((measure == "no_candidates") & (value == 1)).alias("zero_hit_no_candidates"),
+        total(hits & (value > 0) & (value < F.col("top"))).alias("partial"), largest("hits").alias("full_length"),
+        total(measure == "cold").alias("cold"), percentile("cold", 0.5).alias("cold_p50"),
+        total(measure == "warm").alias("warm"), percentile("warm", 0.5).alias("warm_p50"), percentile("warm", 0.9).alias("warm_p90"), largest("warm").alias("warm_max"),
+        percentile("output", 0.5).cast("long").alias("output_p50"), percentile("output", 0.9).cast("long").alias("output_p90"), largest("output").cast("long").alias("output_max"),
+        total((measure == "output") & (value > PERSIST_THRESHOLD_CHARS)).alias("output_over_threshold"))
 
 
 def relevance_indicators(items: DataFrame, hits: DataFrame, attributions: DataFrame) -> DataFrame:

@@ -229,27 +229,27 @@ def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8)
     Only words that some query uses leave the chunk side. Term frequencies are combined per (chunk, term) before the
     join, and the join is salted, as a common word may sit in a third of all chunks.
     """
-    q_terms = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("_t"))
+    q_terms = asked.select("query_id", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
     wanted = q_terms.select("term").distinct()
     tokens = chunks.select(*KEY, terms(F.col("content")).alias("_t")).withColumn("length", F.size("_t"))
     corpus = tokens.agg(F.struct(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length")).alias("c")).scalar()
     tf = tokens.select(*KEY, "length", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy(
         *KEY, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = q_terms.join(df, "term").withColumn("_c", corpus).select("query_id", "term", "df", "_c.*").select(
-        "query_id", "term", "mean_length", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+    weighted = q_terms.join(df, "term").withColumn("_c", corpus).select("query_id", "n_terms", "term", "df", "_c.*").select(
+        "query_id", "n_terms", "term", "mean_length", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
         F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
     salted = tf.withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(salt)).cast("int"))
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (
         F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length")))
     matched = salted.join(weighted, ["term", "_salt"]).groupBy("query_id", *KEY).agg(
-        F.round(F.sum(part), 9).alias("raw"), F.count("*").alias("found"))
-    asked = q_terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    counted = matched.join(asked, "query_id").withColumn("whole", F.col("found") == F.col("n_terms"))
-    any_whole = counted.groupBy("query_id").agg(F.max("whole").alias("any_whole"))
-    usable = counted.join(any_whole, "query_id").filter(F.col("whole") | ~F.col("any_whole"))
-    best = ordered.top_k(usable, ["query_id"], [F.desc("raw"), *[F.asc(x) for x in KEY]], k)
-    return best.select("query_id", "rank", *KEY, F.round("raw", 4).alias("score"))
+        F.round(F.sum(part), 9).alias("raw"), (F.count("*") == F.max("n_terms")).alias("whole"))
+    # Chunks with all words come first; where the best row is one of them, the others of its query drop out.
+    best = ordered.top_k(matched, ["query_id"], [F.desc("whole"), F.desc("raw"), *[F.asc(x) for x in KEY]], k)
+    any_whole = F.max("whole").over(Window.partitionBy("query_id"))  # at most k rows
+    kept = best.withColumn("_any", any_whole).filter(F.col("whole") | ~F.col("_any"))
+    return kept.select("query_id", "rank", *KEY, F.round("raw", 4).alias("score"))
 
 
 # -- reranking -----------------------------------------------------------------------------------------------------------

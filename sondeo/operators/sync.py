@@ -38,7 +38,9 @@ def plan_sync(corpus: DataFrame, stored: DataFrame, collections: DataFrame | Non
     """The diff a sync would apply. In scope are the collections named, else those of the corpus; without ``removals``
     (a partial delivery) only the documents that arrived."""
     if not removals:
-        scope = stored.join(corpus.select(*DOC), DOC, "left_semi")
+        # The collection first: tables are partitioned by it, so other partitions need not be read.
+        named = corpus.select("collection").distinct()
+        scope = stored.join(named, "collection", "left_semi").join(corpus.select(*DOC), DOC, "left_semi")
     else:
         named = corpus.select("collection").distinct() if collections is None else collections.select("collection").distinct()
         scope = stored.join(named, "collection", "left_semi")

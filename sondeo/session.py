@@ -29,8 +29,10 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def checkpointed(df, fallback_dir: str | None = None):
     """Cut the lineage in the shared folder the cluster names. Where none is set, as in tests, a folder is made up."""
     spark = df.sparkSession
-    if not spark.conf.get(CHECKPOINT_KEY, None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(fallback_dir or tempfile.mkdtemp(prefix="sondeo-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get(CHECKPOINT_KEY, None)
+        context.setCheckpointDir(named or fallback_dir or tempfile.mkdtemp(prefix="sondeo-"))
     return df.checkpoint(eager=True)
 
 
