@@ -25,15 +25,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; text tables that come as one split are spread over the cores before row work starts."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold times without zone, read as UTC
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table in front of costly work per text; if it comes as one split, its rows are spread over the cores."""
+    return spread(table(spark, sf_dir, name))
 
 
 def ctes(*parts: str) -> str:

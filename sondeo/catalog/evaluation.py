@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sondeo.catalog import standins as st
 from sondeo.catalog.base import ctes, query
-from sondeo.catalog.retrieval import (CC_RAW, DENSE, DENSE_ALL, K, LISTS, RRF_RAW, SCALED, SPARSE, SPARSE_ALL, WORDED, all_lists, dense50, fused_sql,
+from sondeo.catalog.retrieval import (CC_RAW, DENSE, DENSE_ALL, K, LISTS, RRF_RAW, SCALED, SPARSE, SPARSE_ALL, WORDED, dense50, fused_sql,
                                       ranked_sql, sparse50, worded)
 from sondeo.operators import evaluation as ev
 from sondeo.operators import fusion, retrieval

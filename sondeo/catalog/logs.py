@@ -8,11 +8,11 @@ from sondeo.catalog import standins as st
 from sondeo.catalog.base import ctes, query, table
 from sondeo.catalog.text_functions import STATE_SQL
 from sondeo.functions import logs as lf
-from sondeo.functions import ordered
 from sondeo.operators import canary
 from sondeo.operators import loganalytics as la
 from sondeo.operators.filters import with_version
 from sondeo.operators.judging import stratified
+from sondeo.sources import evalsets, transcripts
 
 # -- shared derived tables ---------------------------------------------------------------------------------------------------
 
@@ -389,3 +389,58 @@ def j13(spark, sf):
     s = st.searches(spark, sf)
     ids = s.filter("event_id % 3 = 0").select("search_id").unionByName(st.errors(spark, sf).select(F.col("msg").alias("search_id")))
     return canary.leaked_ids(ids, s.filter("event_id % 4 = 0"))
+
+
+# -- transcripts and query sets ----------------------------------------------------------------------------------------------
+
+def transcript_lines(spark, sf):
+    """Conversations as transcript lines: assistants call the search tool every other turn, results follow as user messages."""
+    c, t = table(spark, sf, "conversations"), F.col("turn")
+    search = F.concat(F.lit('cd /x; lookup search "turn '), t.cast("string"), F.lit('" col'), (F.col("conv_id") % 5).cast("string"), F.lit(" --exclude z"))
+    uid = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
+    called = (F.col("role") == "assistant") & (t % 4 == 1)
+    body = lambda role, content: F.to_json(F.struct(
+        uid.alias("timestamp"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("sessionId"), F.lit("/w").alias("cwd"),
+        F.struct(role.alias("role"), content.alias("content")).alias("message")))
+    text = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), uid.alias("id"), F.lit("Bash").alias("name"), F.struct(search.alias("command")).alias("input")))
+    plain = body(F.col("role"), F.col("text"))
+    # A list of blocks of different shapes is put together as text.
+    mixed = F.concat(F.lit('{"timestamp":'), F.to_json(F.array(uid)).substr(F.lit(2), F.length(uid) + 2), F.lit(',"sessionId":"s'), F.col("conv_id").cast("string"),
+                     F.lit('","cwd":"/w","message":{"role":"assistant","content":['), F.to_json(text), F.lit(","), use, F.lit("]}}"))
+    result = body(F.lit("user"), F.array(F.struct(F.lit("tool_result").alias("type"), uid.alias("tool_use_id"), F.concat(F.lit("result of "), uid).alias("content"))))
+    rows = F.array(F.struct((t * 2).alias("line_order"), F.when(called, mixed).otherwise(plain).alias("value")),
+                   F.struct((t * 2 + 1).alias("line_order"), F.when(called & (t % 8 == 1), result).otherwise("not json").alias("value")))
+    return c.select(F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("file"), F.explode(rows).alias("r")).select("file", "r.*")
+
+
+CALLED = "role = 'assistant' AND turn % 4 = 1"
+
+
+@query("s12_tool_calls", f"""
+SELECT 'f' || conv_id::VARCHAR AS file, 'u' || conv_id::VARCHAR || '-' || turn::VARCHAR AS tool_use_id, 'turn ' || turn::VARCHAR AS query, 'col' || (conv_id % 5)::VARCHAR AS collection, 'z' AS exclude,
+ CASE WHEN turn % 8 = 1 THEN 'result of u' || conv_id::VARCHAR || '-' || turn::VARCHAR ELSE '' END AS result_text FROM conversations WHERE {CALLED}""")
+def s12(spark, sf):
+    return transcripts.tool_calls(transcript_lines(spark, sf), "lookup").select("file", "tool_use_id", "query", "collection", "exclude", "result_text")
+
+
+@query("s13_call_context", f"""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '') AS text FROM conversations),
+c AS (SELECT *, last_value(CASE WHEN role = 'user' AND text <> '' THEN text END IGNORE NULLS) OVER w AS u, last_value(CASE WHEN role = 'assistant' AND text <> '' THEN text END IGNORE NULLS) OVER w AS a FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT 'u' || conv_id::VARCHAR || '-' || turn::VARCHAR AS timestamp, coalesce(right(u, 1500), '') AS user_text, coalesce(right(a, 1500), '') AS assistant_text FROM c WHERE {CALLED}""")
+def s13(spark, sf):
+    return transcripts.context_calls(transcript_lines(spark, sf), "lookup search").select("timestamp", "user_text", "assistant_text")
+
+
+@query("s10_query_sets", """
+SELECT 'f' || item_id::VARCHAR || '#' || i::VARCHAR AS query_id, 'kind' || (item_id % 3)::VARCHAR AS type, (e - 1)::INT AS pos, 'd' || (item_id + e - 1)::VARCHAR AS document, (e - 1)::INT AS chunk_index, text AS identifying_quote
+FROM benchmark, unnest([1, 2]) a(i), unnest([1, 2]) b(e)""")
+def s10(spark, sf):
+    item = F.col("item_id")
+    expected = F.array(*[F.struct(F.concat(F.lit("d"), (item + e).cast("string")).alias("document"), F.lit(e).alias("chunk_index"), F.col("text").alias("identifying_quote")) for e in (0, 1)])
+    entry = F.struct(F.lit("q").alias("query"), F.concat(F.lit("kind"), (item % 3).cast("string")).alias("type"), F.array(F.lit("d")).alias("expected_documents"), expected.alias("expected_chunks"))
+    both = F.array(entry, entry)
+    body = F.when(item % 2 == 0, F.to_json(F.struct(both.alias("queries")))).otherwise(F.concat(F.lit(" "), F.to_json(both)))
+    files = table(spark, sf, "benchmark").select(F.concat(F.lit("f"), item.cast("string")).alias("file"), body.alias("value"))
+    q = evalsets.query_table(evalsets.parse_query_sets(files))
+    return evalsets.expected_chunks(q).join(q.select("query_id", "type"), "query_id")

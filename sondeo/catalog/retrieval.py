@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondeo.catalog import standins as st
-from sondeo.catalog.base import ctes, query, table
+from sondeo.catalog.base import ctes, query, table, text_table
 from sondeo.models import encoders
-from sondeo.operators import chunking, filters, fusion, judging, retrieval
+from sondeo.operators import chunking, fusion, retrieval
 from sondeo.plans import modes
 
 K = "collection, document, chunk_index"
@@ -92,9 +92,13 @@ dense_all AS (SELECT query_id, {K}, round(list_cosine_similarity(qv, embedding),
 
 @query("r01_filtered_dense", ctes(st.VECTORS, FILTERED, DENSE) + f"SELECT query_id, rank, {K}, score FROM dense WHERE rank <= 12")
 def r01b(spark, sf):
+    return retrieval.dense_top_k(filtered_queries(spark, sf), st.vec_chunks(spark, sf), 12)
+
+
+def filtered_queries(spark, sf):
     q = F.col("query_id")
     tag = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    queries = st.vec_queries(spark, sf).select(
+    return st.vec_queries(spark, sf).select(
         "query_id", "embedding", F.when(q % 3 != 0, tag("col", q % 4)).alias("filter_collection"),
         F.when(q % 2 == 0, "v%").otherwise(tag("v", q % 10)).alias("filter_document"), F.when(q % 5 == 0, "v1").alias("filter_exclude"))
     return retrieval.dense_top_k(queries, st.vec_chunks(spark, sf), 12)
@@ -109,7 +113,7 @@ DOC_TEXTS = """dt AS (SELECT source AS collection, doc_id::VARCHAR AS document,
 
 
 def _doc_texts(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("document"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    d = text_table(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("document"), F.pmod("doc_id", F.lit(1)).cast("int").alias("chunk_index"), F.col("text").alias("content"))
     return d, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
@@ -186,7 +190,7 @@ def r07(spark, sf):
 @query("r07_text_search")
 def r07b(spark, sf):
     """Texts end to end: chunks and queries encoded by the bundled encoder, candidates rescored by word overlap."""
-    chunks = chunking.chunk_documents(st.corpus(spark, sf))
+    chunks = chunking.chunk_documents(st.corpus(spark, sf, text_table))
     vectors = encoders.embed(chunks, "content", encoders.HashedTerms, encoders.DOCUMENT_PREFIX)
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     queries = encoders.embed(asked, "text", encoders.HashedTerms, encoders.QUERY_PREFIX)
@@ -198,6 +202,12 @@ def r07b(spark, sf):
     return retrieval.production_search(queries, vectors, scores).select("query_id", "rank", *retrieval.KEY, "score")
 
 
+@query("r13_run_specs", ctes(st.VECTORS, FILTERED, DENSE, rerank_sql("reranked", "dense", 30, 30)) + f"SELECT query_id, rank::INT AS rank, {K}, score, rank <= 3 + query_id % 10 AS kept FROM reranked")
+def r13(spark, sf):
+    specs = filtered_queries(spark, sf).withColumn("depth", 3 + F.col("query_id") % 10)
+    return modes.run_specs(specs, st.vec_chunks(spark, sf), outside_scores).select("query_id", "rank", *retrieval.KEY, "score", "kept")
+
+
 MODE_NAMES = ["dense", "sparse", "bm25", "hybrid", "cc", "cc+rerank", "hybrid+rerank", "dense+rerank-0.6b"]
 
 
@@ -263,7 +273,7 @@ WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}
 c AS (SELECT doc_id, (('0x' || left(md5(w), 8))::BIGINT % 30522)::INT AS dim, count(*) AS n FROM w GROUP BY ALL)
 SELECT doc_id, dim, round(ln(1.0::DOUBLE + n), 6) AS weight FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(ln(1.0::DOUBLE + n), 6) DESC, dim) <= 256""")
 def m03(spark, sf):
-    return encoders.sparse_encode(table(spark, sf, "documents"), ["doc_id"], "text")
+    return encoders.sparse_encode(text_table(spark, sf, "documents"), ["doc_id"], "text")
 
 
 @query("r02_sparse_text_search", """
@@ -276,7 +286,7 @@ s AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.weight * d.weight) /
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id::VARCHAR) AS rank, doc_id::VARCHAR AS document, round(raw, 4) AS score FROM s QUALIFY rank <= 10""")
 def r02b(spark, sf):
     docs, queries = _doc_texts(spark, sf)
-    docs = docs.withColumn("collection", F.lit("all"))
+    docs = docs.withColumn("collection", F.left("collection", F.lit(0)))
     chunks = encoders.sparse_encode(docs, retrieval.KEY, "content")
     asked = encoders.sparse_encode(queries, ["query_id"], "query")
     return retrieval.sparse_top_k(asked, chunks, 10).select("query_id", "rank", "document", "score")

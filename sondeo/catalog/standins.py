@@ -33,8 +33,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 CORPUS = """corpus AS (SELECT source AS collection, 'doc_' || doc_id::VARCHAR || '.md' AS document, text AS content, doc_id FROM documents)"""
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+def corpus(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    return read(spark, sf, "documents").select(
         F.col("source").alias("collection"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document"),
         F.col("text").alias("content"), "doc_id",

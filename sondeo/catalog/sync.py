@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondeo.catalog import standins as st
-from sondeo.catalog.base import ctes, query
+from sondeo.catalog.base import ctes, query, text_table
 from sondeo.operators import chunking, inventory, sync
 
 BASE = (st.CORPUS, st.MANIFEST)
@@ -38,7 +38,7 @@ def j10(spark, sf):
 
 
 def _synced(spark, sf):
-    corpus = st.corpus(spark, sf).withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256)).select("collection", "document", "sha256", "content")
+    corpus = st.corpus(spark, sf, text_table).withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256)).select("collection", "document", "sha256", "content")
     stored = st.stored_hashes(spark, sf)
     table = stored.select("collection", "document", F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.lit("old").alias("content"))
     diff = sync.plan_sync(corpus, stored)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondeo.catalog import standins as st
-from sondeo.catalog.base import ctes, query, table
-from sondeo.functions import logs as lf
+from sondeo.catalog.base import ctes, query, table, text_table
 from sondeo.operators import chunking, filters, inventory
 from sondeo.sources import corpus as corpus_source
 from sondeo.sources import logs as log_source
@@ -261,7 +260,7 @@ def f13(spark, sf):
 
 @query("c01_corpus_chunks")
 def c01(spark, sf):
-    cut = chunking.chunk_documents(st.corpus(spark, sf))
+    cut = chunking.chunk_documents(st.corpus(spark, sf, text_table))
     return cut.select("collection", "document", "chunk_index", "total_chunks", F.length("content").alias("size"),
                       F.md5("content").alias("digest"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondeo.catalog import standins as st
-from sondeo.catalog.base import ctes, query, table
+from sondeo.catalog.base import ctes, query, table, text_table
 from sondeo.catalog.tables import norm_sql
 from sondeo.functions import logs as lf
 from sondeo.functions import text
@@ -58,7 +58,7 @@ def list_digest_sql(arr: str) -> str:
 
 @query("x01_whitespace", f"SELECT page_id, length({norm_sql('html')}) AS size, sha256({norm_sql('html')}) AS digest FROM pages")
 def x01(spark, sf):
-    return table(spark, sf, "pages").select("page_id", *size_and_digest(text.normalize_ws(F.col("html"))))
+    return text_table(spark, sf, "pages").select("page_id", *size_and_digest(text.normalize_ws(F.col("html"))))
 
 
 @query("x02_word_aligned_tail", """
@@ -69,12 +69,12 @@ def x02(spark, sf):
 
 @query("x03_content_words", f"SELECT doc_id, {list_digest_sql('w')} FROM (SELECT doc_id, {content_words_sql('text')} AS w FROM documents)")
 def x03(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.content_words(F.col("text")).alias("w")).select("doc_id", *list_digest(F.col("w")))
+    return text_table(spark, sf, "documents").select("doc_id", text.content_words(F.col("text")).alias("w")).select("doc_id", *list_digest(F.col("w")))
 
 
 @query("x04_stems", f"SELECT doc_id, {list_digest_sql('w')} FROM (SELECT doc_id, {stems_sql('text')} AS w FROM documents)")
 def x04(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.stems(F.col("text")).alias("w")).select("doc_id", *list_digest(F.col("w")))
+    return text_table(spark, sf, "documents").select("doc_id", text.stems(F.col("text")).alias("w")).select("doc_id", *list_digest(F.col("w")))
 
 
 @query("x05_leading_clause", f"SELECT conv_id, turn, {clause_sql('text')} AS clause FROM conversations")
@@ -181,7 +181,7 @@ def x16(spark, sf):
 SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '(empty result)' ELSE left(string_split(regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ''), chr(10))[1], 120) END AS line FROM documents""")
 def x17(spark, sf):
     body = F.when(F.col("doc_id") % 10 == 0, F.lit(" \n\t")).otherwise(F.concat(F.lit("\n  "), F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", text.first_line(body).alias("line"))
+    return text_table(spark, sf, "documents").select("doc_id", text.first_line(body).alias("line"))
 
 
 @query("x18_keys_and_shares", """
@@ -215,7 +215,7 @@ WITH t AS (SELECT doc_id AS id, {content_words_sql('text')} AS w FROM documents)
 tg AS (SELECT id, unnest({ngrams_sql('w')}) AS g FROM t), bg AS (SELECT id, unnest({ngrams_sql('w')}) AS g FROM b)
 SELECT bg.id AS item_id, tg.id AS doc_id, count(*) AS shared FROM bg JOIN tg USING (g) GROUP BY ALL""")
 def u01b(spark, sf):
-    passages = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    passages = text_table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
     summaries = table(spark, sf, "benchmark").select(F.col("item_id").alias("summary_id"), "text")
     out = segments.corpus_leakage(passages, summaries)
     return out.select(F.col("summary_id").alias("item_id"), F.col("passage_id").alias("doc_id"), "shared")

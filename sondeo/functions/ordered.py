@@ -20,9 +20,15 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
+def salt_of(columns: list[str], salt: int) -> Column:
+    """Salt 0..salt-1 of a row; ``salt`` is a power of two. Never null, so joins on it add no filter to the scan."""
+    if salt & (salt - 1):
+        raise ValueError("salt must be a power of two")
+    return F.xxhash64(*columns).bitwiseAND(F.lit(salt - 1)).cast("int")
+
+
+def every_salt(salt: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
 
 
 def _carried(blocked: DataFrame, keys: list[str], summary: Column, over_blocks, out: str) -> DataFrame:

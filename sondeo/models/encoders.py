@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondeo.operators.filters import encoder_input
-from sondeo.operators.retrieval import KEY, terms
+from sondeo.operators.retrieval import explode_words, terms
 
 # Prefixes of stored and asked texts, sparse vocabulary and its active share.
 DOCUMENT_PREFIX = "search_document: "
@@ -78,7 +78,7 @@ def sparse_encode(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     Dimensions of one text are bounded by the vocabulary, so ranking them per text is too.
     """
-    words = df.select(*keys, F.explode(terms(F.col(text))).alias("_w"))
+    words = explode_words(df.select(*keys, terms(F.col(text)).alias("_t")), keys, "_t", "_w")
     dim = (F.conv(F.left(F.md5("_w"), F.lit(8)), 16, 10).cast("long") % SPARSE_DIMS).cast("int")
     counts = words.groupBy(*keys, dim.alias("dim")).agg(F.count("*").alias("_n"))
     weighted = counts.select(*keys, "dim", F.round(F.log(1.0 + F.col("_n")), 6).alias("weight"))

@@ -253,7 +253,7 @@ def quote_coverage(quotes: DataFrame, chunks: DataFrame, salt: int = 16) -> Data
         text.normalize_ws(F.concat("content", F.lit(" "), "_after")).alias("_two"),
         F.pmod("chunk_index", F.lit(salt)).alias("_salt"),
     )
-    spread = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    spread = q.withColumn("_salt", ordered.every_salt(salt))
     found = spread.join(texts, [*DOC, "_salt"]).groupBy("quote_id").agg(
         F.min(F.when(F.col("_one").contains(F.col("_q")), F.col("_index"))).alias("single_index"),
         F.min(F.when(F.col("_two").contains(F.col("_q")), F.col("_index"))).alias("boundary_index"),

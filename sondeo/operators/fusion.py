@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sondeo.functions import ordered
 from sondeo.operators.retrieval import ALPHA, KEY, RRF_K
 
 

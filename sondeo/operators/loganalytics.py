@@ -265,9 +265,9 @@ def read_back_commands(commands: DataFrame, readbacks: DataFrame, salt: int = 8)
     Sessions are salted, and the containment test runs inside the join, so only true matches leave it.
     """
     saved = commands.select("tool_use_id", "session_id", "result_ts", logs.persisted_path(F.col("result_text")).alias("path")).filter(
-        F.col("path").isNotNull()).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        F.col("path").isNotNull()).withColumn("_s", ordered.every_salt(salt))
     later = readbacks.select("session_id", F.col("ts").alias("read_ts"), "text",
-                             F.pmod(F.xxhash64("text", "ts"), F.lit(salt)).cast("int").alias("_s"))
+                             ordered.salt_of(["text", "ts"], salt).alias("_s"))
     on = ["session_id", "_s"]
     return saved.join(later, on).filter((F.col("read_ts") > F.col("result_ts")) & F.contains("text", "path")).select("tool_use_id").distinct()
 

@@ -210,8 +210,8 @@ def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8) -
         return df.withColumn("weight", F.col("weight") / norm)
 
     asked = unit(queries, ["query_id"]).select("query_id", "dim", F.col("weight").alias("qw")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    stored = unit(chunks, KEY).withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(salt)).cast("int"))
+        "_salt", ordered.every_salt(salt))
+    stored = unit(chunks, KEY).withColumn("_salt", ordered.salt_of(KEY, salt))
     scored = stored.join(asked, ["dim", "_salt"]).groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("raw"))
     best = ordered.top_k(scored, ["query_id"], [F.desc("raw"), *[F.asc(x) for x in KEY]], k)
     return best.select("query_id", "rank", *KEY, F.round("raw", 4).alias("score"))
@@ -219,6 +219,12 @@ def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8) -
 
 # -- lexical -------------------------------------------------------------------------------------------------------------
 
+def explode_words(df: DataFrame, keys: list[str], words: str, out: str = "term") -> DataFrame:
+    """One row per word. The outer form keeps Spark from deriving a size filter that would run the regular expression
+    again, and before rows are spread; empty lists drop out afterwards."""
+    return df.select(*keys, F.explode_outer(words).alias(out)).filter(F.col(out).isNotNull())
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
@@ -226,21 +232,23 @@ def terms(text: Column) -> Column:
 def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8) -> DataFrame:
     """BM25 over chunks that hold all words of the query; where none does and the query has several words, any word.
 
-    Only words that some query uses leave the chunk side. Term frequencies are combined per (chunk, term) before the
-    join, and the join is salted, as a common word may sit in a third of all chunks.
+    Only words that some query uses leave the chunk side, placed by chunk. Where the query terms are too many for Spark
+    to broadcast, the join on the word is salted, as a common word may sit in a third of all chunks.
     """
     asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("_t"))
-    q_terms = asked.select("query_id", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+    q_terms = explode_words(asked.withColumn("n_terms", F.size("_t")), ["query_id", "n_terms"], "_t")
     wanted = q_terms.select("term").distinct()
     tokens = chunks.select(*KEY, terms(F.col("content")).alias("_t")).withColumn("length", F.size("_t"))
     corpus = tokens.agg(F.struct(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length")).alias("c")).scalar()
-    tf = tokens.select(*KEY, "length", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy(
-        *KEY, "length", "term").agg(F.count("*").alias("tf"))
+    # Rows of a chunk stay together from here on: counting, joining with broadcast query terms and summing need no
+    # further shuffle.
+    placed = explode_words(tokens, [*KEY, "length"], "_t").join(wanted, "term", "left_semi").repartition(*KEY)
+    tf = placed.groupBy(*KEY, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = q_terms.join(df, "term").withColumn("_c", corpus).select("query_id", "n_terms", "term", "df", "_c.*").select(
         "query_id", "n_terms", "term", "mean_length", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-        F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-    salted = tf.withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(salt)).cast("int"))
+        ordered.every_salt(salt).alias("_salt"))
+    salted = tf.withColumn("_salt", ordered.salt_of(KEY, salt))
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (
         F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length")))
     matched = salted.join(weighted, ["term", "_salt"]).groupBy("query_id", *KEY).agg(

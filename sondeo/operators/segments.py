@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sondeo.functions import ordered, text
+from sondeo.operators.retrieval import explode_words
 
 # Limits of the checks, kinds of discarded spans, query formats.
 MEDIAN_BLOCK_LINES_MAX = 25
@@ -281,10 +282,10 @@ def corpus_leakage(passages: DataFrame, summaries: DataFrame, n: int = NGRAM_SIZ
     """
     def grams(df, key):
         cut = df.select(key, text.content_words(F.col("text")).alias("_w"))
-        return cut.select(key, F.explode(text.ngrams(F.col("_w"), n)).alias("gram"))
+        return explode_words(cut.select(key, text.ngrams(F.col("_w"), n).alias("_g")), [key], "_g", "gram")
 
-    left = grams(passages, "passage_id").withColumn("_salt", F.pmod(F.xxhash64("passage_id"), F.lit(salt)).cast("int"))
-    right = grams(summaries, "summary_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    left = grams(passages, "passage_id").withColumn("_salt", ordered.salt_of(["passage_id"], salt))
+    right = grams(summaries, "summary_id").withColumn("_salt", ordered.every_salt(salt))
     return left.join(right, ["gram", "_salt"]).groupBy("summary_id", "passage_id").agg(F.count("*").alias("shared"))
 
 

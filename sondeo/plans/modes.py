@@ -93,3 +93,20 @@ def sweep(lists: dict[str, DataFrame], cells: list[dict]) -> DataFrame:
     exempt = F.col("mode").isin(*filters.THRESHOLD_EXEMPT)
     kept = (F.col("rank") <= F.col("top_k")) & (exempt | (F.col("score_threshold") <= 0) | (F.col("score") >= F.col("score_threshold")))
     return hits.filter(kept).drop(*limits)
+
+
+def run_specs(specs: DataFrame, chunks: DataFrame, score_pairs: Callable[[DataFrame], DataFrame], candidates: int = retrieval.RERANK_CANDIDATES) -> DataFrame:
+    """Ranked hits of every search spec (query_id, embedding, filters, depth and what else names it), full rerank depth.
+
+    Unlike the production search no score is cut off; ``kept`` marks the hits within the depth of the spec.
+    """
+    found = retrieval.dense_top_k(specs, chunks, candidates)
+    ranked = retrieval.apply_rerank(found, score_pairs(found), candidates)
+    rest = [c for c in specs.columns if c not in ("embedding", *retrieval.FILTERS)]
+    return ranked.join(specs.select(*rest), "query_id").withColumn("kept", F.col("rank") <= F.col("depth"))
+
+
+def stored_contents(runs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Content of every chunk that some run kept."""
+    keys = runs.filter("kept").select(*retrieval.KEY).distinct()
+    return chunks.join(keys, retrieval.KEY, "left_semi").select(*retrieval.KEY, "content")

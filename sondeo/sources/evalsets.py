@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 EXPECTED = "struct<document: string, chunk_index: int, identifying_quote: string>"
 QUERY = f"struct<query: string, type: string, expected_documents: array<string>, expected_chunks: array<{EXPECTED}>>"
@@ -25,13 +25,15 @@ PASS_D = "document string, model string, queries array<struct<theme_id: string,
 
 
 def read_query_sets(spark: SparkSession, path: str) -> DataFrame:
+    return parse_query_sets(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def parse_query_sets(files: DataFrame) -> DataFrame:
     """One row per file with the query array, whether the file is an object with ``queries`` or a bare array."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.trim("value").alias("value")
-    )
-    bare = F.from_json("value", f"array<{QUERY}>")
-    wrapped = F.from_json("value", f"struct<queries: array<{QUERY}>>")["queries"]
-    return files.select("file", F.when(F.col("value").startswith("["), bare).otherwise(wrapped).alias("queries"))
+    body = F.trim("value")
+    bare = F.from_json(body, f"array<{QUERY}>")
+    wrapped = F.from_json(body, f"struct<queries: array<{QUERY}>>")["queries"]
+    return files.select("file", F.when(body.startswith("["), bare).otherwise(wrapped).alias("queries"))
 
 
 def query_table(sets: DataFrame) -> DataFrame:

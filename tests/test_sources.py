@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from sondeo.sources import corpus, evalsets, logs, tables, transcripts
 
 TOOL = "lookup"
