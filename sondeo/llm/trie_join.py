@@ -41,7 +41,8 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = word_numbers((text or "").encode("utf-8", "surrogatepass"), lower=True)
     if not len(words):
         return words
-    return np.unique(windows(words, min(width, len(words))))
+    found = np.sort(windows(words, min(width, len(words))))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def _identity(numbers: np.ndarray) -> tuple[int, int]:

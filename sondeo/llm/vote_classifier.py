@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sondeo.llm.common import needed
 from sondeo.llm.labelled import held_out, sample
-from sondeo.llm.words import PIECE
+from sondeo.llm.words import pieces, spans
 
 #: Hashed terms, latent dimensions, neighbours that vote, and documents in a block.
 TERMS, LATENT, NEIGHBOURS, BLOCK = 4096, 64, 25, 256
@@ -27,12 +27,28 @@ SAMPLE = 2000
 POWER, THRESHOLD = 16, 0.7
 
 
+def _again(b: np.ndarray, last: np.uint64 | None) -> tuple[np.ndarray, np.uint64 | None]:
+    """Some bytes in which a word that equals the one before it is a single byte 1, and the last word's number."""
+    starts, ends, numbers = spans(b)
+    if not len(numbers):
+        return b, last
+    same = np.concatenate([[last is not None and numbers[0] == last], numbers[1:] == numbers[:-1]])
+    if same.any():
+        b, change = b.copy(), np.zeros(len(b) + 1, np.int64)
+        b[starts[same]] = 1
+        change[starts[same] + 1] += 1
+        change[ends[same]] -= 1
+        b = b[np.cumsum(change[:-1]) == 0]
+    return b, numbers[-1]
+
+
 def term_counts(text: str | None) -> np.ndarray:
-    """Counts of the hashed byte trigrams of a whole text."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    counts = np.zeros(TERMS, np.int64)
-    for at in range(0, max(len(data) - 2, 0), PIECE):
-        b = np.frombuffer(data[at:at + PIECE + 2], np.uint8).astype(np.uint32)
+    """Counts of the hashed byte trigrams of a whole text; a word said twice in a row is a mark of its own."""
+    counts, end, last = np.zeros(TERMS, np.int64), np.empty(0, np.uint8), None
+    for piece in pieces((text or "").encode("utf-8", "surrogatepass")):
+        b, last = _again(np.frombuffer(piece, np.uint8), last)
+        b = np.concatenate([end, b]).astype(np.uint32)
+        end = b[-2:].astype(np.uint8)
         code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
         counts += np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=TERMS)
     return counts

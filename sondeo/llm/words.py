@@ -53,25 +53,26 @@ def pieces(data: bytes, size: int = PIECE) -> list[bytes]:
     return [*out, data[start:]]
 
 
+def spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of some bytes starts and ends, and its number."""
+    space = np.empty(len(b) + 2, bool)
+    space[0] = space[-1] = True
+    space[1:-1] = IS_SPACE[b]
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    up, down = _POWERS.of(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[b] * up[:len(b)], out=total[1:])
+    return starts, ends, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_numbers(data: bytes, lower: bool = False) -> np.ndarray:
     """One number for each word, in order."""
-    found = []
+    found = [np.empty(0, np.uint64)]
     for piece in pieces(data):
         b = np.frombuffer(piece, np.uint8)
-        if not len(b):
-            continue
-        if lower:
-            b = LOWER[b]
-        space = np.empty(len(b) + 2, bool)
-        space[0] = space[-1] = True
-        space[1:-1] = IS_SPACE[b]
-        turns = np.flatnonzero(space[1:] != space[:-1])
-        starts, ends = turns[::2], turns[1::2]
-        up, down = _POWERS.of(len(b) + 1)
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[b] * up[:len(b)], out=total[1:])
-        found.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+        found.append(spans(LOWER[b] if lower else b)[2])
+    return np.concatenate(found)
 
 
 def windows(numbers: np.ndarray, width: int) -> np.ndarray:
