@@ -139,11 +139,11 @@ def encode_giants(rows: DataFrame, model: str, chunk: int) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``id_col, ids``: every row's whole text as piece ids.
+    """``id_col, ids, source_crc32``: every row's whole text as piece ids, and the checksum of the text's UTF-8 bytes.
 
     Null and empty texts have an empty list; repeated rows are encoded alike; an empty table gives an empty result. Columns other
     than the two named are not read. Lone surrogates do not occur in a column of texts."""
-    given = needed(docs, id=id_col, text=text_col)
+    given = needed(docs, id=id_col, text=text_col).withColumn("crc", F.crc32(F.coalesce("text", F.lit(""))))
     kind = dict(given.dtypes)["id"]
     length = F.coalesce(F.length("text"), F.lit(0))
 
@@ -152,13 +152,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = [np.array(vocabulary(model).encode(t), np.int32) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), part.column(2)], ["id", "ids", "crc"])
 
-    whole = given.where(length < chunk).mapInArrow(small, f"id {kind}, ids array<int>")
+    whole = given.where(length < chunk).mapInArrow(small, f"id {kind}, ids array<int>, crc long")
     long = cut(given.where(length >= chunk).withColumn("key", F.monotonically_increasing_id()))
     found = encode_giants(long.select("key", "text"), model, chunk)
-    giants = long.select("key", "id").join(found, "key").select("id", "ids")
-    return whole.union(giants).withColumnRenamed("id", id_col)
+    giants = long.select("key", "id", "crc").join(found, "key").select("id", "ids", "crc")
+    return whole.union(giants).withColumnsRenamed({"id": id_col, "crc": "source_crc32"})
 
 
 def decode(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -175,9 +175,9 @@ def decode(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "
     return given.mapInArrow(read, f"id {dict(given.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col, n_tokens, ids_crc32`` (of little-endian 32-bit ids) and ``text_crc32``, ``n_bytes`` of the decoded text, for comparing with the source."""
-    given = needed(rows, id=id_col, ids=ids_col)
+def round_trip(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
+    """What `encode` gave, with ``n_tokens, ids_crc32`` (of little-endian 32-bit ids) and ``text_crc32`` of the text that the ids decode to."""
+    given = encoded.select(F.col(f"`{id_col}`").alias("id"), "ids", "source_crc32")
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -185,8 +185,8 @@ def round_trip(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
             for x in batch.column(1):
                 ids = x.values.to_numpy() if x.is_valid else np.empty(0, np.int32)
                 text = b"".join(map(vocabulary(model).bytes_of.__getitem__, ids.tolist()))[1:]
-                out.append((len(ids), zlib.crc32(ids.astype("<i4")), zlib.crc32(text), len(text)))
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], ["id", "n_tokens", "ids_crc32", "text_crc32", "n_bytes"])
+                out.append((len(ids), zlib.crc32(ids.astype("<i4")), zlib.crc32(text)))
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns]], [*batch.schema.names, "n_tokens", "ids_crc32", "text_crc32"])
 
-    return given.mapInArrow(read, f"id {dict(given.dtypes)['id']}, n_tokens long, ids_crc32 long, text_crc32 long, n_bytes long").withColumnRenamed("id", id_col)
+    return given.mapInArrow(read, f"id {dict(given.dtypes)['id']}, ids array<int>, source_crc32 long, n_tokens long, ids_crc32 long, text_crc32 long").withColumnRenamed("id", id_col)
