@@ -15,10 +15,12 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,67 +28,109 @@ from pyspark.sql import functions as F
 from sondeo.llm.common import cut, needed
 
 END = 0
-#: Distinct words whose ids a task keeps at a time; beyond it the store is emptied and filled again.
-KEPT_WORDS = 400_000
-#: A single space between two other characters: no token of a byte-level tokenizer that splits before spaces reaches over it.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Distinct pieces whose ids a worker keeps at a time; beyond it the store is emptied and filled again.
+KEPT_WORDS = 800_000
+#: No token of a byte-level tokenizer that splits before spaces reaches over a single space between two other characters. A text in
+#: which a space stands beside white space, or at an end, is encoded whole.
+UNSAFE = re.compile(r" \s|\s ")
+#: How a byte-level vocabulary writes a space.
+SPACE = "\u0120"
 #: Ids in one file, about; it decides how many files there are.
 FILE_IDS = 8_000_000
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer file, which encodes each distinct piece between safe spaces once."""
+    """Ids of whole texts by a tokenizer file. Where single spaces part a text, what lies between is encoded once for all its places.
+
+    New pieces are encoded joined by spaces, hundreds in one call; a token that begins with a space begins a piece."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.begins = np.array([(self.tokenizer.id_to_token(k) or "").startswith(SPACE) for k in range(size)])
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut_up = []
-        for text in texts:
-            first, *rest = SAFE.split(text)
-            cut_up.append([first, *[" " + x for x in rest]])
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        new = list({piece for pieces in cut_up for piece in pieces if piece not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.kind) for pieces in cut_up]
+        groups = [pieces[at:at + 300] for at in range(0, len(pieces), 300)]
+        for group, ids in zip(groups, self._whole([" " + " ".join(g) for g in groups])):
+            cuts = [*(np.flatnonzero(self.begins[ids]) * self.kind.itemsize).tolist(), ids.nbytes]
+            if len(cuts) != len(group) + 1:
+                cuts, ids = [0], self._whole([" " + x for x in group])
+                for x in ids:
+                    cuts.append(cuts[-1] + x.nbytes)
+                ids = np.concatenate(ids)
+            data = ids.tobytes()
+            self.known.update(zip(group, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids' bytes for each text."""
+        plain = [k for k, text in enumerate(texts) if text and not UNSAFE.search(text) and not text[0].isspace() and not text[-1].isspace()]
+        out: list[bytes] = [b""] * len(texts)
+        cut_up = [texts[k].split(" ") for k in plain]
+        firsts = [pieces.pop(0) for pieces in cut_up]
+        pieces = set().union(*cut_up) - self.known.keys()
+        if len(self.known) + len(pieces) > KEPT_WORDS:
+            pieces = set().union(*cut_up)
+        self._learn(sorted(pieces))
+        for k, first, rest in zip(plain, self._whole(firsts), cut_up):
+            out[k] = first.tobytes() + b"".join(map(self.known.__getitem__, rest))
+        others = [k for k in sorted(set(range(len(texts))) - set(plain)) if texts[k]]
+        for k, ids in zip(others, self._whole([texts[k] for k in others])):
+            out[k] = ids.tobytes()
+        return out
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """Read once in each Python worker, which keeps what it has encoded from task to task."""
+    return WordEncoder(path)
 
 
 def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder, packer = word_encoder(path), zstandard.ZstdCompressor(level=6)
         for whole in frames:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                                                  pa.array([x.tobytes() for x in ids], pa.binary())], ["id", "n", "tie", "ids"])
+                n = [len(x) // encoder.kind.itemsize + 1 for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                                                  pa.array([packer.compress(x) for x in ids], pa.binary())], ["id", "n", "tie", "ids"])
     return run
 
 
+def _unpacked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpacker = zstandard.ZstdDecompressor()
+    for whole in frames:
+        for at in range(0, whole.num_rows, 256):
+            yield pa.RecordBatch.from_arrays([pa.array([unpacker.decompress(x) for x in whole.column(0).slice(at, 256).to_pylist()], pa.binary())], ["value"])
+
+
 def write_dataset(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> None:
     """Writes the dataset of all rows below ``path``. Null texts count as empty; rows of one id come by length, then by a checksum of
     their ids; null ids come first. Columns other than the two named are not read. An empty table gives files without documents.
 
-    Texts are encoded once. Their ids are sorted by range, so what file k holds comes before what file k + 1 holds, and each file's
+    Texts are encoded once, and packed until they are in place. Their ids are sorted by range, so what file k holds comes before what file k + 1 holds, and each file's
     base in the whole is the sum of the files before it."""
     spark = docs.sparkSession
     given = needed(docs, id=id_col, text=text_col)
     kind = dict(given.dtypes)["id"]
-    width = WordEncoder(tokenizer).kind.itemsize
-    given.mapInArrow(_encoded(tokenizer), f"id {kind}, n long, tie long, ids binary").write.option("compression", "zstd").parquet(f"{path}/encoded")
+    width = word_encoder(tokenizer).kind.itemsize
+    given.mapInArrow(_encoded(tokenizer), f"id {kind}, n long, tie long, ids binary").write.option("compression", "none").parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     files = max(1, -(-int(encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // file_ids))
     ordered = encoded.repartitionByRange(files, "id").sortWithinPartitions("id", "n", "tie")
-    ordered.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", chr(END) * width).text(f"{path}/ids")
+    flat = ordered.select("ids").mapInArrow(_unpacked, "value binary")
+    flat.select(F.col("value").cast("string").alias("value")).write.option("lineSep", chr(END) * width).text(f"{path}/ids")
     index = _index(encoded.select("id", "n", "tie"), flat_files(spark, f"{path}/ids", width), files)
     index.select("id", "file", "first", "start", "n").write.parquet(f"{path}/index")
     index.select("start").mapInArrow(_offset_bytes, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(f"{path}/offsets")
@@ -151,7 +195,7 @@ def read_dataset(spark: SparkSession, path: str, tokenizer: str, digest: bool =
 
     Each document is taken from its memory-mapped file by its offset; a file's documents are read in file order."""
     index = spark.read.parquet(f"{path}/index")
-    kind = WordEncoder(tokenizer).kind
+    kind = word_encoder(tokenizer).kind
 
     def taken(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, flat = None, None
