@@ -80,8 +80,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes whole rows below ``path`` as Parquet, one folder ``shard=N`` each, several files of one slot range per folder."""
-    places = assign(docs.dropDuplicates([id_col]), shards, id_col, text_col).select(id_col, "shard", "slot")
-    rows = docs.join(places, id_col).withColumn("_block", F.floor(F.col("slot") / 100_000))
-    rows.repartition("shard", "_block").drop("_block").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", block: int = 100_000) -> None:
+    """Writes whole rows below ``path`` as Parquet, a folder ``out_shard=N`` each and a file for every ``block`` slots. Rows of one id go
+    where its first one goes."""
+    places = assign(docs, shards, id_col, text_col).groupBy(F.col(f"`{id_col}`").alias("out_id")).agg(F.min(F.struct("shard", "slot")).alias("out"))
+    rows = docs.join(places, F.col(f"`{id_col}`").eqNullSafe(F.col("out_id")))
+    rows = rows.withColumns({"out_shard": F.col("out.shard"), "out_slot": F.col("out.slot"), "out_block": F.floor(F.col("out.slot") / block)}).drop("out", "out_id")
+    rows.repartition("out_shard", "out_block").sortWithinPartitions("out_shard", "out_slot").drop("out_slot", "out_block").write.partitionBy("out_shard").parquet(path)

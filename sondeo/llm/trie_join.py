@@ -182,7 +182,7 @@ class Trie:
                 end.append(start[below] + common - over)
                 self.parent[below], start[below] = middle, end[middle]
                 path.append(middle)
-            if len(own) > common or len(own) == 0:
+            if len(own) > common:
                 node = len(depth)
                 self.parent.append(path[-1])
                 depth.append(len(own))
