@@ -287,12 +287,12 @@ def a34(spark, sf):
 
 @query("a35_overflow_probability", ctes(st.LOGS, CONTENTS, PRINTED, SIZES) + f""",
 upto AS (SELECT chars, bytes, sum(c) OVER (ORDER BY chars, bytes) - c AS lo FROM (SELECT chars, bytes, count(*) AS c FROM sizes GROUP BY ALL)),
-slots AS (SELECT k, chain, draw, slot FROM (VALUES (3), (4), (5), (6), (12)) a(k), (VALUES (1), (2), (3)) b(chain), range(2000) d(draw), range(1, 37) s(slot) WHERE slot <= k * chain),
+slots AS (SELECT k, chain, draw, slot FROM (VALUES (3), (4), (5), (6), (12)) a(k), (VALUES (1), (2), (3)) b(chain), range(20000) d(draw), range(1, 37) s(slot) WHERE slot <= k * chain),
 picks AS (SELECT k, chain, draw, ('0x' || left(md5('20261015|' || k::VARCHAR || '|' || chain::VARCHAR || '|' || draw::VARCHAR || '|' || slot::VARCHAR), 12))::BIGINT % (SELECT count(*) FROM sizes) AS pick FROM slots),
 sums AS (SELECT k, chain, draw, sum(chars)::BIGINT AS chars, sum(bytes)::BIGINT AS bytes FROM picks ASOF JOIN upto ON pick >= lo GROUP BY ALL)
-SELECT k, chain, count(*) FILTER (chars > 100000) / count(*) AS p_over_chars, count(*) FILTER (bytes > 100000) / count(*) AS p_over_bytes, {pick_sql('bytes', 0.5, 'true')} AS median_bytes FROM sums GROUP BY ALL""")
+SELECT k, chain, count(*) FILTER (chars > 30000) / count(*) AS p_over_chars, count(*) FILTER (bytes > 30000) / count(*) AS p_over_bytes, {pick_sql('bytes', 0.5, 'true')} AS median_bytes FROM sums GROUP BY ALL""")
 def a35(spark, sf):
-    return la.overflow_probability(_sizes(spark, sf), [3, 4, 5, 6, 12], [1, 2, 3], 2000, 100000, 20261015)
+    return la.overflow_probability(_sizes(spark, sf), [3, 4, 5, 6, 12], [1, 2, 3], 20000, 30000, 20261015)
 
 
 # -- windows and limits ------------------------------------------------------------------------------------------------------

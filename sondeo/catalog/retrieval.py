@@ -101,7 +101,6 @@ def filtered_queries(spark, sf):
     return st.vec_queries(spark, sf).select(
         "query_id", "embedding", F.when(q % 3 != 0, tag("col", q % 4)).alias("filter_collection"),
         F.when(q % 2 == 0, "v%").otherwise(tag("v", q % 10)).alias("filter_document"), F.when(q % 5 == 0, "v1").alias("filter_exclude"))
-    return retrieval.dense_top_k(queries, st.vec_chunks(spark, sf), 12)
 
 
 @query("r02_sparse_top_k", ctes(st.VECTORS, SPARSE_ALL, SPARSE) + f"SELECT query_id, rank, {K}, score FROM sparse")
@@ -273,7 +272,7 @@ WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}
 c AS (SELECT doc_id, (('0x' || left(md5(w), 8))::BIGINT % 30522)::INT AS dim, count(*) AS n FROM w GROUP BY ALL)
 SELECT doc_id, dim, round(ln(1.0::DOUBLE + n), 6) AS weight FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(ln(1.0::DOUBLE + n), 6) DESC, dim) <= 256""")
 def m03(spark, sf):
-    return encoders.sparse_encode(text_table(spark, sf, "documents"), ["doc_id"], "text")
+    return encoders.sparse_encode(text_table(spark, sf, "documents"), ["doc_id"], "text", encoders.MAX_ACTIVE_DIMS)
 
 
 @query("r02_sparse_text_search", """
@@ -287,6 +286,6 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc
 def r02b(spark, sf):
     docs, queries = _doc_texts(spark, sf)
     docs = docs.withColumn("collection", F.left("collection", F.lit(0)))
-    chunks = encoders.sparse_encode(docs, retrieval.KEY, "content")
-    asked = encoders.sparse_encode(queries, ["query_id"], "query")
+    chunks = encoders.sparse_encode(docs, retrieval.KEY, "content", encoders.MAX_ACTIVE_DIMS)
+    asked = encoders.sparse_encode(queries, ["query_id"], "query", encoders.MAX_ACTIVE_DIMS)
     return retrieval.sparse_top_k(asked, chunks, 10).select("query_id", "rank", "document", "score")

@@ -33,7 +33,7 @@ def st1(spark, sf):
     return spark.read.schema("collection string, document string, sha256 string").parquet(f"{base}/manifest")
 
 
-@query("st2_streamed_attribution", ctes(st.LOGS, ATTRIBUTED) + "SELECT expand_id, search_id, kind, hit_rank FROM attributed WHERE search_id IS NOT NULL")
+@query("st2_streamed_attribution", ctes(st.LOGS, ATTRIBUTED) + "SELECT expand_id, search_id, kind, hit_rank FROM attributed")
 def st2(spark, sf):
     base = scratch_folder(spark)
     ev = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
@@ -47,7 +47,9 @@ def st2(spark, sf):
         st._tag("s", e, 9).alias("search_id"), "ts", where.alias("collection"), tag("d", (k + F.col("hit_rank") * (e % 3)) % 20).alias("document"),
         ((k + F.col("hit_rank")) % 3).alias("chunk_index"), "hit_rank")
     _finish(jobs.append_to(jobs.attribution_candidates(expands, listed), f"{base}/candidates", f"{base}/checkpoint"))
-    return jobs.best_candidates(spark.read.parquet(f"{base}/candidates")).filter("search_id IS NOT NULL")
+    found = jobs.best_candidates(spark.read.parquet(f"{base}/candidates"))
+    every = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'click'").select(st._tag("e", e, 9).alias("expand_id"))
+    return every.join(found, "expand_id", "left")
 
 
 @query("st3_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -313,7 +313,7 @@ def c05(spark, sf):
 @query("c06_tolerant_overlap")
 def c06(spark, sf):
     spaced = _pairs(spark, sf).withColumn("text2", F.regexp_replace("text2", " ", "  "))
-    return spaced.select("collection", "document", "chunk_index", chunking.tolerant_overlap(400)("text1", "text2").alias("overlap"))
+    return spaced.select("collection", "document", "chunk_index", chunking.tolerant_overlap(2000)("text1", "text2").alias("overlap"))
 
 
 VARIANTS = f"measured AS (SELECT {KEY}, {OVERLAP_SQL.format(cap=300)} AS a, {OVERLAP_SQL.format(cap=2000)} AS b FROM pairs)"

@@ -119,19 +119,31 @@ def content_hash(content: Column) -> Column:
 
 
 def json_value(col: Column, is_text: bool) -> Column:
-    """A scalar as Python's ``json.dumps`` writes it; text is escaped to ASCII by ``to_json`` plus the escape below."""
+    """A scalar as Python's ``json.dumps`` writes it; ``to_json`` quotes text, and what is not printable ASCII becomes \\uXXXX."""
     if not is_text:
         return F.coalesce(col.cast("string"), F.lit("null"))
     array_text = F.to_json(F.array(col))
     bare = F.substring(array_text, 2, F.length(array_text) - 2)
-    return F.when(col.isNull(), F.lit("null")).otherwise(bare)
+    return F.when(col.isNull(), F.lit("null")).otherwise(_ascii(bare))
+
+
+def _ascii(text: Column) -> Column:
+    """Characters beyond printable ASCII as \\uXXXX, those beyond 16 bits as two surrogates."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def one(char: Column) -> Column:
+        code = F.conv(F.hex(F.encode(char, "UTF-32")), 16, 10).cast("long")
+        high = F.lit(0xD800) + F.floor((code - 0x10000) / 0x400)
+        return F.when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(F.lit(0xDC00) + (code - 0x10000) % 0x400)))
+
+    odd = F.transform(F.regexp_extract_all(text, F.lit("([^\\x20-\\x7E])|([\\x20-\\x7E]+)"), F.lit(0)), lambda part: F.when(part.rlike("^[\\x20-\\x7E]"), part).otherwise(one(part)))
+    return F.when(text.rlike("[^\\x20-\\x7E]"), F.array_join(odd, "")).otherwise(text)
 
 
 def config_fingerprint(fields: dict[str, tuple[Column, bool]]) -> Column:
     """First 16 hex digits of SHA-256 over JSON with sorted keys and ``", "`` / ``": "`` separators.
 
-    ``fields`` maps a key to (column, is_text). Equal to the JSON a Python writer emits for ASCII values; text outside
-    ASCII is not escaped here.
+    ``fields`` maps a key to (column, is_text). Equal to the JSON a Python writer emits.
     """
     parts = []
     for i, key in enumerate(sorted(fields)):

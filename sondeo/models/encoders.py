@@ -35,8 +35,10 @@ class HashedTerms:
         return np.divide(out, norms, out=out, where=norms > 0).tolist()
 
 
-def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list]], prefix: str = "", batch: int = BATCH) -> DataFrame:
-    """Adds ``embedding``. ``load`` runs once per task; texts reach the encoder ``batch`` at a time."""
+def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list]], prefix: str = "", batch: int = BATCH, limited: bool = False) -> DataFrame:
+    """Adds ``embedding``. ``load`` runs once per task; texts reach the encoder ``batch`` at a time.
+
+    Texts go in whole. ``limited`` is for an encoder with an input limit: they are cut to `filters.encoder_input`'s."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -48,7 +50,7 @@ def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], lis
                 vectors.extend(encoder(texts[start:start + batch]))
             yield pd.Series(vectors)
 
-    return df.withColumn("embedding", run(encoder_input(F.col(text), prefix)))
+    return df.withColumn("embedding", run(encoder_input(F.col(text), prefix) if limited else F.concat(F.lit(prefix), F.col(text))))
 
 
 def score_pairs(candidates: DataFrame, query: str, content: str, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = BATCH) -> DataFrame:
@@ -73,8 +75,8 @@ def term_overlap(query: Column, content: Column) -> Column:
     return F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_intersect(asked, terms(content))) / F.size(asked))
 
 
-def sparse_encode(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, dim, weight): words hashed to dimensions, weight ln(1 + count) rounded to six digits, the 256 heaviest kept.
+def sparse_encode(df: DataFrame, keys: list[str], text: str, active: int | None = None) -> DataFrame:
+    """(keys, dim, weight): words hashed to dimensions, weight ln(1 + count) rounded to six digits; the ``active`` heaviest, or all.
 
     Dimensions of one text are bounded by the vocabulary, so ranking them per text is too.
     """
@@ -82,8 +84,10 @@ def sparse_encode(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     dim = (F.conv(F.left(F.md5("_w"), F.lit(8)), 16, 10).cast("long") % SPARSE_DIMS).cast("int")
     counts = words.groupBy(*keys, dim.alias("dim")).agg(F.count("*").alias("_n"))
     weighted = counts.select(*keys, "dim", F.round(F.log(1.0 + F.col("_n")), 6).alias("weight"))
+    if active is None:
+        return weighted
     w = Window.partitionBy(*keys).orderBy(F.desc("weight"), F.asc("dim"))
-    return weighted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= MAX_ACTIVE_DIMS).drop("_r")
+    return weighted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= active).drop("_r")
 
 
 def as_map(sparse: DataFrame, keys: list[str]) -> DataFrame:

@@ -157,6 +157,15 @@ def _matching(batch: pa.RecordBatch, flt: tuple) -> pa.RecordBatch:
 
 
 def _rank_batch(batch: pa.RecordBatch, ids: list, vectors: np.ndarray, k: int, heaps: dict) -> None:
+    lengths = pc.list_value_length(batch.column("embedding"))
+    if lengths.null_count:
+        batch, lengths = batch.filter(pc.is_valid(lengths)), lengths.drop_null()
+    if not batch.num_rows:
+        return
+    odd = pc.not_equal(lengths, vectors.shape[1])
+    if pc.any(odd).as_py():
+        row = batch.filter(odd).slice(0, 1).select(KEY).to_pylist()[0]
+        raise ValueError(f"a vector of another length than the queries' {vectors.shape[1]}: {row}")
     column = batch.column("embedding")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = _unit(flat.reshape(batch.num_rows, -1))

@@ -22,10 +22,10 @@ def retrieve(
 ) -> DataFrame:
     """Hits of one mode. ``lists`` holds the fetched candidates: dense and sparse 50 deep, bm25 to its own depth.
 
-    A reranked mode sends at most 50 candidates to the scorer, as no list is deeper.
+    A reranked mode sends ``rerank_candidates`` to the scorer; lists must be fetched at least as deep.
     """
     reranked = "+rerank" in mode
-    depth = min(rerank_candidates, retrieval.CANDIDATES) if reranked else top_k
+    depth = rerank_candidates if reranked else top_k
     base = base_mode(mode)
     if base == "hybrid":
         hits = fusion.reciprocal_rank(lists["dense"], lists["sparse"], rrf_k, k=depth)
@@ -71,8 +71,12 @@ def with_cells(df: DataFrame, cells: list[dict], fields: list[str]) -> DataFrame
 def sweep(lists: dict[str, DataFrame], cells: list[dict]) -> DataFrame:
     """Hits (cell, query_id, rank, key, score) of all cells in one job: cells meet the short candidate lists, not the chunks.
 
-    Cells name mode, top_k, alpha, rrf_k and score_threshold.
+    Cells name mode, top_k, alpha, rrf_k and score_threshold. Reranked modes need a scorer and go through `mode_table`.
     """
+    unknown = sorted({c["mode"] for c in cells} - {"hybrid", "cc", "dense", "sparse", "bm25"})
+    if unknown or not cells:
+        raise ValueError(f"no cells, or modes that a sweep does not know: {unknown}")
+
     def of(*modes_: str) -> list[dict]:
         return [c for c in cells if c["mode"] in modes_]
 

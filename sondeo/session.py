@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,16 +26,20 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def checkpointed(df, fallback_dir: str | None = None):
-    """Cut the lineage in the shared folder the cluster names. Where none is set, as in tests, a folder is made up."""
+    """Cut the lineage in the shared folder the cluster names; where none is set, in one below the warehouse."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = spark.conf.get(CHECKPOINT_KEY, None)
-        context.setCheckpointDir(named or fallback_dir or tempfile.mkdtemp(prefix="sondeo-"))
+        context.setCheckpointDir(fallback_dir or _shared(spark))
     return df.checkpoint(eager=True)
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    return f"{base.rstrip('/')}/sondeo-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sondeo-")
+    """A fresh folder below the shared one."""
+    return f"{_shared(spark)}/sondeo-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names, else one below the warehouse, which driver and executors share too."""
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sondeo-checkpoints").rstrip("/")

@@ -34,15 +34,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
-    filled = lines.filter(F.trim("value") != "")
-    return filled.select(F.from_json("value", schema).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+    """Records of JSON lines. A line that is no JSON stops the read, as a half-written log must not count as records."""
+    return sound(lines).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def sound(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank, each checked to be JSON when it is read."""
+    broken = F.raise_error(F.concat(F.lit("not a JSON line: "), F.left("value", F.lit(200))))
+    return lines.filter(F.trim("value") != "").select(F.when(F.try_parse_json("value").isNull(), broken.cast("string")).otherwise(F.col("value")).alias("value"))
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
     """ts, server, code, msg and every further key as text in ``extra``."""
     fixed = ["ts", "server", "code", "msg"]
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", "map<string,string>").alias("m")).filter(F.col("m").isNotNull())
+    parsed = sound(spark.read.text(path)).select(F.from_json("value", "map<string,string>").alias("m"))
     return parsed.select(
         *[F.col("m")[k].alias(k) for k in fixed], F.map_filter("m", lambda k, v: ~k.isin(fixed)).alias("extra")
     )

@@ -5,29 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DOC = ["collection", "document"]
-SIDECAR = "collection string, document string, part int, chunks array<struct<index: int, content: string>>"
-CHUNKS_PER_RECORD = 100_000
+SIDECAR = "collection string, document string, chunks array<struct<index: int, content: string>>"
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    return sidecar_rows(spark.read.schema(SIDECAR).option("multiLine", True).json(path))
+    """Chunk rows of sidecar files, one record per line, any number of documents per file."""
+    return sidecar_rows(spark.read.schema(SIDECAR).json(path))
 
 
 def sidecar_rows(sidecars: DataFrame) -> DataFrame:
-    """Nested sidecars to chunk rows; the total is the array length (over all parts), the index comes from the file."""
-    sizes = sidecars.groupBy(*DOC).agg(F.sum(F.size("chunks")).cast("int").alias("total_chunks"))
-    return sidecars.join(sizes, DOC).select(*DOC, "total_chunks", F.explode("chunks").alias("c")).select(
+    """Nested sidecars to chunk rows; the total is the array length, the index comes from the file."""
+    return sidecars.select(*DOC, F.size("chunks").alias("total_chunks"), F.explode("chunks").alias("c")).select(
         *DOC, F.col("c.index").alias("chunk_index"), "total_chunks", F.col("c.content").alias("content")
     )
 
 
-def sidecar_records(chunks: DataFrame, per_record: int = CHUNKS_PER_RECORD) -> DataFrame:
-    """One nested record per document, chunks in index order.
-
-    A document with more than ``per_record`` chunks continues in further records with the next ``part``, so that no
-    record, and no task, has to hold an unbounded document.
-    """
-    return chunks.groupBy(*DOC, F.floor(F.col("chunk_index") / per_record).cast("int").alias("part")).agg(
+def sidecar_records(chunks: DataFrame) -> DataFrame:
+    """One nested record per document, chunks in index order: an export. The table with a chunk per row is what scales."""
+    return chunks.groupBy(*DOC).agg(
         F.array_sort(F.collect_list(F.struct(F.col("chunk_index").alias("index"), F.col("content").alias("content")))).alias("chunks")
     )
 

@@ -105,7 +105,7 @@ def test_small_expressions(spark):
 def test_fingerprint_equals_sorted_json(spark):
     import hashlib
     import json
-    fields = {"b": 3, "a": 'quote " and \n', "c": None}
+    fields = {"b": 3, "a": 'quote " and \n ü 日 \U0001f600\x7f', "c": None}
     want = hashlib.sha256(json.dumps(fields, sort_keys=True).encode()).hexdigest()[:16]
     cols = {"b": (F.lit(3), False), "a": (F.lit(fields["a"]), True), "c": (F.lit(None).cast("string"), True)}
     assert spark.range(1).select(lf.config_fingerprint(cols).alias("f")).first().f == want

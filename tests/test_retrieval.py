@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sondeo.models import encoders
@@ -69,6 +70,19 @@ def test_filters_per_query(spark):
     assert _collect(retrieval.dense_top_k(filtered, c, 7)) == _brute(qs, cs, 7, allowed)
 
 
+def test_vectors_of_another_length_stop_the_search(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    c = spark.createDataFrame([("c", "d", 0, [1.0, 0.0, 0.0]), ("c", "d", 1, [1.0] * 5), ("c", "e", 0, None)], "collection string, document string, chunk_index int, embedding array<float>")
+    with pytest.raises(Exception, match="another length"):
+        retrieval.dense_top_k(q, c, 3).collect()
+    assert len(retrieval.dense_top_k(q, c.filter("chunk_index = 0"), 3).collect()) == 1
+
+
+def test_sweep_refuses_modes_it_does_not_know():
+    with pytest.raises(ValueError, match="rerank"):
+        modes.sweep({}, [{"mode": "dense+rerank"}])
+
+
 def test_empty_query_table(spark):
     _, _, q, c = _frames(spark)
     assert retrieval.dense_top_k(q.limit(0), c, 3).count() == 0
@@ -142,11 +156,13 @@ def test_encoder_batches_and_prefix(spark):
 
     df = spark.createDataFrame([("x" * n,) for n in (1, 2, 20000)], "t string").coalesce(1)
     got = sorted(r.embedding[0] for r in encoders.embed(df, "t", load, "ab", 2).collect())
-    assert got == [3.0, 4.0, 12002.0]
+    assert got == [3.0, 4.0, 20002.0]
+    cut = sorted(r.embedding[0] for r in encoders.embed(df, "t", load, "ab", 2, limited=True).collect())
+    assert cut == [3.0, 4.0, 12002.0]
 
 
 def test_sparse_encoding_keeps_256_dimensions(spark):
     df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(2000)))], "id long, t string")
-    rows = encoders.sparse_encode(df, ["id"], "t").collect()
+    rows = encoders.sparse_encode(df, ["id"], "t", 256).collect()
     assert len(rows) == 256 and all(r.weight >= round(math.log(2), 6) for r in rows)
-    assert len(encoders.as_map(encoders.sparse_encode(df, ["id"], "t"), ["id"]).first().sparse_embedding) == 256
+    assert len(encoders.as_map(encoders.sparse_encode(df, ["id"], "t", 256), ["id"]).first().sparse_embedding) == 256

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from sondeo.sources import corpus, evalsets, logs, tables, transcripts
 
 TOOL = "lookup"
@@ -37,8 +39,8 @@ def test_sidecars_round_trip(spark, tmp_path):
     rows = [("c", "d", i, 3, f"t{i}") for i in (2, 0, 1)] + [("c", "e", 0, 1, "ü")]
     df = spark.createDataFrame(rows, "collection string, document string, chunk_index int, total_chunks int, content string")
     path = str(tmp_path / "side")
-    tables.write_sidecars(df, path)
-    assert sorted(map(tuple, tables.sidecar_rows(spark.read.schema(tables.SIDECAR).json(path)).collect())) == sorted(rows)
+    tables.write_sidecars(df.coalesce(1), path)
+    assert sorted(map(tuple, tables.read_sidecars(spark, path).collect())) == sorted(rows)
 
 
 def test_replacing_documents_in_a_table(spark, tmp_path):
@@ -54,6 +56,9 @@ def test_jsonl_logs(spark, tmp_path):
     write(tmp_path / "e.jsonl", '{"ts": "2026-09-18T17:24:45+00:00", "expand_id": "e1", "collection": "c", "document": "d", "chunk_index": 0, "before": 0, "after": 1}\n\n  \n')
     assert logs.read_jsonl(spark, str(tmp_path / "e.jsonl"), logs.EXPAND_LOG).count() == 1
     assert logs.read_jsonl(spark, str(tmp_path / "missing.jsonl"), logs.EXPAND_LOG).count() == 0
+    write(tmp_path / "bad.jsonl", '{"ts": "x", "expand_id": "e1"}\n{"ts": "y", "expand\n')
+    with pytest.raises(Exception, match="not a JSON line"):
+        logs.read_jsonl(spark, str(tmp_path / "bad.jsonl"), logs.EXPAND_LOG).collect()
     write(tmp_path / "err.jsonl", '{"ts": "t", "server": "s", "code": "busy", "msg": "m", "pid": 7, "who": "x"}\n')
     row = logs.read_errors(spark, str(tmp_path / "err.jsonl")).first()
     assert (row.code, row.extra) == ("busy", {"pid": "7", "who": "x"})
