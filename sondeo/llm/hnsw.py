@@ -3,7 +3,7 @@
 Equal vectors are one from here on. The vectors of a label are dealt into shards of bounded size; each gets a graph, built once. Every
 shard of a label is asked by every other one (and by itself), one task for each two of them, and links are counted for both sides.
 A search walks down the layers, keeps a beam on the lowest one, and then follows links from hit to hit until it meets no new one. In
-each task some vectors are also compared with the whole shard; while a link that this finds was missed, the beam is doubled and all
+each task some vectors are also compared with the whole shard; while a link that this finds was missed, the beam is widened and all
 are asked again, at the end with a beam as wide as the shard, which is exact. Hits are verified in double precision."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.llm.common import cut, needed
-from sondeo.llm.components import Forest, components
+from sondeo.llm.components import components
 
 COSINE = 0.93
 #: Vectors of a shard, links of a node (twice as many on the lowest layer), beams while building and asking, vectors audited per task.
@@ -22,6 +22,8 @@ SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT = 8192, 16, 48, 48, 64
 #: Vectors that walk together, and nodes that each expands at a time.
 TOGETHER, AT_A_TIME = 256, 4
 SLACK = 1e-5
+#: How much wider a beam gets when an audit finds a link that was missed.
+WIDER = 16
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -144,16 +146,24 @@ class Graph:
             open_ &= ~go
             new = np.where(from_[:, :, None] >= 0, table[np.maximum(from_, 0)], -1).reshape(len(q), -1)
 
-    def links(self, q: np.ndarray, cosine: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all pairs at ``cosine`` or more that a beam of ``width`` leads to."""
-        out = [], []
+    def links(self, q: np.ndarray, cosine: float, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of all pairs at ``cosine`` or more that a beam of ``width`` leads to. Where the beam holds nothing but hits there
+        may be any number more: for such a query it is widened to the whole shard at once. Queries that are nodes, ``own``, also start from themselves."""
+        out, full = ([], []), ([], [])
         for i in range(0, len(q), TOGETHER):
             part = q[i:i + TOGETHER].astype(np.float32)
             at = np.full((len(part), 1), self.entry)
             for k in range(self.top, 0, -1):
                 at = self._beam(k, part, at, 1)[0]
+            if own is not None:
+                at = np.concatenate([at, own[i:i + TOGETHER, None]], axis=1)
             seen = np.zeros((len(part), len(self.x)), bool)
             ids, worth = self._beam(0, part, at, width, seen)
+            wide = np.flatnonzero((worth >= cosine - SLACK).all(axis=1))
+            r, c = np.nonzero(q[i + wide] @ self.exact.T >= cosine)
+            full[0].append(wide[r] + i)
+            full[1].append(c)
+            worth[wide] = -np.inf
             r, c = np.nonzero(worth >= cosine - SLACK)
             who, node = r, ids[r, c]
             while len(who):
@@ -167,23 +177,29 @@ class Graph:
                 seen[who, node] = True
                 hit = np.einsum("nd,nd->n", part[who], self.x[node]) >= cosine - SLACK
                 who, node = who[hit], node[hit]
-        if not out[0]:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        who, node = np.concatenate(out[0]), np.concatenate(out[1])
-        true = np.concatenate([np.einsum("nd,nd->n", q[who[i:i + 100_000]], self.exact[node[i:i + 100_000]]) >= cosine for i in range(0, len(who), 100_000)])
-        return who[true], node[true]
+        who, node = (np.concatenate([np.empty(0, np.int64), *x]) for x in out)
+        true = np.zeros(0, bool) if not len(who) else np.concatenate([np.einsum("nd,nd->n", q[who[i:i + 100_000]], self.exact[node[i:i + 100_000]]) >= cosine for i in range(0, len(who), 100_000)])
+        return tuple(np.concatenate([x[true], *y]).astype(np.int64) for x, y in zip((who, node), full))
 
     def audited(self, q: np.ndarray, cosine: float, width: int, audit: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """``links`` with the least doubling of ``width`` whose sample misses nothing, and that width."""
+        """``links`` at the first of ever wider beams whose sample misses nothing, and that width. Where the shard asks itself, a link that
+        either side finds counts for both, so a vector that few others point to is still found from its own side."""
+        own = np.arange(len(q)) if q is self.exact else None
         some = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
         true = int((q[some] @ self.exact.T >= cosine).sum())
         while True:
             if width >= len(self.x):
                 hits = [np.nonzero(q[i:i + TOGETHER] @ self.exact.T >= cosine) for i in range(0, len(q), TOGETHER)]
                 return np.concatenate([h[0] + i * TOGETHER for i, h in enumerate(hits)]), np.concatenate([h[1] for h in hits]), width
-            if len(self.links(q[some], cosine, width)[0]) >= true:
-                return *self.links(q, cosine, width), width
-            width *= 2
+            if own is not None or len(self.links(q[some], cosine, width)[0]) >= true:
+                who, node = self.links(q, cosine, width, own)
+                if own is not None:
+                    linked = np.zeros((len(q), len(q)), bool)
+                    linked[who, node] = True
+                    who, node = np.nonzero(linked | linked.T)
+                if np.isin(who, some).sum() >= true:
+                    return who, node, width
+            width *= WIDER
 
 
 def _index(frame: pd.DataFrame) -> pd.DataFrame:
@@ -206,6 +222,21 @@ def _loaded(row: pd.Series) -> tuple[Graph, np.ndarray, np.ndarray]:
     return graph, ids, copies
 
 
+def _roots(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place the smallest name among those that links (a, b) between places connect it with."""
+    order = np.argsort(names, kind="stable")
+    low = np.empty(len(names), np.int64)
+    low[order] = np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = np.minimum(new, new[order[new]])
+        if (new == low).all():
+            return names[order[low]]
+        low = new
+
+
 def _ask(cosine: float, beam: int, audit: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Two shards, or one and itself: links of every vector, counted with copies, and the roots of the forest they span."""
@@ -213,23 +244,14 @@ def _ask(cosine: float, beam: int, audit: int):
         graph, ids, copies = _loaded(frame.iloc[0])
         asking, other_ids, other_copies = (graph.exact, ids, copies) if len(frame) == 1 else (lambda g: (g[0].exact, g[1], g[2]))(_loaded(frame.iloc[1]))
         who, node, _ = graph.audited(asking, cosine, beam, audit)
-        a, b = other_ids[who], ids[node]
-        apart = a != b
-        who, node, a, b = who[apart], node[apart], a[apart], b[apart]
-        counts = {}
         if len(frame) == 1:
-            n = len(ids)
-            both = np.unique(np.concatenate([who * n + node, node * n + who]))
-            counts[0] = (ids, np.bincount(both // n, weights=copies[both % n], minlength=n))
+            who, node = who[who != node], node[who != node]
+            names, links = ids, np.bincount(who, weights=copies[node], minlength=len(ids))
         else:
-            counts[0] = (other_ids, np.bincount(who, weights=copies[node], minlength=len(other_ids)))
-            counts[1] = (ids, np.bincount(node, weights=other_copies[who], minlength=len(ids)))
-        forest = Forest()
-        for x, y in zip(a.tolist(), b.tolist()):
-            forest.join(x, y)
-        out = pd.concat([pd.DataFrame({"id": i, "links": c.astype(np.int64)}) for i, c in counts.values()])
-        out = out[out["links"] > 0]
-        return out.assign(root=[forest.root(x) for x in out["id"].tolist()], shards=int(frame["shards"].iloc[0]))[["id", "links", "root", "shards"]]
+            links = np.concatenate([np.bincount(who, weights=copies[node], minlength=len(other_ids)), np.bincount(node, weights=other_copies[who], minlength=len(ids))])
+            names, node = np.concatenate([other_ids, ids]), node + len(other_ids)
+        out = pd.DataFrame({"id": names, "links": links.astype(np.int64), "root": _roots(names, who, node), "shards": int(frame["shards"].iloc[0])})
+        return out[out["links"] > 0]
     return run
 
 
