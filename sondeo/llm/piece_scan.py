@@ -151,7 +151,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in frames:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [np.array(vocabulary(model).encode(t), np.int32) for t in part.column(1).to_pylist()]
+                ids = [np.frombuffer(vocabulary(model).packed(t), "<i4") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), part.column(2)], ["id", "ids", "crc"])
 
     whole = given.where(length < chunk).mapInArrow(small, f"id {kind}, ids array<int>, crc long")

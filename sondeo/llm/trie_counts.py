@@ -30,12 +30,15 @@ class CountTrie:
 
     def _step(self, path: list[int], token: str, depth: int) -> int:
         """The new node of ``token[:depth]`` below the nodes of its shorter prefixes."""
-        score, top, count = self.vocab.score, NONE, 0
-        for length in range(min(self.vocab.longest, depth), 0, -1):
-            worth = score.get(token[depth - length:depth])
-            if worth is not None and self.best[path[depth - length]] + worth > top:
-                top, count = self.best[path[depth - length]] + worth, self.tokens[path[depth - length]] + 1
-        if token[depth - 1] not in score:
+        behind, best, top, count = self.vocab.behind.get, self.best, NONE, 0
+        for start in range(depth - 1, max(depth - self.vocab.longest, 0) - 1, -1):
+            worth = behind(token[start:depth])
+            if worth is None:
+                break
+            worth += best[path[start]]
+            if worth >= top:
+                top, count = worth, self.tokens[path[start]] + 1
+        if token[depth - 1] not in self.vocab.score:
             size = len(token[depth - 1].encode("utf-8", "surrogatepass"))
             worth = self.best[path[depth - 1]] - BYTE_COST * size
             if worth > top:

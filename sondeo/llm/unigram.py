@@ -14,12 +14,17 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
+
 PRE_TOKEN = re.compile(r"\n| *[^ \n]+| +")
+#: The same, and cut after Latin letters before a mark: fewer different parts, for vocabularies without a piece over such a place.
+LETTER, SIGN = "[A-Za-z\u00C0-\u024F]", r"[.,;:!?#*$%&|<>()]"
+FINER = re.compile(rf" *{LETTER}+(?={SIGN})|{PRE_TOKEN.pattern}")
 MARK = "▁"
 NONE = -(1 << 62)
 BYTE_COST = 20_000
-#: Distinct pre-tokens that a task keeps solved at a time; beyond it the store is emptied and filled again.
-KEPT = 300_000
+#: Distinct parts that a task keeps solved. When they are more, the store becomes the older one, from which parts in use are taken over.
+KEPT, LONGEST = 300_000, 256
 
 
 class Vocabulary:
@@ -45,24 +50,29 @@ class Vocabulary:
                 self.bytes_of.append(own.encode())
                 self.id[own], self.score[own] = k, -round(1000 * math.log1p(max(-model.get_score(k), 0)))
         self.longest = max(map(len, self.id))
-        self.starts = {own[:k] for own in self.id for k in range(1, len(own) + 1)}
-        self.known: dict[str, list[int]] = {}
+        #: Every beginning and every ending of a piece with the score it has as a piece itself, NONE if it is none.
+        self.ahead = {own[:k]: NONE for own in self.id for k in range(1, len(own))} | self.score
+        self.behind = {own[k:]: NONE for own in self.id for k in range(1, len(own))} | self.score
+        self.parts = PRE_TOKEN if any(re.search(LETTER + SIGN, own) for own in self.id) else FINER
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def forward(self, s: str, best: list[int], end: int) -> list[int]:
         """Raises ``best[p]``, the score of the best way to position p, by pieces that start before ``end``; returns each best last piece's length."""
-        back, score, starts, size = [0] * (len(s) + 1), self.score, self.starts, len(s)
+        back, ahead, longest, size = [0] * (len(s) + 1), self.ahead.get, self.longest, len(s)
         for q in range(end):
             here = best[q]
             if here == NONE:
                 continue
-            for p in range(q + 1, min(q + self.longest, size) + 1):
-                piece = s[q:p]
-                if piece not in starts:
-                    break
-                worth = score.get(piece)
-                if worth is not None and here + worth > best[p]:
-                    best[p], back[p] = here + worth, p - q
-            if s[q] not in score:
+            alone = ahead(s[q])
+            if alone is not None:
+                for p in range(q + 1, min(q + longest, size) + 1):
+                    worth = ahead(s[q:p])
+                    if worth is None:
+                        break
+                    if here + worth > best[p]:
+                        best[p], back[p] = here + worth, p - q
+            if alone is None or alone == NONE:
                 worth = here - BYTE_COST * len(s[q].encode("utf-8", "surrogatepass"))
                 if worth > best[q + 1]:
                     best[q + 1], back[q + 1] = worth, 1
@@ -87,22 +97,26 @@ class Vocabulary:
         back = self.forward(token, best, len(token))
         return best[-1], self.trace(token, back, len(token))[1]
 
-    def ids(self, marked: str) -> list[int]:
-        """Ids of a text that already has its space before it, or of a part between two forced breaks."""
-        known, out = self.known, []
-        for token in PRE_TOKEN.findall(marked):
-            found = known.get(token)
-            if found is None:
-                if len(known) > KEPT:
-                    known.clear()
-                found = self.solve(token)[1]
-                if len(token) <= 256:
-                    known[token] = found
-            out += found
-        return out
+    def _solved(self, part: str) -> bytes:
+        found = self.known.get(part) or self.older.get(part) or np.array(self.solve(part)[1], "<i4").tobytes()
+        if len(part) <= LONGEST:
+            self.known[part] = found
+        return found
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian 32-bit numbers."""
+        if not text:
+            return b""
+        parts = self.parts.findall(" " + text)
+        try:
+            return b"".join(map(self.known.__getitem__, parts))
+        except KeyError:
+            if len(self.known) > KEPT:
+                self.known, self.older = {}, self.known
+            return b"".join(map(self._solved, parts))
 
     def encode(self, text: str | None) -> list[int]:
-        return self.ids(" " + text) if text else []
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
