@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,50 +22,35 @@ BLOCK_CHUNKS = 1024  # chunks of one document that a window task sees at once
 
 # -- cutting ----------------------------------------------------------------------------------------------------------
 
+def cut_points(body: str, size: int) -> list[int]:
+    """Offsets where the text may be cut, both ends included. Spans longer than ``size`` are cut behind every separator of one
+    kind, then what is still too long behind those of the next; a separator that closes its span leaves an empty span after it."""
+    points = [0, len(body)]
+    for separator in map(re.compile, map(re.escape, SEPARATORS)):
+        wide = [(a, b) for a, b in zip(points, points[1:]) if b - a > size]
+        points = sorted(points + [m.end() for a, b in wide for m in separator.finditer(body, a, b)])
+    return points
+
+
 def cut_text(body: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Pieces by ever finer separators, then filled up to ``size``; a new chunk opens with the tail of the last one."""
-    if len(body) <= size:
-        pieces = [body]
-    else:
-        pieces = _refine([body], size)
-    chunks, current = [], ""
-    for piece in pieces:
-        if len(current) + len(piece) <= size:
-            current += piece
-            continue
-        chunks.append(current)
-        current = _tail(current, overlap) + piece
-    chunks.append(current)
-    return [c for c in (c.strip() for c in chunks) if c]
-
-
-def _refine(pieces: list[str], size: int) -> list[str]:
-    for separator in SEPARATORS:
-        finer: list[str] = []
-        for piece in pieces:
-            if len(piece) <= size:
-                finer.append(piece)
-                continue
-            *heads, last = piece.split(separator)
-            finer.extend(head + separator for head in heads)
-            finer.append(last)
-        pieces = finer
-    out: list[str] = []
-    for piece in pieces:
-        if len(piece) <= size:
-            out.append(piece)
-        else:
-            slices = (piece[i:i + size] for i in range(0, len(piece), size))
-            out.extend(s for s in slices if not s.isspace())
-    return out
-
-
-def _tail(current: str, overlap: int) -> str:
-    if overlap <= 0:
-        return ""
-    tail = current[-overlap:]
-    blank = tail.find(" ")
-    return tail[blank + 1:] if 0 <= blank < len(tail) - 1 else tail
+    """Chunks as windows over the cut points: a window that would grow past ``size`` is closed at its last point, and the next one
+    starts at a word inside its last ``overlap`` characters. Spans without separators are cut by length, blank slices left out."""
+    points, spans = cut_points(body, size), []
+    for a, b in zip(points, points[1:]):
+        hard = [body[i:min(i + size, b)] for i in range(a, b, size)] if b - a > size else None
+        spans += [body[a:b]] if hard is None else [x for x in hard if not x.isspace()]
+    kept, start, last, windows = "".join(spans), 0, 0, []
+    for end in accumulate(map(len, spans)):
+        if end - start > size:
+            windows.append((start, last))
+            start = _word_start(kept, max(start, last - max(overlap, 0)), last)
+        last = end
+    return [x for x in (kept[a:b].strip() for a, b in [*windows, (start, last)]) if x]
+
+
+def _word_start(body: str, low: int, high: int) -> int:
+    """Offset behind the first blank of ``body[low:high]``; ``low`` if there is none before its last character."""
+    return body.find(" ", low, max(high - 1, low)) + 1 or low
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, content: str = "content") -> DataFrame:
@@ -210,30 +196,20 @@ def expand_anchors(anchors: DataFrame, chunks: DataFrame, limit: int = 10) -> Da
     return wanted.join(chunks.select(*DOC, "chunk_index", "content"), [*DOC, "chunk_index"])
 
 
-def merge_texts(contents: list[str], cap: int = OVERLAP) -> str:
-    """Texts in order without the overlap found against everything merged so far; a blank line where there is none."""
-    merged = contents[0] if len(contents) else ""
-    for nxt in contents[1:]:
-        size = min(len(merged), len(nxt), cap)
-        while size and not merged.endswith(nxt[:size]):
-            size -= 1
-        merged += nxt[size:] if size else "\n\n" + nxt
-    return merged
+def merge_texts(contents: Column, cap: int = OVERLAP) -> Column:
+    """An array of texts as one: each loses what it shares with the end of all before it; a blank line where nothing is shared."""
+    def joined(merged: Column, following: Column) -> Column:
+        shared = F.array(text.longest_overlap(merged, following, cap))
+        rest = F.transform(shared, lambda n: F.when(n > 0, F.substring(following, n + 1, F.length(following))).otherwise(F.concat(F.lit("\n\n"), following)))
+        return F.concat(merged, rest[0])
+
+    return F.when(F.size(contents) > 0, F.aggregate(F.slice(contents, 2, F.greatest(F.size(contents), F.lit(1))), contents[0], joined)).otherwise("")
 
 
 def merge_expanded(expanded: DataFrame, keys: list[str], cap: int = OVERLAP) -> DataFrame:
     """One merged text per anchor; an anchor has at most 21 chunks."""
-
-    @F.pandas_udf("string")
-    def merge(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: merge_texts(list(p), cap))
-
-    gathered = expanded.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("_parts")
-    )
-    return gathered.select(
-        *keys, F.size("_parts").alias("chunks_returned"), merge(F.col("_parts.content")).alias("content")
-    )
+    gathered = expanded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("_parts"))
+    return gathered.select(*keys, F.size("_parts").alias("chunks_returned"), merge_texts(F.col("_parts.content"), cap).alias("content"))
 
 
 # -- quotes -----------------------------------------------------------------------------------------------------------

