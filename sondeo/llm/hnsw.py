@@ -24,6 +24,8 @@ TOGETHER, AT_A_TIME = 256, 4
 SLACK = 1e-5
 #: How much wider a beam gets when an audit finds a link that was missed.
 WIDER = 16
+#: Places of a node's list on the lowest layer that are kept for nodes without any other way in.
+SPARE = 4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -46,6 +48,28 @@ class Graph:
             batch = np.arange(done, min(n, done + min(done, 2 * TOGETHER)))
             self._insert(batch, level, links, beam)
             done += len(batch)
+        if n:
+            self._connect()
+
+    def _connect(self) -> None:
+        """A way to every node of the lowest layer. Full lists drop links, so some nodes end up with none that leads to them: each such
+        node gets one from its nearest node that can be reached and has a place left, in a few places kept for this."""
+        table = self.layers[0] = np.pad(self.layers[0], ((0, 0), (0, SPARE)), constant_values=-1)
+        reached = np.zeros(len(table), bool)
+
+        def flood(front: np.ndarray) -> None:
+            while len(front):
+                reached[front] = True
+                front = np.unique(table[front])
+                front = front[(front >= 0) & ~reached[front]]
+
+        flood(np.array([self.entry]))
+        for node in np.flatnonzero(~reached):
+            if not reached[node]:
+                open_ = np.flatnonzero(reached & (table.min(axis=1) < 0))
+                via = open_[np.argmax(self.x[open_] @ self.x[node])]
+                table[via, np.argmin(table[via])] = node
+                flood(np.array([node]))
 
     def _insert(self, batch: np.ndarray, level: np.ndarray, links: int, beam: int) -> None:
         at = np.full((len(batch), 1), self.entry)

@@ -102,8 +102,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs``, with all its columns, as many times as ``mix`` says. Ids are taken to be distinct."""
-    copies = mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(f"`{id_col}`").alias("_mixed_id"), F.col("copies").alias("_copies"))
-    joined = docs.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("_mixed_id")))
-    times = joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """The mix itself: each row of ``docs``, with all its columns, as many times as ``mix`` says. Rows that share an id get that id's
+    copies one each, in the order of their sizes, so none is taken for another."""
+    copies = mix(docs, id_col, text_col, source_col).groupBy(F.col(f"`{id_col}`").alias("_mixed_id"))
+    copies = cut(copies.agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("_copies")).where(F.exists("_copies", lambda c: c["copies"] > 0)))
+    times = docs.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("_mixed_id")))
+    nth = F.lit(1)
+    if not copies.where(F.size("_copies") > 1).isEmpty():
+        times = times.withColumn("_size", F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)))
+        nth = F.row_number().over(Window.partitionBy("_mixed_id").orderBy("_size"))
+    times = times.withColumn("_times", F.element_at("_copies", nth)["copies"]).where("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return times.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -115,6 +115,17 @@ def test_graph_widens_until_the_audit_passes():
     assert len(set(zip(who.tolist(), node.tolist()))) == (x @ x.T >= 0.55).sum()
 
 
+def test_every_node_of_a_graph_can_be_reached():
+    near = np.repeat(RANDOM.standard_normal((8, 6)), 60, axis=0) + 0.01 * RANDOM.standard_normal((480, 6))
+    graph = hnsw.Graph(hnsw.unit(near), links=2, beam=4)
+    reached = {graph.entry}
+    front = reached
+    while front:
+        front = {int(n) for f in front for n in graph.layers[0][f] if n >= 0} - reached
+        reached |= front
+    assert len(reached) == 480
+
+
 def test_quality_rules_base_and_carry(docs, none):
     forest = boosted_rules.grow(np.zeros((0, 10)), np.zeros(0), np.zeros(0), list(boosted_rules.FEATURES.values()))
     got = {r.doc_id: r for r in boosted_rules.quality_rules(docs, forest, carry="all").collect()}
@@ -214,6 +225,8 @@ def test_mixing(docs, none):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
     mixed = mixing.repeated(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in rows)
+    twice = docs.union(docs).union(docs.limit(3).withColumn("text", F.lit("more words under an old id")))
+    assert mixing.repeated(twice).count() == sum(r.copies for r in mixing.mix(twice).collect())
     assert mixing.mix(none).count() == 0
 
 
