@@ -206,11 +206,10 @@ def dimension_found(spark, sf):
     """(mode, dim, query_id, type, total, doc_found): dense and fused lists for every vector length, sparse list shared."""
     q, c = st.vec_queries(spark, sf), st.vec_chunks(spark, sf)
     sparse = sparse50(spark, sf)
-    hits = None
-    for dim in DIMS:
-        dense = retrieval.dense_top_k(q.withColumn("embedding", retrieval.truncated(F.col("embedding"), dim)), c.withColumn("embedding", F.slice("embedding", 1, dim)), 50)
-        both = dense.filter("rank <= 10").withColumn("mode", F.lit("dense")).unionByName(fusion.reciprocal_rank(dense, sparse, k=10).withColumn("mode", F.lit("hybrid"))).withColumn("dim", F.lit(dim))
-        hits = both if hits is None else hits.unionByName(both)
+    dense = retrieval.dense_top_k(q, c, 50, dims=DIMS)
+    spread = sparse.withColumn("dim", F.explode(F.array(*map(F.lit, DIMS))))
+    fused = fusion.reciprocal_rank(dense, spread, keys=["dim", "query_id"], k=10)
+    hits = dense.filter("rank <= 10").withColumn("mode", F.lit("dense")).unionByName(fused.withColumn("mode", F.lit("hybrid")))
     cells = modes.grid({"mode": ["dense", "hybrid"], "dim": DIMS}, {})
     wanted = modes.with_cells(expected_documents(spark, sf), cells, ["mode", "dim"]).withColumn("dim", F.col("dim").cast("int"))
     keys = ["mode", "dim", "query_id"]

@@ -74,7 +74,7 @@ def bm25_vec(spark, sf, depth):
 def outside_scores(hits):
     """Stand-in for a scorer's answer: any function of query and chunk."""
     raw = (F.col("chunk_index") * 37 + F.col("query_id") * 11) % 101
-    return hits.select("query_id", "rank", (raw / F.lit(101.0) - F.lit(0.2)).alias("relevance"))
+    return hits.withColumn("relevance", raw / F.lit(101.0) - F.lit(0.2))
 
 
 RELEVANCE = "((chunk_index * 37 + query_id * 11) % 101) / 101.0::DOUBLE - 0.2::DOUBLE"
@@ -177,7 +177,7 @@ def rerank_sql(name: str, source: str, k: int, depth: int = 50) -> str:
 @query("r06_rerank", ctes(st.VECTORS, DENSE_ALL, DENSE, rerank_sql("reranked", "dense", 10)) + "SELECT * FROM reranked")
 def r06(spark, sf):
     hits = dense50(spark, sf)
-    return retrieval.apply_rerank(hits, outside_scores(hits), 10).select("query_id", "rank", *retrieval.KEY, "score")
+    return retrieval.apply_rerank(outside_scores(hits), 10).select("query_id", "rank", *retrieval.KEY, "score")
 
 
 @query("r07_production_search", ctes(st.VECTORS, DENSE_ALL, DENSE, rerank_sql("reranked", "dense", 4, 30)) + "SELECT * FROM reranked WHERE score > 0")
@@ -195,8 +195,8 @@ def r07b(spark, sf):
     queries = encoders.embed(asked, "text", encoders.HashedTerms, encoders.QUERY_PREFIX)
 
     def scores(hits):
-        return hits.join(chunks, retrieval.KEY).join(asked, "query_id").select(
-            "query_id", "rank", encoders.term_overlap(F.col("text"), F.col("content")).alias("relevance"))
+        paired = hits.join(chunks.select(*retrieval.KEY, "content"), retrieval.KEY).join(asked, "query_id")
+        return paired.withColumn("relevance", encoders.term_overlap(F.col("text"), F.col("content"))).drop("text", "content")
 
     return retrieval.production_search(queries, vectors, scores).select("query_id", "rank", *retrieval.KEY, "score")
 

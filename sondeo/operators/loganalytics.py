@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sondeo.functions import logs, ordered
@@ -47,8 +50,9 @@ def join_calls_to_searches(calls: DataFrame, log: DataFrame, call_id: str, tie:
     """(call_id, search_id): calls in time order each take the earliest unused search of the same key in their window.
 
     Windows that overlap in a chain form an island; islands of a key do not influence each other. Islands of one call,
-    the usual case, are solved by a join and a minimum. Only longer chains need the sequential pass, island by island, so
-    a hot key is spread over its islands. Calls without a result never match.
+    the usual case, are solved by a join and a minimum. Only longer chains need an ordered pass: islands are spread over
+    the partitions and sorted by Spark, and each partition streams by once with the calls that still wait in memory, so
+    neither a hot key nor one endless chain is gathered. Calls without a result never match.
 
     The two narrow intermediate tables are read several times and therefore checkpointed (``scratch``: folder to use
     where the cluster names none).
@@ -79,22 +83,33 @@ def join_calls_to_searches(calls: DataFrame, log: DataFrame, call_id: str, tie:
     direct = single.join(records, "group").filter(F.col("at").between(F.col("lo"), F.col("hi"))).groupBy("call_id").agg(
         F.min(F.struct("at", "search_id")).alias("m")).select("call_id", "m.search_id")
     chained = members.join(sizes.filter("n_calls > 1").select("group"), "group", "left_semi")
-    greedy = chained.groupBy("group").applyInPandas(_take_in_order, f"call_id {call_type}, search_id string")
+    # A call opens before the searches of its first microsecond, so calls sort first; "until" is set for calls only.
+    events = chained.select("group", F.coalesce("lo", "at").alias("pos"), F.col("lo").isNull().alias("found"), "tie", "call_id", "search_id", F.col("hi").alias("until"))
+    in_order = events.repartition("group").sortWithinPartitions("group", "pos", "found", "tie", "search_id")
+    greedy = in_order.mapInArrow(_take_in_order, f"call_id {call_type}, search_id string")
     return direct.unionByName(greedy)
 
 
-def _take_in_order(island: pd.DataFrame) -> pd.DataFrame:
-    calls = island[island["lo"].notna()].sort_values(["lo", "tie"])
-    free = island[island["at"].notna()].sort_values(["at", "search_id"])
-    times, ids = free["at"].tolist(), free["search_id"].tolist()
-    taken: set[int] = set()
-    out = []
-    for call, lo, hi in zip(calls["call_id"], calls["lo"], calls["hi"]):
-        pick = next((i for i, t in enumerate(times) if i not in taken and lo <= t <= hi), None)
-        if pick is not None:
-            taken.add(pick)
-            out.append((call, ids[pick]))
-    return pd.DataFrame(out, columns=["call_id", "search_id"])
+def _take_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls wait in line from their start; a search goes to the first in line whose window is still open. As searches come in
+    time order, a call that has closed for one has closed for all later ones, so each event enters and leaves the line once."""
+    group, waiting = None, deque()
+    for batch in batches:
+        calls, searches = [], []
+        columns = (batch.column(name).to_pylist() for name in ("group", "pos", "found", "call_id", "search_id", "until"))
+        for of, pos, found, call, search, until in zip(*columns):
+            if of != group:
+                group = of
+                waiting.clear()
+            if not found:
+                waiting.append((until, call))
+                continue
+            while waiting and waiting[0][0] < pos:
+                waiting.popleft()
+            if waiting:
+                calls.append(waiting.popleft()[1])
+                searches.append(search)
+        yield pa.RecordBatch.from_arrays([pa.array(calls, batch.schema.field("call_id").type), pa.array(searches, pa.string())], ["call_id", "search_id"])
 
 
 def attribute_expands(expands: DataFrame, log: DataFrame, hits: DataFrame, window_us: int = EXPAND_WINDOW_US) -> DataFrame:

@@ -35,10 +35,13 @@ SCORE_CELLS = 2**22              # scores held at once while one batch is ranked
 # -- dense ---------------------------------------------------------------------------------------------------------------
 
 def dense_top_k(
-    queries: DataFrame, chunks: DataFrame, k: int, max_shipped_bytes: int = MAX_SHIPPED_BYTES
+    queries: DataFrame, chunks: DataFrame, k: int, max_shipped_bytes: int = MAX_SHIPPED_BYTES, dims: list[int] | None = None
 ) -> DataFrame:
     """(query_id, rank, key, score): cosine similarity rounded to four digits, all chunks scored.
 
+    With ``dims`` there is one list per query and vector length, named by the column dim: the first ``dim`` components
+    of both sides are compared, and all lengths are ranked in the same pass over the chunks.
+
     ``queries`` has query_id (long), embedding and optionally filter_collection, filter_document, filter_exclude.
     Vectors stay in Arrow buffers; each task keeps its best k per query, so only those reach the final ranking.
 
@@ -55,21 +58,23 @@ def dense_top_k(
                  F.count_if(F.col("filter_collection").isNull()).alias("open")).first()
     if size["n"] and not size["open"]:
         c = c.join(q.select(F.col("filter_collection").alias("collection")).distinct(), "collection", "left_semi")
-    schema = f"query_id long, collection string, document string, chunk_index int, raw double"
-    if size["n"] * ((size["dims"] or 0) * 8 + 64) <= max_shipped_bytes and size["n"] * k <= MAX_KEPT:
-        shipped = queries.sparkSession.sparkContext.broadcast(_QueryBlock(q.toArrow()))
+    schema = "dim int, query_id long, collection string, document string, chunk_index int, raw double"
+    lengths = dims or [None]
+    if size["n"] * ((size["dims"] or 0) * 8 + 64) * len(lengths) <= max_shipped_bytes and size["n"] * k * len(lengths) <= MAX_KEPT:
+        shipped = queries.sparkSession.sparkContext.broadcast(_QueryBlock(q.toArrow(), lengths))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from shipped.value.best(batches, k)
 
         local = c.mapInArrow(score, schema)
     else:
-        local = _blockwise(q, c, k, size["n"], schema)
-    best = ordered.top_k(local, ["query_id"], [F.desc("raw"), *[F.asc(x) for x in KEY]], k)
-    return best.select("query_id", "rank", *KEY, F.round("raw", 4).alias("score"))
+        local = _blockwise(q, c, k, size["n"], schema, lengths)
+    names = ["dim", "query_id"] if dims else ["query_id"]
+    best = ordered.top_k(local, names, [F.desc("raw"), *[F.asc(x) for x in KEY]], k)
+    return best.select(*names, "rank", *KEY, F.round("raw", 4).alias("score"))
 
 
-def _blockwise(q: DataFrame, c: DataFrame, k: int, n_queries: int, schema: str) -> DataFrame:
+def _blockwise(q: DataFrame, c: DataFrame, k: int, n_queries: int, schema: str, lengths: list[int | None]) -> DataFrame:
     """Query blocks against chunk shards; both are bounded, whatever the sizes of the two tables."""
     blocks = -(-n_queries // BLOCK_QUERIES)
     shards = -(-max(c.count(), 1) // SHARD_CHUNKS)
@@ -81,40 +86,39 @@ def _blockwise(q: DataFrame, c: DataFrame, k: int, n_queries: int, schema: str)
     def score(queries: pa.Table, shard: pa.Table) -> pa.Table:
         if not queries.num_rows or not shard.num_rows:
             return _SCORED.empty_table()
-        found = _QueryBlock(queries).best(shard.select([*KEY, "embedding"]).to_batches(), k)
+        found = _QueryBlock(queries, lengths).best(shard.select([*KEY, "embedding"]).to_batches(), k)
         return pa.Table.from_batches(list(found), schema=_SCORED)
 
     keys = ["_block", "_shard"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
-_SCORED = pa.schema([("query_id", pa.int64()), ("collection", pa.string()), ("document", pa.string()),
+_SCORED = pa.schema([("dim", pa.int32()), ("query_id", pa.int64()), ("collection", pa.string()), ("document", pa.string()),
                      ("chunk_index", pa.int32()), ("raw", pa.float64())])
 
 
 class _QueryBlock:
-    """Query vectors grouped by their filter, and the ranking of chunk batches against them."""
+    """Query vectors grouped by their filter, scaled for every vector length, and the ranking of chunk batches against them."""
 
-    def __init__(self, table: pa.Table):
-        rows = table.to_pylist()
+    def __init__(self, table: pa.Table, lengths: list[int | None]):
         groups: dict[tuple, list[dict]] = {}
-        for row in rows:
+        for row in table.to_pylist():
             groups.setdefault(tuple(row[f] for f in FILTERS), []).append(row)
-        self.groups = [
-            (f, [r["query_id"] for r in g], _unit(np.array([r["embedding"] for r in g], dtype=np.float64)))
-            for f, g in groups.items()
-        ]
+        self.groups = []
+        for f, g in groups.items():
+            vectors = np.array([r["embedding"] for r in g], dtype=np.float64)
+            self.groups.append((f, [r["query_id"] for r in g], vectors.shape[1], {d: _unit(vectors[:, :d]) for d in lengths}))
 
     def best(self, batches, k: int) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list] = {}
+        heaps: dict[tuple, list] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for flt, ids, vectors in self.groups:
+            for flt, ids, width, scaled in self.groups:
                 rows = _matching(batch, flt)
                 if rows.num_rows:
-                    _rank_batch(rows, ids, vectors, k, heaps)
-        out = [(qid, *entry[1].key, entry[0]) for qid, heap in heaps.items() for entry in heap]
+                    _rank_batch(rows, ids, width, scaled, k, heaps)
+        out = [(*name, *entry[1].key, entry[0]) for name, heap in heaps.items() for entry in heap]
         for start in range(0, len(out), 10000):
             columns = list(zip(*out[start:start + 10000]))
             yield pa.RecordBatch.from_arrays([pa.array(col, type=f.type) for col, f in zip(columns, _SCORED)], schema=_SCORED)
@@ -156,34 +160,37 @@ def _matching(batch: pa.RecordBatch, flt: tuple) -> pa.RecordBatch:
     return batch.filter(masks[0]) if masks else batch
 
 
-def _rank_batch(batch: pa.RecordBatch, ids: list, vectors: np.ndarray, k: int, heaps: dict) -> None:
+def _rank_batch(batch: pa.RecordBatch, ids: list, width: int, scaled: dict, k: int, heaps: dict) -> None:
+    """Puts the batch's best into the heaps. Only rows that reach some query's floor have their keys looked up."""
     lengths = pc.list_value_length(batch.column("embedding"))
     if lengths.null_count:
         batch, lengths = batch.filter(pc.is_valid(lengths)), lengths.drop_null()
     if not batch.num_rows:
         return
-    odd = pc.not_equal(lengths, vectors.shape[1])
+    odd = pc.not_equal(lengths, width)
     if pc.any(odd).as_py():
         row = batch.filter(odd).slice(0, 1).select(KEY).to_pylist()[0]
-        raise ValueError(f"a vector of another length than the queries' {vectors.shape[1]}: {row}")
-    column = batch.column("embedding")
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = _unit(flat.reshape(batch.num_rows, -1))
-    keys = list(zip(*[batch.column(name).to_pylist() for name in KEY]))
+        raise ValueError(f"a vector of another length than the queries' {width}: {row}")
+    flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    whole = flat.reshape(batch.num_rows, -1)
     step = max(1, SCORE_CELLS // batch.num_rows)
-    for start in range(0, len(ids), step):
-        scores = np.round(vectors[start:start + step] @ matrix.T, 9)
-        for qid, line in zip(ids[start:start + step], scores):
-            heap = heaps.setdefault(qid, [])
-            floor = heap[0][0] if len(heap) == k else -np.inf
-            if len(heap) < k and len(line) > k:
-                floor = np.partition(line, len(line) - k)[len(line) - k]
-            for i in np.nonzero(line >= floor)[0]:
-                entry = (float(line[i]), _Later(keys[i]))
-                if len(heap) < k:
-                    heapq.heappush(heap, entry)
-                elif heap[0] < entry:
-                    heapq.heapreplace(heap, entry)
+    for dim, vectors in scaled.items():
+        matrix = _unit(whole[:, :dim])
+        for start in range(0, len(ids), step):
+            scores = np.round(vectors[start:start + step] @ matrix.T, 9)
+            kept = [heaps.setdefault((dim, qid), []) for qid in ids[start:start + step]]
+            floors = np.array([heap[0][0] if len(heap) == k else -np.inf for heap in kept])
+            if batch.num_rows > k:
+                floors = np.maximum(floors, np.partition(scores, batch.num_rows - k, axis=1)[:, batch.num_rows - k])
+            who, where = np.nonzero(scores >= floors[:, None])
+            used, place = np.unique(where, return_inverse=True)
+            keys = list(zip(*[batch.column(name).take(pa.array(used)).to_pylist() for name in KEY]))
+            for i, at, value in zip(who.tolist(), place.tolist(), scores[who, where].tolist()):
+                entry = (value, _Later(keys[at]))
+                if len(kept[i]) < k:
+                    heapq.heappush(kept[i], entry)
+                elif kept[i][0] < entry:
+                    heapq.heapreplace(kept[i], entry)
 
 
 def truncated(embedding: Column, dims: int) -> Column:
@@ -271,17 +278,15 @@ def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8)
 
 # -- reranking -----------------------------------------------------------------------------------------------------------
 
-def apply_rerank(candidates: DataFrame, scores: DataFrame, k: int, keys: list[str] = ["query_id"]) -> DataFrame:
-    """Candidates ordered by an outside score (keys, rank, relevance), best first; score rounded to six digits."""
-    joined = candidates.join(scores.select(*keys, "rank", "relevance"), [*keys, "rank"]).withColumnRenamed("rank", "_was")
-    best = ordered.top_k(joined, keys, [F.desc("relevance"), F.asc("_was")], k)
+def apply_rerank(scored: DataFrame, k: int, keys: list[str] = ["query_id"]) -> DataFrame:
+    """Candidates with an outside score, ``relevance``, ordered by it, best first; score rounded to six digits."""
+    best = ordered.top_k(scored.withColumnRenamed("rank", "_was"), keys, [F.desc("relevance"), F.asc("_was")], k)
     return best.withColumn("score", F.round("relevance", 6)).drop("relevance", "_was")
 
 
 def production_search(queries: DataFrame, chunks: DataFrame, score_pairs, candidates: int = RERANK_CANDIDATES, k: int = RERANK_TOP_K) -> DataFrame:
-    """Dense candidates, reranked, cut to k, positive scores only. ``score_pairs``: candidates -> (query_id, rank, relevance)."""
-    found = dense_top_k(queries, chunks, candidates)
-    return filters.positive_scores(apply_rerank(found, score_pairs(found), k))
+    """Dense candidates, reranked, cut to k, positive scores only. ``score_pairs`` adds ``relevance`` to the candidates."""
+    return filters.positive_scores(apply_rerank(score_pairs(dense_top_k(queries, chunks, candidates)), k))
 
 
 def with_ranks(hits: DataFrame, keys: list[str] = ["query_id"], tie: list[str] = KEY) -> DataFrame:

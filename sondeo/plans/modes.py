@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,7 +23,7 @@ def retrieve(
 ) -> DataFrame:
     """Hits of one mode. ``lists`` holds the fetched candidates: dense and sparse 50 deep, bm25 to its own depth.
 
-    A reranked mode sends ``rerank_candidates`` to the scorer; lists must be fetched at least as deep.
+    A reranked mode sends ``rerank_candidates`` to ``score_pairs``, which adds their ``relevance``; lists must be fetched as deep.
     """
     reranked = "+rerank" in mode
     depth = rerank_candidates if reranked else top_k
@@ -34,7 +35,7 @@ def retrieve(
     else:
         hits = lists[base].filter(F.col("rank") <= depth)
     if reranked:
-        hits = retrieval.apply_rerank(hits, score_pairs(hits), top_k)
+        hits = retrieval.apply_rerank(score_pairs(hits), top_k)
     hits = filters.above_threshold(hits, mode, threshold)
     return hits.select("query_id", "rank", *retrieval.KEY, "score")
 
@@ -68,19 +69,23 @@ def with_cells(df: DataFrame, cells: list[dict], fields: list[str]) -> DataFrame
     return (spread if keep else spread.filter(F.lit(False))).select(*df.columns, *[F.col(f"_cell.{f}").alias(f) for f in fields])
 
 
-def sweep(lists: dict[str, DataFrame], cells: list[dict]) -> DataFrame:
+def sweep(lists: dict[str, DataFrame], cells: list[dict], score_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Hits (cell, query_id, rank, key, score) of all cells in one job: cells meet the short candidate lists, not the chunks.
 
-    Cells name mode, top_k, alpha, rrf_k and score_threshold. Reranked modes need a scorer and go through `mode_table`.
+    Cells name mode, top_k, alpha, rrf_k and score_threshold; those of reranked modes rerank_candidates too, which their lists
+    must reach. All reranked cells are scored together by ``score_pairs``, which adds ``relevance`` to their candidates.
     """
-    unknown = sorted({c["mode"] for c in cells} - {"hybrid", "cc", "dense", "sparse", "bm25"})
+    unknown = sorted({c["mode"] for c in cells if base_mode(c["mode"]) not in ("hybrid", "cc", "dense", "sparse", "bm25")})
     if unknown or not cells:
         raise ValueError(f"no cells, or modes that a sweep does not know: {unknown}")
+    if score_pairs is None and any("+rerank" in c["mode"] for c in cells):
+        raise ValueError("modes with rerank need a scorer")
+    cells = [{**c, "depth": c.get("rerank_candidates", retrieval.CANDIDATES) if "+rerank" in c["mode"] else c["top_k"]} for c in cells]
 
-    def of(*modes_: str) -> list[dict]:
-        return [c for c in cells if c["mode"] in modes_]
+    def of(base: str) -> list[dict]:
+        return [c for c in cells if base_mode(c["mode"]) == base]
 
-    limits = ["top_k", "score_threshold", "mode"]
+    limits = ["top_k", "score_threshold", "mode", "depth"]
     parts = []
     for mode, fuse, parameter in (("hybrid", fusion.reciprocal_rank, "rrf_k"), ("cc", fusion.convex, "alpha")):
         if of(mode):
@@ -91,9 +96,12 @@ def sweep(lists: dict[str, DataFrame], cells: list[dict]) -> DataFrame:
         if of(mode):
             parts.append(with_cells(lists[mode], of(mode), ["cell", *limits]))
     columns = ["cell", *limits, *Q, "rank", *retrieval.KEY, "score"]
-    hits = parts[0].select(*columns)
-    for part in parts[1:]:
-        hits = hits.unionByName(part.select(*columns))
+    hits = reduce(DataFrame.unionByName, [part.select(*columns) for part in parts]).filter(F.col("rank") <= F.col("depth"))
+    reranked = F.col("mode").contains("+rerank")
+    if score_pairs is not None:
+        deepest = max(c["top_k"] for c in cells)
+        again = retrieval.apply_rerank(score_pairs(hits.filter(reranked)), deepest, ["cell", *limits, *Q])
+        hits = hits.filter(~reranked).unionByName(again.select(*columns))
     exempt = F.col("mode").isin(*filters.THRESHOLD_EXEMPT)
     kept = (F.col("rank") <= F.col("top_k")) & (exempt | (F.col("score_threshold") <= 0) | (F.col("score") >= F.col("score_threshold")))
     return hits.filter(kept).drop(*limits)
@@ -104,8 +112,7 @@ def run_specs(specs: DataFrame, chunks: DataFrame, score_pairs: Callable[[DataFr
 
     Unlike the production search no score is cut off; ``kept`` marks the hits within the depth of the spec.
     """
-    found = retrieval.dense_top_k(specs, chunks, candidates)
-    ranked = retrieval.apply_rerank(found, score_pairs(found), candidates)
+    ranked = retrieval.apply_rerank(score_pairs(retrieval.dense_top_k(specs, chunks, candidates)), candidates)
     rest = [c for c in specs.columns if c not in ("embedding", *retrieval.FILTERS)]
     return ranked.join(specs.select(*rest), "query_id").withColumn("kept", F.col("rank") <= F.col("depth"))
 

@@ -46,6 +46,15 @@ def test_interval_join_is_greedy_and_one_to_one(spark):
     assert got == want and len(set(got.values())) == len(got) > 60
 
 
+def test_one_endless_chain_of_calls_is_streamed(spark):
+    n = 100_000
+    key = [F.lit("q").alias("query"), F.lit("c").alias("collection"), F.lit(None).cast("string").alias("document"), F.lit(None).cast("string").alias("exclude")]
+    c = spark.range(n).select("id", *key, F.timestamp_seconds("id").alias("tool_use_ts"), F.timestamp_seconds("id").alias("result_ts"))
+    s = spark.range(n).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("search_id"), *key, F.timestamp_seconds("id").alias("ts"))
+    got = la.join_calls_to_searches(c, s, "id", "id")
+    assert got.filter(F.col("call_id") == F.col("search_id").cast("long")).count() == got.count() == n
+
+
 def attribute(expand, searches):
     _, t, coll, doc, chunk = expand
     near = sorted([s for s in searches if s[2] == coll and s[1] <= t <= s[1] + 3600], key=lambda s: (-s[1], s[0]))

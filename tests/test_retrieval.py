@@ -79,8 +79,29 @@ def test_vectors_of_another_length_stop_the_search(spark):
 
 
 def test_sweep_refuses_modes_it_does_not_know():
-    with pytest.raises(ValueError, match="rerank"):
-        modes.sweep({}, [{"mode": "dense+rerank"}])
+    with pytest.raises(ValueError, match="sideways"):
+        modes.sweep({}, [{"mode": "sideways+rerank", "top_k": 1}])
+    with pytest.raises(ValueError, match="scorer"):
+        modes.sweep({}, [{"mode": "dense+rerank", "top_k": 1}])
+
+
+def test_sweep_reranks_as_deep_as_each_cell_says(spark):
+    dense = _list(spark, [(1, i, f"d{i:02d}", 1 - i / 100) for i in range(1, 51)])
+    cells = modes.grid({"mode": ["dense", "dense+rerank"], "rerank_candidates": [20, 50]}, {"top_k": 3, "score_threshold": 0.0})
+    hits = modes.sweep({"dense": dense}, cells, lambda h: h.withColumn("relevance", F.col("rank") / 100))
+    got = {}
+    for r in hits.orderBy("cell", "rank").collect():
+        got.setdefault(r.cell, []).append(r.document)
+    assert got == {0: ["d01", "d02", "d03"], 1: ["d01", "d02", "d03"], 2: ["d20", "d19", "d18"], 3: ["d50", "d49", "d48"]}
+
+
+@pytest.mark.parametrize("shipped", [retrieval.MAX_SHIPPED_BYTES, 0])
+def test_all_vector_lengths_in_one_pass(spark, shipped):
+    _, _, q, c = _frames(spark)
+    both = retrieval.dense_top_k(q, c, 5, shipped, dims=[2, 3])
+    for dim in (2, 3):
+        alone = retrieval.dense_top_k(q.withColumn("embedding", F.slice("embedding", 1, dim)), c.withColumn("embedding", F.slice("embedding", 1, dim)), 5)
+        assert _collect(both.filter(F.col("dim") == dim)) == _collect(alone)
 
 
 def test_empty_query_table(spark):
@@ -124,7 +145,7 @@ def test_fusion_rules(spark):
 
 def test_rerank_depth_is_capped_and_scores_rounded(spark):
     dense = _list(spark, [(1, i, f"d{i:03d}", 1 - i / 100) for i in range(1, 51)])
-    hits = modes.retrieve("dense+rerank-0.6b", {"dense": dense}, 4, rerank_candidates=90, score_pairs=lambda h: h.select("query_id", "rank", (F.col("rank") / 7).alias("relevance")))
+    hits = modes.retrieve("dense+rerank-0.6b", {"dense": dense}, 4, rerank_candidates=90, score_pairs=lambda h: h.withColumn("relevance", F.col("rank") / 7))
     assert [(r.rank, r.document, r.score) for r in hits.orderBy("rank").collect()] == [(i + 1, f"d{50 - i:03d}", round((50 - i) / 7, 6)) for i in range(4)]
 
 
