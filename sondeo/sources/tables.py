@@ -9,8 +9,35 @@ SIDECAR = "collection string, document string, chunks array<struct<index: int, c
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk rows of sidecar files, one record per line, any number of documents per file."""
-    return sidecar_rows(spark.read.schema(SIDECAR).json(path))
+    """Chunk rows of sidecar files: one record per line in any number, or one record (or array of records) laid out over lines.
+
+    A file whose first line that is not blank is a whole record has one per line; any other is read as one text. A record that
+    is no JSON, has another shape, or lacks its collection, document or chunks stops the read; ``path`` names sidecars only.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    lines = lines.filter(F.regexp_like("value", F.lit(r"\S")))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    laid_out = first.filter(_parsed("value")["broken"].isNotNull()).select("file")
+    texts = lines.join(laid_out, "file", "left_semi").groupBy("file").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return sidecar_rows(_records(lines.join(laid_out, "file", "left_anti").select("file", "value").unionByName(texts)))
+
+
+def _parsed(text: str):
+    """``records`` of a JSON object or an array of them. Set in brackets, so that nothing after the first value goes unread."""
+    schema = f"records array<struct<{SIDECAR}>>, broken string"
+    inner = F.when(F.regexp_like(text, F.lit(r"^\s*\[")), F.col(text)).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    return F.from_json(F.concat(F.lit('{"records": '), inner, F.lit("}")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+
+
+def _records(texts: DataFrame) -> DataFrame:
+    whole = F.forall("p.records", lambda r: r["collection"].isNotNull() & r["document"].isNotNull() & r["chunks"].isNotNull()
+                     & F.forall(r["chunks"], lambda c: c["index"].isNotNull() & c["content"].isNotNull()))
+    sound = F.col("p.broken").isNull() & F.coalesce(whole, F.lit(False))
+    broken = F.raise_error(F.concat(F.lit("not a sidecar record in "), "file", F.lit(": "), F.left("value", F.lit(200))))
+    parsed = texts.withColumn("p", _parsed("value"))
+    return parsed.select(F.explode(F.when(sound, F.col("p.records")).otherwise(broken.cast(parsed.select("p.records").schema[0].dataType))).alias("r")).select("r.*")
 
 
 def sidecar_rows(sidecars: DataFrame) -> DataFrame:

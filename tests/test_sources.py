@@ -43,6 +43,32 @@ def test_sidecars_round_trip(spark, tmp_path):
     assert sorted(map(tuple, tables.read_sidecars(spark, path).collect())) == sorted(rows)
 
 
+def test_sidecars_of_both_layouts(spark, tmp_path):
+    def record(document, n):
+        return {"collection": "c", "document": document, "chunks": [{"index": i, "content": f'{document} {{"é"}}\n  {i}\u2028'} for i in range(n)]}
+
+    write(tmp_path / "s/a.json", json.dumps(record("a", 3), indent=2, ensure_ascii=False))
+    write(tmp_path / "s/b.json", "\n" + json.dumps(record("b", 40), indent=2).replace("\n", "\r\n") + "\n\n")
+    write(tmp_path / "s/many.json", "\n".join(json.dumps(record(f"m{k}", k % 3)) for k in range(50)) + "\n\n")
+    write(tmp_path / "s/array.json", "[\n" + ",\n".join(json.dumps(record(f"r{k}", 2)) for k in range(3)) + "\n]")
+    write(tmp_path / "s/empty.json", "")
+    made = [record("a", 3), record("b", 40), *[record(f"m{k}", k % 3) for k in range(50)], *[record(f"r{k}", 2) for k in range(3)]]
+    want = sorted(("c", r["document"], c["index"], len(r["chunks"]), c["content"]) for r in made for c in r["chunks"])
+    assert sorted(map(tuple, tables.read_sidecars(spark, str(tmp_path / "s")).collect())) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert sorted(map(tuple, tables.read_sidecars(spark, str(tmp_path / "s")).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    line = json.dumps(record("x", 1))
+    bad = {"cut": json.dumps(record("x", 1), indent=2)[:-3], "line": f"{line}\n{line[:-4]}", "after": f"{line}\n{line} {line}", "first": f"{line[:-4]}\n{line}",
+           "shape": line.replace('"index": 0', '"index": "no"'), "keys": '{"collection": "c", "document": "d"}', "two": json.dumps(record("x", 1), indent=2) * 2}
+    for name, body in bad.items():
+        write(tmp_path / f"bad_{name}.json", body)
+        with pytest.raises(Exception, match="not a sidecar record"):
+            tables.read_sidecars(spark, str(tmp_path / f"bad_{name}.json")).collect()
+
+
 def test_replacing_documents_in_a_table(spark, tmp_path):
     schema = "collection string, document string, chunk_index int, content string"
     target, stage = str(tmp_path / "t"), str(tmp_path / "s")
