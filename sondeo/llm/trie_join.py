@@ -58,14 +58,14 @@ def _sets(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             numbers = shingles(text.as_py(), width)
             rows.append((len(numbers), *_identity(numbers)))
         n, low, high = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["id", "n", "low", "high"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["id", "hash", "n", "low", "high"])
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """``id, n, low, high``: the size and the 128-bit identity of every document's n-gram set."""
-    given = needed(docs, id=id_col, text=text_col)
+    """``id, hash, n, low, high``: a hash of every document's text, the size and the 128-bit identity of its n-gram set."""
+    given = needed(docs, id=id_col, text=text_col).withColumn("hash", F.xxhash64("text"))
     kind = dict(given.dtypes)["id"]
-    return given.mapInArrow(lambda frames: _sets(frames, width), f"id {kind}, n long, low long, high long")
+    return given.mapInArrow(lambda frames: _sets(frames, width), f"id {kind}, hash long, n long, low long, high long")
 
 
 def looked_at(n):
@@ -136,23 +136,33 @@ def _survivors(docs: DataFrame, sets: DataFrame, text_col: str, width: int) -> D
     counts = (tokens.repartition("token").sortWithinPartitions("token", "low").mapInArrow(_shared_counts, "low long, n_shared long")
               .groupBy("low").agg(F.sum("n_shared").alias("n_shared")))
     least = F.ceil(F.ceil(F.col("n") * 0.75) * EXTRA)
-    return sets.join(counts, "low").where(F.col("n_shared") >= least).select("low", "n", "first", "copies")
+    return sets.join(counts, "low").where(F.col("n_shared") >= least).select("low", "n", "first", "mark", "copies")
 
 
 def _all_tokens(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in frames:
         for text, low in zip(batch.column(0), batch.column(1).to_pylist()):
+            if low in seen:
+                continue
             numbers = shingles(text.as_py(), width)
             if _identity(numbers)[0] == low:
+                seen.add(low)
                 yield _token_rows([numbers], [np.full(len(numbers), low, np.int64)])
 
 
 def ordered_sets(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``low, n, copies, tokens``: the sets that may link, with those n-grams that others of them hold, rarest first."""
+    """``low, n, copies, tokens``: the sets that may link, with those n-grams that others of them hold, rarest first.
+
+    A set's text is found by the id and the hash of one of its rows. Rows repeated as a whole give it several times, in several
+    tasks too, so an n-gram counts once for each set."""
     few = cut(_survivors(docs, sets, text_col, width))
-    texts = needed(docs, id=id_col, text=text_col).join(few.select(F.col("first").alias("id"), "low"), "id").select("text", "low")
+    texts = needed(docs, id=id_col, text=text_col).withColumn("hash", F.xxhash64("text"))
+    texts = texts.join(few.select("first", "mark", "low"), F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("mark"))).select("text", "low")
     rows = texts.mapInArrow(lambda frames: _all_tokens(frames, width), "token long, low long")
-    held = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    of_token = Window.partitionBy("token")
+    once = rows.withColumn("before", F.lag("low").over(of_token.orderBy("low"))).where("NOT (low <=> before)").select("token", "low")
+    held = once.withColumn("df", F.count("*").over(of_token)).where("df > 1")
     lists = held.groupBy("low").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).getField("token").alias("tokens"))
     return cut(few.join(lists, "low").where(F.size("tokens") >= F.ceil(F.col("n") * 0.75)).select("low", "n", "copies", "tokens"))
 
@@ -281,16 +291,21 @@ def linked_sets(held: DataFrame, block: int = BLOCK) -> DataFrame:
     return links.join(whole.union(split).select(F.col("node").alias("low"), "component"), "low")
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' signatures; their sets, each with its smallest id and the text hash of one row of that id; and the linked ones."""
+    signed = cut(signatures(docs, id_col, text_col, width))
+    mark = F.coalesce(F.min_by("hash", "id"), F.min("hash")).alias("mark")
+    sets = cut(signed.where("n > 0").groupBy("low", "high", "n").agg(F.min("id").alias("first"), mark, F.count("*").alias("copies")))
+    return signed, sets, linked_sets(ordered_sets(docs, id_col, text_col, sets, width), block)
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """``id_col, n_shingles, component_id, n_links``, one row per row of ``docs``.
 
     n_links counts the other documents linked directly, equal sets among them. A text without words (or null) has no n-grams, no
     links and its own id as component. Repeated rows link with each other. An empty table gives an empty result. A row without id is
     scored, but it is never a component's name. Columns other than the two named are not read."""
-    signed = cut(signatures(docs, id_col, text_col, width))
-    sets = signed.where("n > 0").groupBy("low", "high", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    sets = cut(sets)
-    found = linked_sets(ordered_sets(docs, id_col, text_col, sets, width), block)
+    signed, sets, found = _linked(docs, id_col, text_col, width, block)
     named = found.join(sets.select("low", "first"), "low")
     names = named.groupBy("component").agg(F.min("first").alias("name"))
     named = named.join(names, "component").select("low", "links", "name")

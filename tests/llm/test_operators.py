@@ -79,6 +79,27 @@ def test_jaccard_join(docs, none, block):
         assert trie_join.jaccard_join(none).count() == 0
 
 
+def test_jaccard_join_of_repeated_rows_and_null_ids(spark):
+    """Overlaps around a third to nine tenths; every row twice, ids shared by two texts, and sets that only rows without id have."""
+    random = np.random.RandomState(9)
+    base = [["v%d" % k for k in random.randint(0, 5000, 120)] for _ in range(4)]
+    texts = [" ".join([*b[:cut], *("z%d" % k for k in random.randint(0, 5000, 120 - cut))]) for b in base for cut in (45, 60, 75, 90, 105, 112, 116, 118, 120)]
+    ids = [None if k % 4 == 1 else k - 1 if k % 9 == 6 else k for k in range(len(texts))]
+    ids[25:27] = [None, None]
+    rows = list(zip(ids, texts)) * 2 + [(ids[0], texts[0])] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root, count = spanned(range(len(rows)), links), collections.Counter(x for e in links for x in e)
+    names = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            names[root[k]] = min(i, names.get(root[k], i))
+    want = sorted(((i, len(sets[k]), names.get(root[k]), count[k]) for k, (i, _) in enumerate(rows)), key=str)
+    assert sorted(map(tuple, trie_join.jaccard_join(table).collect()), key=str) == want
+    assert any(i is None and len({rows[b][1] for a, b in links + [(b, a) for a, b in links] if a == k}) > 1 for k, (i, _) in enumerate(rows))
+
+
 def test_trie_finds_all_partners():
     lists = [np.array(sorted(RANDOM.choice(30, RANDOM.randint(0, 20), replace=False)), np.int64) for _ in range(120)] + [np.arange(10)] * 3
     sizes = np.array([len(x) + RANDOM.randint(0, 3) for x in lists])
