@@ -23,9 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one of smallest id."""
-    kept = trie_join.jaccard_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each component of linked documents, one row of the smallest id; repeated rows count as linked, so one of them stays. A row
+    without an id is judged by its text: it stays if nothing links with it, or as one of a component that has no id at all."""
+    return trie_join.representatives(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,3 +314,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = F.col("n") == 0
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("name")).alias("component_id"),
                       F.when(own, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """One row of each component of linked rows, with all its columns: of its smallest id, or without id if all its rows are.
+
+    Components are told apart by their n-gram sets, not by ids, so texts that do not link stay although they share an id or have
+    none. Of rows repeated as a whole one stays; where rows of one id and text differ in other columns, a hash of all columns
+    decides. Texts without words (or null) link with nothing and all stay. An empty table gives an empty result."""
+    signed, sets, found = _linked(docs, id_col, text_col, width, block)
+    of_all = sets.join(found.select("low", "component"), "low", "left")
+    least = F.min(F.struct(F.col("first").isNull(), "first", "mark", "copies")).alias("c")
+    chosen = of_all.where("component IS NOT NULL").groupBy("component").agg(least).select("c.first", "c.mark", "c.copies")
+    chosen = chosen.union(of_all.where("component IS NULL").select("first", "mark", "copies"))
+    chosen = cut(chosen.union(signed.where("n = 0").select("id", "hash", F.lit(1).cast("long")).distinct()))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("hash"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("mark")))
+    again = kept.where("copies > 1").groupBy("first", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.where("copies = 1").select("row.*").union(again.select("row.*"))

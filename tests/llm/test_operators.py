@@ -373,6 +373,26 @@ def test_warc(spark, tmp_path):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
 
 
+def test_pipeline_keeps_one_row_a_component(spark):
+    """Repeated rows, rows without an id, ids of two texts, and columns that differ among rows of one id and text."""
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join("%s%d" % (x, k) for k in range(60)) for x in "abcde")
+    near = lambda t: t.rsplit(" ", 2)[0] + " p q"
+    rows = [(1, a, "s"), (1, a, "s"), (2, near(a), "s"), (None, near(a) + " r", "s"), (None, b, "s"), (None, b, "s"), (None, near(b), "t"), (None, c, "s"),
+            (4, d, "s"), (4, e, "s"), (4, e, "t"), (6, near(e), "s"), (7, "", "s"), (7, "", "s"), (None, None, "s"), (9, "short text", "s"), (None, "other short text", "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [corpus_pipeline.near_duplicates(spark, t, SF) for t in (table.repartition(5), table.repartition(2), table.limit(0))]
+    assert got[0].columns == table.columns and got[2].count() == 0
+    found = [sorted(map(tuple, g.collect()), key=str) for g in got[:2]]
+    assert found[0] == found[1]
+    by_text = collections.Counter((i, t) for i, t, _ in found[0])
+    other = (None, b) if (None, b) in by_text else (None, near(b))
+    assert by_text == {(1, a): 1, other: 1, (None, c): 1, (4, d): 1, (4, e): 1, (7, ""): 2, (None, None): 1, (9, "short text"): 1, (None, "other short text"): 1}
+    out = corpus_pipeline.encoding(spark, got[0], SF).collect()
+    assert len(out) == len(found[0]) and all(r.exact for r in out)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
