@@ -1,10 +1,12 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one from here on. The vectors of a label are dealt into shards of bounded size; each gets a graph, built once. Every
-shard of a label is asked by every other one (and by itself), one task for each two of them, and links are counted for both sides.
+shard of a label is asked by every other one (and by itself), one task for each two of them, which ask each other; what either finds
+is a link, counted for both sides.
 A search walks down the layers, keeps a beam on the lowest one, and then follows links from hit to hit until it meets no new one. In
-each task some vectors are also compared with the whole shard; while a link that this finds was missed, the beam is widened and all
-are asked again, at the end with a beam as wide as the shard, which is exact. Hits are verified in double precision."""
+each task some vectors are also compared with the whole shard, more and more of them until they have LEAST links; where all have fewer,
+this comparison is the result. While a link that it finds was missed, the beam is widened and all are asked again, at the end with a
+beam as wide as the shard, which is exact. Hits are verified in double precision."""
 
 from __future__ import annotations
 
@@ -19,6 +21,8 @@ from sondeo.llm.components import components
 COSINE = 0.93
 #: Vectors of a shard, links of a node (twice as many on the lowest layer), beams while building and asking, vectors audited per task.
 SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT = 8192, 16, 48, 48, 64
+#: Links, those of a vector with itself aside, that the audited vectors must have for an audit to say anything.
+LEAST = 64
 #: Vectors that walk together, and nodes that each expands at a time.
 TOGETHER, AT_A_TIME = 256, 4
 SLACK = 1e-5
@@ -205,16 +209,29 @@ class Graph:
         true = np.zeros(0, bool) if not len(who) else np.concatenate([np.einsum("nd,nd->n", q[who[i:i + 100_000]], self.exact[node[i:i + 100_000]]) >= cosine for i in range(0, len(who), 100_000)])
         return tuple(np.concatenate([x[true], *y]).astype(np.int64) for x, y in zip((who, node), full))
 
-    def audited(self, q: np.ndarray, cosine: float, width: int, audit: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """``links`` at the first of ever wider beams whose sample misses nothing, and that width. Where the shard asks itself, a link that
-        either side finds counts for both, so a vector that few others point to is still found from its own side."""
+    def _compared(self, q: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of all pairs at ``cosine`` or more."""
+        hits = [np.nonzero(q[i:i + TOGETHER] @ self.exact.T >= cosine) for i in range(0, len(q), TOGETHER)]
+        empty = np.empty(0, np.int64)
+        return np.concatenate([empty, *(h[0] + i * TOGETHER for i, h in enumerate(hits))]), np.concatenate([empty, *(h[1] for h in hits)])
+
+    def audited(self, q: np.ndarray, cosine: float, width: int, audit: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
+        """``links`` at the first of ever wider beams whose sample misses nothing, and that width. The sample grows from ``audit`` vectors
+        until it has ``least`` links; if it ends up with all vectors, their comparison is returned, with the width of the shard. Where the
+        shard asks itself, a link that either side finds counts for both, so a vector that few others point to is still found from its own side."""
         own = np.arange(len(q)) if q is self.exact else None
         some = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
-        true = int((q[some] @ self.exact.T >= cosine).sum())
+        rest = np.random.RandomState(2).permutation(np.setdiff1d(np.arange(len(q)), some))
+        new, true, links = some, 0, 0
         while True:
-            if width >= len(self.x):
-                hits = [np.nonzero(q[i:i + TOGETHER] @ self.exact.T >= cosine) for i in range(0, len(q), TOGETHER)]
-                return np.concatenate([h[0] + i * TOGETHER for i, h in enumerate(hits)]), np.concatenate([h[1] for h in hits]), width
+            at, node = self._compared(q[new], cosine)
+            true += len(at)
+            links += len(at) if own is None else int((new[at] != node).sum())
+            if links >= least or not len(rest):
+                break
+            new, rest = np.split(rest, [max(len(some), TOGETHER)])
+            some = np.concatenate([some, new])
+        while len(some) < len(q) and width < len(self.x):
             if own is not None or len(self.links(q[some], cosine, width)[0]) >= true:
                 who, node = self.links(q, cosine, width, own)
                 if own is not None:
@@ -224,6 +241,17 @@ class Graph:
                 if np.isin(who, some).sum() >= true:
                     return who, node, width
             width *= WIDER
+        return *self._compared(q, cosine), len(self.x)
+
+
+def between(one: Graph, other: Graph, cosine: float, width: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node of other, node of one) of their links: each asks the other, and what either finds counts."""
+    who, node, reached = one.audited(other.exact, cosine, width, audit)
+    if reached < len(one.x):
+        back, at, _ = other.audited(one.exact, cosine, width, audit)
+        pairs = np.unique(np.concatenate([who * len(one.x) + node, at * len(one.x) + back]))
+        who, node = pairs // len(one.x), pairs % len(one.x)
+    return who, node
 
 
 def _index(frame: pd.DataFrame) -> pd.DataFrame:
@@ -266,12 +294,13 @@ def _ask(cosine: float, beam: int, audit: int):
         """Two shards, or one and itself: links of every vector, counted with copies, and the roots of the forest they span."""
         frame = frame.sort_values("shard")
         graph, ids, copies = _loaded(frame.iloc[0])
-        asking, other_ids, other_copies = (graph.exact, ids, copies) if len(frame) == 1 else (lambda g: (g[0].exact, g[1], g[2]))(_loaded(frame.iloc[1]))
-        who, node, _ = graph.audited(asking, cosine, beam, audit)
         if len(frame) == 1:
+            who, node, _ = graph.audited(graph.exact, cosine, beam, audit)
             who, node = who[who != node], node[who != node]
             names, links = ids, np.bincount(who, weights=copies[node], minlength=len(ids))
         else:
+            other, other_ids, other_copies = _loaded(frame.iloc[1])
+            who, node = between(graph, other, cosine, beam, audit)
             links = np.concatenate([np.bincount(who, weights=copies[node], minlength=len(other_ids)), np.bincount(node, weights=other_copies[who], minlength=len(ids))])
             names, node = np.concatenate([other_ids, ids]), node + len(other_ids)
         out = pd.DataFrame({"id": names, "links": links.astype(np.int64), "root": _roots(names, who, node), "shards": int(frame["shards"].iloc[0])})

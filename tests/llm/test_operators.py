@@ -136,6 +136,33 @@ def test_graph_widens_until_the_audit_passes():
     assert len(set(zip(who.tolist(), node.tolist()))) == (x @ x.T >= 0.55).sum()
 
 
+def test_an_audit_without_links_does_not_pass():
+    """A graph without ways, asked by vectors of which three have a link, none of them in the first sample."""
+    random = np.random.RandomState(3)
+    graph, q = hnsw.Graph(hnsw.unit(random.standard_normal((700, 24)))), hnsw.unit(random.standard_normal((700, 24)))
+    places = np.setdiff1d(np.arange(700), np.linspace(0, 699, 64).astype(np.int64))[[5, 90, 300]]
+    q[places] = graph.exact[[650, 20, 333]]
+    for layer in graph.layers:
+        layer[:] = -1
+    want = set(zip(*(x.tolist() for x in np.nonzero(q @ graph.exact.T >= 0.93))))
+    assert len(want) == 3
+    who, node, _ = graph.audited(q, 0.93, 4, 64)
+    assert set(zip(who.tolist(), node.tolist())) == want
+
+
+def test_shards_ask_each_other():
+    """One node of the first shard's graph has no way in; its link is found from its own side."""
+    random = np.random.RandomState(4)
+    base = random.standard_normal((2000, 8))
+    shards = [[(base + 0.002 * k * random.standard_normal(base.shape))[i].tolist() for i in range(2000)] for k in (0, 1)]
+    rows = [hnsw._index(hnsw.pd.DataFrame({"label": "a", "dim": 8, "shard": k, "shards": 2, "order": range(2000), "first": range(10_000 * k, 10_000 * k + 2000), "copies": 1, "vector": shards[k]})) for k in (0, 1)]
+    lost = int(np.setdiff1d(np.arange(1, 2000), np.linspace(0, 1999, 64).astype(np.int64))[200])
+    assert lost != rows[0]["entry"][0]
+    rows[0].at[0, "layers"] = [np.where(x == lost, -1, x).astype(np.int32).tobytes() for x in (np.frombuffer(b, np.int32) for b in rows[0]["layers"][0])]
+    found = hnsw._ask(0.999, 48, 64)(hnsw.pd.concat(rows))
+    assert len(found) == 4000 and set(found.loc[found["id"].isin([lost, 10_000 + lost]), "root"]) == {lost} and (found["links"] == 1).all()
+
+
 def test_every_node_of_a_graph_can_be_reached():
     near = np.repeat(RANDOM.standard_normal((8, 6)), 60, axis=0) + 0.01 * RANDOM.standard_normal((480, 6))
     graph = hnsw.Graph(hnsw.unit(near), links=2, beam=4)
