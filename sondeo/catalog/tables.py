@@ -332,6 +332,22 @@ def c07(spark, sf):
     return chunking.overlap_summary(_measured(spark, sf), ["a", "b"], "b", "a")
 
 
+def _spaced(spark, sf):
+    """Exact 300, exact 2,000 and tolerant 2,000 on the pairs whose right texts have wider blanks."""
+    spaced = _pairs(spark, sf).withColumn("text2", F.regexp_replace("text2", " ", "  "))
+    return chunking.overlaps(chunking.overlaps(spaced, 300, "a"), 2000, "b").withColumn("c", chunking.tolerant_overlap(2000)("text1", "text2"))
+
+
+@query("c07_variant_summary")
+def c07c(spark, sf):
+    return chunking.overlap_summary(_spaced(spark, sf), ["a", "b", "c"], "b", "c")
+
+
+@query("c07_unmatched_pairs")
+def c07d(spark, sf):
+    return chunking.unmatched_pairs(_spaced(spark, sf), "b", "c")
+
+
 @query("c07_overlap_extremes", ctes(st.CHUNKS, PAIRS, VARIANTS) + """
 SELECT collection, min(b) AS min_overlap, first(document ORDER BY b, document, chunk_index) AS min_document, first(chunk_index ORDER BY b, document, chunk_index) AS min_chunk_index,
        max(b) AS max_overlap, first(document ORDER BY b DESC, document, chunk_index) AS max_document, first(chunk_index ORDER BY b DESC, document, chunk_index) AS max_chunk_index

@@ -131,6 +131,8 @@ def tolerant_overlap(cap: int):
     return measure
 
 
+# Characters of each text that a report of unmatched pairs shows.
+EXCERPT = 150
 _RUN = re.compile(r"\s+")
 
 
@@ -171,6 +173,14 @@ def overlap_summary(pairs: DataFrame, variants: list[str], exact: str, tolerant:
     )
 
 
+def unmatched_pairs(pairs: DataFrame, exact: str, tolerant: str, excerpt: int = EXCERPT) -> DataFrame:
+    """The pairs behind the two counts of ``overlap_summary``, with the end of the left and the start of the right text."""
+    residual, differs = F.col(tolerant) == 0, F.col(exact) != F.col(tolerant)
+    return pairs.filter(residual | differs).select(
+        *DOC, "chunk_index", F.col(exact).alias("exact"), F.col(tolerant).alias("tolerant"), residual.alias("residual"), differs.alias("differs"),
+        F.right("text1", F.lit(excerpt)).alias("tail1"), F.left("text2", F.lit(excerpt)).alias("head2"))
+
+
 def overlap_extremes(pairs: DataFrame, column: str) -> DataFrame:
     """Pairs with the smallest and the largest overlap above zero per collection; first by key on ties."""
     key = F.struct("document", "chunk_index")

@@ -1,6 +1,9 @@
 """Chunking against a plain specification, and invariants of overlaps and merges."""
 
+import collections
 import random
+import re
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -62,6 +65,37 @@ def spec_overlap(a, b, cap):
 TOLERANT = [("one  two", "one two three", 7), ("x one two", "one \n two three", 9), ("abc", "xyz", 0), ("end ", "  next", 2), ("a b", "a b", 3), ("", "a", 0)]
 
 
+def spec_tolerant(a, b, cap):
+    """On texts with white space runs as one blank; the length is up to where the next character or run starts in ``b``."""
+    flat = [[(" " if m[0].isspace() else m[0], m.start()) for m in re.finditer(r"\s+|\S", t)] for t in (a, b)]
+    n = spec_overlap(*("".join(c for c, _ in f) for f in flat), cap)
+    return n and [*(at for _, at in flat[1]), len(b)][n]
+
+
+def test_three_overlap_variants(spark):
+    from sondeo.catalog import queries
+    from sondeo.catalog.tables import _pairs
+
+    sf = "/root/testdata/sf0.001"
+    want, unmatched = collections.defaultdict(list), {}
+    for p in _pairs(spark, sf).collect():
+        right = p.text2.replace(" ", "  ")
+        a, b, c = spec_overlap(p.text1, right, 300), spec_overlap(p.text1, right, 2000), spec_tolerant(p.text1, right, 2000)
+        for name, value in zip("abc", (a, b, c)):
+            want[p.collection, name].append((value, b != c, c == 0))
+        if b != c or c == 0:
+            unmatched[p.collection, p.document, p.chunk_index] = (b, c, c == 0, b != c, p.text1[-chunking.EXCERPT:], right[:chunking.EXCERPT])
+    got = {(r.collection, r.variant): r for r in queries()["c07_variant_summary"](spark, sf).collect()}
+    assert set(got) == set(want)
+    for key, rows in want.items():
+        values, row = [v for v, _, _ in rows], got[key]
+        assert (row.n, row.min, row.max, row.median, row.disagreeing, row.residual) == (
+            len(rows), min(values), max(values), statistics.median(values), sum(d for _, d, _ in rows), sum(z for _, _, z in rows))
+        assert abs(row.mean - sum(values) / len(values)) < 0.051 and abs(row.zero_pct - 100 * values.count(0) / len(values)) < 0.051
+    assert {tuple(r[:3]): tuple(r[3:]) for r in queries()["c07_unmatched_pairs"](spark, sf).collect()} == unmatched
+    assert any(r[3] and not r[2] for r in unmatched.values()) and any(r[2] for r in unmatched.values())
+
+
 def test_overlaps_match_brute_force(spark):
     r = random.Random(5)
     rows = []
