@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeo.llm import boosted_rules, hnsw, mixing, piece_scan, sharding, token_files, trie_counts, trie_join, vote_classifier, warc
+from sondeo.llm import (boosted_rules, gap_packing, hnsw, mixing, piece_scan, repeats, sharding, token_alignment, token_files, trie_counts, trie_join,
+                        vote_classifier, warc)
 from sondeo.llm.common import new_folder
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +71,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.detect(_table(spark, sf_dir, "documents"))
+
+
+def op13_gap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = gap_packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_quality_classifier, op3_token_counts, op4_source_mixing, op5_warc_derivatives, op6_sentencepiece, op7_quality_rules,
-    op8_token_files, op9_sharding, op10_jaccard_join)}
+    op8_token_files, op9_sharding, op10_jaccard_join, op11_token_alignment, op12_periodic_runs, op13_gap_packing)}
 
 
 def _replaced(column: str) -> str:

@@ -66,6 +66,24 @@ def spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def numbers_of(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One number for each given stretch of some bytes, as ``spans`` numbers words. Stretches are in order and do not overlap; the
+    running totals cover about PIECE bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
+        high = int(ends[to - 1])
+        up, down = _POWERS.of(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[b[low:high]] * up[:high - low], out=total[1:])
+        s, e = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
+
+
 def word_numbers(data: bytes, lower: bool = False) -> np.ndarray:
     """One number for each word, in order."""
     found = [np.empty(0, np.uint64)]
