@@ -3,19 +3,17 @@
 A dataset is a folder of three: ``ids``, files of unsigned 16- or 32-bit little-endian numbers (by the vocabulary's size), which put
 one after the other in name order are all documents' ids in ascending document order, each document closed by the end id 0;
 ``offsets``, files of unsigned 64-bit numbers beside them, where each document starts in the whole; and ``index``, Parquet with a row per
-document: its place in its file and in the whole.
+document: which number of which offsets file is its own, and how many ids it must have.
 
 Spark's text writer makes the two flat kinds, on any store and with its usual commit: a value goes out byte for byte, followed by a
 line separator, and the separator is what every value ends with anyway, the end id 0 or an offset's topmost byte, which is 0.
-Readers map the files into memory and take documents by their offsets."""
+Readers map both kinds into memory: a document's ids go from its own offset to the next one."""
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -26,85 +24,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondeo.llm.common import cut, needed
+from sondeo.llm.unit_ids import ByteUnits, batches, encoder
 
 END = 0
-#: Distinct pieces whose ids a worker keeps at a time; beyond it the store is emptied and filled again.
-KEPT_WORDS = 800_000
-#: No token of a byte-level tokenizer that splits before spaces reaches over a single space between two other characters. A text in
-#: which a space stands beside white space, or at an end, is encoded whole.
-UNSAFE = re.compile(r" \s|\s ")
-#: How a byte-level vocabulary writes a space.
-SPACE = "\u0120"
 #: Ids in one file, about; it decides how many files there are.
 FILE_IDS = 8_000_000
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer file. Where single spaces part a text, what lies between is encoded once for all its places.
-
-    New pieces are encoded joined by spaces, hundreds in one call; a token that begins with a space begins a piece."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.begins = np.array([(self.tokenizer.id_to_token(k) or "").startswith(SPACE) for k in range(size)])
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        groups = [pieces[at:at + 300] for at in range(0, len(pieces), 300)]
-        for group, ids in zip(groups, self._whole([" " + " ".join(g) for g in groups])):
-            cuts = [*(np.flatnonzero(self.begins[ids]) * self.kind.itemsize).tolist(), ids.nbytes]
-            if len(cuts) != len(group) + 1:
-                cuts, ids = [0], self._whole([" " + x for x in group])
-                for x in ids:
-                    cuts.append(cuts[-1] + x.nbytes)
-                ids = np.concatenate(ids)
-            data = ids.tobytes()
-            self.known.update(zip(group, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids' bytes for each text."""
-        plain = [k for k, text in enumerate(texts) if text and not UNSAFE.search(text) and not text[0].isspace() and not text[-1].isspace()]
-        out: list[bytes] = [b""] * len(texts)
-        cut_up = [texts[k].split(" ") for k in plain]
-        firsts = [pieces.pop(0) for pieces in cut_up]
-        pieces = set().union(*cut_up) - self.known.keys()
-        if len(self.known) + len(pieces) > KEPT_WORDS:
-            pieces = set().union(*cut_up)
-        self._learn(sorted(pieces))
-        for k, first, rest in zip(plain, self._whole(firsts), cut_up):
-            out[k] = first.tobytes() + b"".join(map(self.known.__getitem__, rest))
-        others = [k for k in sorted(set(range(len(texts))) - set(plain)) if texts[k]]
-        for k, ids in zip(others, self._whole([texts[k] for k in others])):
-            out[k] = ids.tobytes()
-        return out
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """Read once in each Python worker, which keeps what it has encoded from task to task."""
-    return WordEncoder(path)
+def id_kind(path: str) -> np.dtype:
+    """The number type of a tokenizer's ids in files."""
+    return encoder(ByteUnits, path, False).kind
 
 
 def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = word_encoder(path), zstandard.ZstdCompressor(level=6)
-        for whole in frames:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
-                n = [len(x) // encoder.kind.itemsize + 1 for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                                                  pa.array([packer.compress(x) for x in ids], pa.binary())], ["id", "n", "tie", "ids"])
+        units, packer = encoder(ByteUnits, path, False), zstandard.ZstdCompressor(level=1)
+        for batch in batches(frames, 1):
+            ids, bounds, _ = units.encode([x or "" for x in batch.column(1).to_pylist()])
+            data, edges = ids.tobytes(), (bounds * units.kind.itemsize).tolist()
+            parts = [data[a:b] for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds) + 1), pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+                                              pa.array([packer.compress(x) for x in parts], pa.binary())], ["id", "n", "tie", "ids"])
     return run
 
 
@@ -124,51 +64,51 @@ def write_dataset(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
     spark = docs.sparkSession
     given = needed(docs, id=id_col, text=text_col)
     kind = dict(given.dtypes)["id"]
-    width = word_encoder(tokenizer).kind.itemsize
+    width = id_kind(tokenizer).itemsize
     given.mapInArrow(_encoded(tokenizer), f"id {kind}, n long, tie long, ids binary").write.option("compression", "none").parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     files = max(1, -(-int(encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // file_ids))
     ordered = encoded.repartitionByRange(files, "id").sortWithinPartitions("id", "n", "tie")
     flat = ordered.select("ids").mapInArrow(_unpacked, "value binary")
     flat.select(F.col("value").cast("string").alias("value")).write.option("lineSep", chr(END) * width).text(f"{path}/ids")
-    index = _index(encoded.select("id", "n", "tie"), flat_files(spark, f"{path}/ids", width), files)
-    index.select("id", "file", "first", "start", "n").write.parquet(f"{path}/index")
+    index = _index(encoded.select("id", "n", "tie"), files)
+    index.select("id", "part", "nth", "n").write.parquet(f"{path}/index")
     index.select("start").mapInArrow(_offset_bytes, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(f"{path}/offsets")
 
 
 def flat_files(spark: SparkSession, path: str, width: int) -> list[tuple[str, int]]:
-    """Every ids file with its base, the number of ids in the files before it, in order. One short row a file reaches the driver."""
+    """Every file of a flat kind with its base, how many numbers of ``width`` bytes the files before it hold, in order. One short row a
+    file reaches the driver."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")
     base = F.coalesce(F.sum("length").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / width
     return [(r[0], int(r[1])) for r in rows.select("path", base.cast("long")).orderBy("path").collect()]
 
 
 def _local_starts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, total = TaskContext.get().partitionId(), 0
+    part, total, rows = TaskContext.get().partitionId(), 0, 0
     for batch in frames:
         n = batch.column(1).to_numpy()
         ends = total + np.cumsum(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(n), part, np.int64)), pa.array(ends - n)], ["id", "n", "part", "start"])
-        total = int(ends[-1]) if len(n) else total
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(n), part, np.int64)), pa.array(rows + np.arange(len(n))), pa.array(ends - n)],
+                                         ["id", "n", "part", "nth", "start"])
+        total, rows = int(ends[-1]) if len(n) else total, rows + len(n)
 
 
-def _index(rows: DataFrame, files: list[tuple[str, int]], parts: int) -> DataFrame:
-    """``id, n, start, file, first``: running sums inside ranges of ids, and a prefix sum over the ranges' totals."""
+def _index(rows: DataFrame, parts: int) -> DataFrame:
+    """``id, n, part, nth, start``: running sums inside ranges of ids, and a prefix sum over the ranges' totals. Partition ``part`` of the
+    result holds the rows of that number, in order."""
     kind = dict(rows.dtypes)["id"]
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "n", "tie").select("id", "n")
-    local = cut(ordered.mapInArrow(_local_starts, f"id {kind}, n long, part long, start long"))
+    local = cut(ordered.mapInArrow(_local_starts, f"id {kind}, n long, part long, nth long, start long"))
     sums = local.groupBy("part").agg(F.sum("n").alias("ids"))
     bases = dict(sums.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).collect())
-    names, firsts = [f for f, _ in files], np.array([b for _, b in files], np.int64)
 
     def placed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            start = batch.column(3).to_numpy() + np.array([bases[p] for p in batch.column(2).to_pylist()], np.int64)
-            file = np.searchsorted(firsts, start, side="right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(start), pa.array([names[k] for k in file], pa.string()), pa.array(start - firsts[file])],
-                                             ["id", "n", "start", "file", "first"])
+            start = batch.column(4).to_numpy() + np.array([bases[p] for p in batch.column(2).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(start)], ["id", "n", "part", "nth", "start"])
 
-    return local.mapInArrow(placed, f"id {kind}, n long, start long, file string, first long")
+    return local.mapInArrow(placed, f"id {kind}, n long, part long, nth long, start long")
 
 
 def _offset_bytes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,24 +130,63 @@ def mapped(uri: str, kind: np.dtype) -> np.ndarray:
         return np.frombuffer(file.read_buffer(), kind)
 
 
+class Offsets:
+    """The offsets files of a dataset as one rising sequence that ends with the number of all ids."""
+
+    def __init__(self, files: list[tuple[str, int]], ids: int):
+        self.files, self.ids = files, ids
+        self.place = {int(re.search(r"part-(\d+)", name.rsplit("/", 1)[-1])[1]): k for k, (name, _) in enumerate(files)}
+        self.name, self.flat = None, np.empty(0, np.uint64)
+
+    def _file(self, k: int) -> np.ndarray:
+        if self.name != k:
+            self.name, self.flat = k, mapped(self.files[k][0], np.dtype("<u8"))
+        return self.flat
+
+    def bounds(self, part: int, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where documents of one file start and end."""
+        k = self.place[part]
+        flat = self._file(k)
+        start, last = flat[nth].astype(np.int64), nth == len(flat) - 1
+        end = flat[np.minimum(nth + 1, len(flat) - 1)].astype(np.int64)
+        if last.any():
+            later = next((j for j in range(k + 1, len(self.files)) if j + 1 == len(self.files) or self.files[j + 1][1] > self.files[j][1]), None)
+            following = self._file(later) if later is not None else []
+            end[last] = int(following[0]) if len(following) else self.ids
+        return start, end
+
+
 def read_dataset(spark: SparkSession, path: str, tokenizer: str, digest: bool = False) -> DataFrame:
     """``id, start, n`` and ``ids`` (little-endian 32-bit bytes, the end id included), or with ``digest`` only their ``crc32``.
 
-    Each document is taken from its memory-mapped file by its offset; a file's documents are read in file order."""
-    index = spark.read.parquet(f"{path}/index")
-    kind = word_encoder(tokenizer).kind
+    start and n come from the memory-mapped offsets, ids from the mapped file that holds them; a file's documents are read in file
+    order. Offsets that give a document another length than the index fail the read."""
+    index, kind = spark.read.parquet(f"{path}/index"), id_kind(tokenizer)
+    id_files, offset_files = flat_files(spark, f"{path}/ids", kind.itemsize), flat_files(spark, f"{path}/offsets", 8)
+    names, firsts = [f for f, _ in id_files], np.array([b for _, b in id_files], np.int64)
+    size = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/ids").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ids_in_all = int(size) // kind.itemsize
 
     def taken(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, flat = None, None
+        offsets, file, flat = Offsets(offset_files, ids_in_all), None, None
         for batch in frames:
+            part, nth, want = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            start, end = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+            for p in np.unique(part).tolist():
+                some = np.flatnonzero(part == p)
+                start[some], end[some] = offsets.bounds(p, nth[some])
+            if (end - start != want).any():
+                raise ValueError(f"offsets and index of {path} disagree")
             out = []
-            for file, first, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4))):
-                if file != name:
-                    name, flat = file, mapped(file, kind)
-                ids = flat[first:first + n].astype("<u4")
+            for k, s, e in zip((np.searchsorted(firsts, start, side="right") - 1).tolist(), start.tolist(), end.tolist()):
+                if k != file:
+                    file, flat = k, mapped(names[k], kind)
+                ids = flat[s - int(firsts[k]):e - int(firsts[k])].astype("<u4")
+                if len(ids) != e - s:
+                    raise ValueError(f"ids of {path} end before an offset")
                 out.append(zlib.crc32(ids) if digest else ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(out, pa.int64() if digest else pa.binary())], ["id", "start", "n", "out"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start), pa.array(end - start), pa.array(out, pa.int64() if digest else pa.binary())], ["id", "start", "n", "out"])
 
-    ordered = index.select("id", "file", "first", "start", "n").repartition("file", F.floor(F.col("first") / 1_000_000)).sortWithinPartitions("file", "first")
+    ordered = index.select("id", "part", "nth", "n").repartition("part", F.floor(F.col("nth") / 10_000)).sortWithinPartitions("part", "nth")
     out = ordered.mapInArrow(taken, f"id {dict(index.dtypes)['id']}, start long, n long, out {'long' if digest else 'binary'}")
     return out.withColumnRenamed("out", "crc32" if digest else "ids")

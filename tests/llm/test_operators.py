@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondeo.llm import boosted_rules, components, hnsw, labelled, mixing, piece_scan, queries, sharding, token_files, trie_counts, trie_join, unigram, vote_classifier, warc, words
+from sondeo.llm import boosted_rules, components, hnsw, labelled, mixing, piece_scan, queries, sharding, token_files, trie_counts, trie_join, unigram, unit_ids, vote_classifier, warc, words
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -330,11 +330,25 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read_dataset(spark, f"{path}0", queries.BYTE_BPE).count() == 0
 
 
+def test_changed_offsets_fail_the_read(spark, docs, tmp_path):
+    path = str(tmp_path / "d")
+    token_files.write_dataset(docs, path, queries.BYTE_BPE, file_ids=500)
+    for name in glob.glob(f"{path}/offsets/.*.crc"):
+        open(name, "wb").close()
+    name = sorted(glob.glob(f"{path}/offsets/part-*"))[0]
+    offsets = np.fromfile(name, "<u8")
+    offsets[1] += 1
+    offsets.tofile(name)
+    with pytest.raises(Exception, match="disagree"):
+        token_files.read_dataset(spark, path, queries.BYTE_BPE).collect()
+
+
 def test_word_encoder_equals_the_library():
-    encoder = token_files.WordEncoder(queries.BYTE_BPE)
+    encoder = unit_ids.ByteUnits(queries.BYTE_BPE, False)
     cases = ["", "a", " a", "a ", "a  b", "a \n b", "\na b", "x  y z", "don't  stop", " ", "\n", "Ġ a Ġb", "a Ġ b", "a <|endoftext|> b <|endoftext|>c", "日本 語 é", "a\tb c", "1 2 3", "a\x1c b", *filter(None, TEXTS)]
     want = [encoder.tokenizer.encode(c, add_special_tokens=False).ids for c in cases]
-    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(cases)] == want
+    ids, bounds, _ = encoder.encode(cases)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
 
 
 @pytest.mark.parametrize("chunk", [piece_scan.CHUNK, 40])
