@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +32,13 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _within_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _within_task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         forest = Forest()
-        for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+        for a, b in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
             forest.join(a, b)
-        rows = [(x, forest.root(x)) for x in forest.up]
-        yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"]).astype("int64")
+        rows = np.array([(x, root) for x in forest.up if (root := forest.root(x)) != x], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     then all its neighbours, to the smallest one, until nothing changes. Rounds grow with the logarithm of the longest path.
     Nothing but two numbers a round reaches the driver. Self-edges and repeated edges change nothing; an empty table gives none."""
     given = edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
-    now = cut(given.mapInPandas(_within_task, "a long, b long").distinct())
+    now = cut(given.mapInArrow(_within_task, "a long, b long").distinct())
     before = None
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")

@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,24 +94,24 @@ def _cut_up(frames: Iterator[pa.RecordBatch], chunk: int, states: int) -> Iterat
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([k], pa.int64()), pa.array([s[a:b + states - 1]]), pa.array([b - a], pa.int64())], ["key", "k", "s", "size"])
 
 
-def _scan(frame: pd.DataFrame, states: int) -> pd.DataFrame:
+def _scan(table: pa.Table, states: int) -> pa.Table:
     """One document's matrices; each chunk's scores of the states it starts from, when the document starts in state 0."""
-    frame = frame.sort_values("k")
-    stack = np.stack([np.frombuffer(x, np.int64).reshape(states, states) for x in frame["matrix"]])
+    table = table.sort_by("k")
+    stack = np.stack([np.frombuffer(x, np.int64).reshape(states, states) for x in table.column("matrix").to_pylist()])
     start = np.full(states, NONE // 2, np.int64)
     start[0] = 0
     scores = np.vstack([start, prefixes(stack)[:-1, 0, :]])
-    return pd.DataFrame({"key": frame["key"], "k": frame["k"], "scores": list(scores)})
+    return pa.table({"key": table.column("key"), "k": table.column("k"), "scores": pa.array(list(scores), pa.list_(pa.int64()))})
 
 
-def _walk_back(frame: pd.DataFrame) -> pd.DataFrame:
+def _walk_back(table: pa.Table) -> pa.Table:
     """One document's tables of where paths come in; the state at each chunk's end on the best path, which ends in state 0."""
-    frame = frame.sort_values("k")
+    table = table.sort_by("k")
     state, exits = 0, []
-    for entries in reversed(frame["entries"].tolist()):
+    for entries in reversed(table.column("entries").to_pylist()):
         exits.append(state)
         state = int(entries[state])
-    return pd.DataFrame({"key": frame["key"], "k": frame["k"], "state": exits[::-1]})
+    return pa.table({"key": table.column("key"), "k": table.column("k"), "state": pa.array(exits[::-1], pa.int64())})
 
 
 def encode_giants(rows: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -131,10 +130,10 @@ def encode_giants(rows: DataFrame, model: str, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array([e for e, _ in found], pa.list_(pa.int32())),
                                               pa.array([i for _, i in found], pa.list_(pa.list_(pa.int32())))], ["key", "k", "entries", "ids"])
 
-    scores = chunks.mapInArrow(matrices, "key long, k long, matrix binary").groupBy("key").applyInPandas(lambda f: _scan(f, states), "key long, k long, scores array<long>")
+    scores = chunks.mapInArrow(matrices, "key long, k long, matrix binary").groupBy("key").applyInArrow(lambda t: _scan(t, states), "key long, k long, scores array<long>")
     traced = cut(chunks.join(scores, ["key", "k"]).mapInArrow(paths, "key long, k long, entries array<int>, ids array<array<int>>"))
-    exits = traced.select("key", "k", "entries").groupBy("key").applyInPandas(_walk_back, "key long, k long, state int")
-    chosen = traced.join(exits, ["key", "k"]).select("key", "k", F.element_at("ids", F.col("state") + 1).alias("ids"))
+    exits = traced.select("key", "k", "entries").groupBy("key").applyInArrow(_walk_back, "key long, k long, state long")
+    chosen = traced.join(exits, ["key", "k"]).select("key", "k", F.element_at("ids", (F.col("state") + 1).cast("int")).alias("ids"))
     return chosen.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 

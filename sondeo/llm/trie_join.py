@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -247,29 +246,31 @@ class Trie:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def join_block(frame: pd.DataFrame) -> pd.DataFrame:
+def join_block(table: pa.Table) -> pa.Table:
     """Sets of one block with one another, or those of the second block with a trie of the first. Returns each set's links found
     here, counted in documents, and the root of its tree in the forest of these links."""
-    crossed = bool((frame["i"] != frame["j"]).iloc[0])
-    vocabulary, flat = np.unique(np.concatenate(frame["tokens"].tolist()).astype(np.int64), return_inverse=True)
-    cuts = np.cumsum([len(t) for t in frame["tokens"]])[:-1]
+    column = lambda name: table.column(name).to_numpy()
+    i, j = column("i")[0], column("j")[0]
+    tokens = table.column("tokens").combine_chunks()
+    vocabulary, flat = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+    cuts = np.cumsum(tokens.value_lengths().to_numpy())[:-1]
     lists = [x[::-1] for x in np.split(flat.astype(np.int64), cuts)]
-    low, size, copies = (frame[c].to_numpy() for c in ("low", "n", "copies"))
-    stored = np.flatnonzero((frame["block"] == frame["i"]).to_numpy())
-    probing = np.flatnonzero((frame["block"] == frame["j"]).to_numpy()) if crossed else stored
+    low, size, copies = (column(c) for c in ("low", "n", "copies"))
+    stored = np.flatnonzero(column("block") == i)
+    probing = np.flatnonzero(column("block") == j) if i != j else stored
     trie = Trie([lists[k] for k in stored], size[stored])
-    links, forest, mask = np.zeros(len(frame), np.int64), Forest(), np.zeros(len(vocabulary), bool)
+    links, forest, mask = np.zeros(len(low), np.int64), Forest(), np.zeros(len(vocabulary), bool)
     for k in probing.tolist():
         mask[lists[k]] = True
         others = stored[trie.partners(mask, len(lists[k]), int(size[k]))]
         mask[lists[k]] = False
         others = others[others != k]
         links[k] += copies[others].sum()
-        if crossed:
+        if i != j:
             links[others] += copies[k]
         for other in low[others].tolist():
             forest.join(int(low[k]), other)
-    return pd.DataFrame({"low": low, "links": links, "root": [forest.root(x) for x in low.tolist()], "blocks": frame["blocks"]})
+    return pa.table({"low": low, "links": links, "root": np.array([forest.root(x) for x in low.tolist()], np.int64), "blocks": table.column("blocks")})
 
 
 def linked_sets(held: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -284,7 +285,7 @@ def linked_sets(held: DataFrame, block: int = BLOCK) -> DataFrame:
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("low"), "blocks").cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("cluster", "low", "n", "copies", "tokens", "blocks", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = cut(met.groupBy("cluster", "i", "j").applyInPandas(join_block, "low long, links long, root long, blocks int"))
+    rows = cut(met.groupBy("cluster", "i", "j").applyInArrow(join_block, "low long, links long, root long, blocks int"))
     split = components(rows.where("blocks > 1").select(F.col("low").alias("a"), F.col("root").alias("b")))
     whole = rows.where("blocks = 1").select(F.col("low").alias("node"), F.col("root").alias("component"))
     links = rows.groupBy("low").agg(F.sum("links").alias("links")).where("links > 0")
