@@ -286,6 +286,6 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc
 def r02b(spark, sf):
     docs, queries = _doc_texts(spark, sf)
     docs = docs.withColumn("collection", F.left("collection", F.lit(0)))
-    chunks = encoders.sparse_encode(docs, retrieval.KEY, "content", encoders.MAX_ACTIVE_DIMS)
+    store = retrieval.kept_store(encoders.sparse_store(docs, retrieval.KEY, "content", encoders.MAX_ACTIVE_DIMS))
     asked = encoders.sparse_encode(queries, ["query_id"], "query", encoders.MAX_ACTIVE_DIMS)
-    return retrieval.sparse_top_k(asked, chunks, 10).select("query_id", "rank", "document", "score")
+    return retrieval.sparse_top_k(asked, None, 10, store).select("query_id", "rank", "document", "score")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sondeo.operators import postings
 from sondeo.operators.filters import encoder_input
 from sondeo.operators.retrieval import explode_words, terms
 
@@ -90,6 +91,25 @@ def sparse_encode(df: DataFrame, keys: list[str], text: str, active: int | None
     return weighted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= active).drop("_r")
 
 
+def dimensions(text: Column) -> Column:
+    """The hashed dimension of every word, as ``sparse_encode`` hashes them."""
+    return F.transform(terms(text), lambda w: (F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("long") % SPARSE_DIMS).cast("int"))
+
+
+def sparse_store(df: DataFrame, keys: list[str], text: str, active: int | None = None) -> DataFrame:
+    """The postings of ``sparse_encode``'s vectors, scaled to unit length, straight from the texts: no row per word is made."""
+    def damped(chunk: np.ndarray, dim: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = np.round(np.log(1.0 + count), 6)
+        order = np.lexsort((dim, -weight, chunk))
+        first = np.searchsorted(chunk[order], chunk[order])
+        kept = np.empty(len(order), bool)
+        kept[order] = np.arange(len(order)) - first < (len(order) if active is None else active)
+        squares = np.bincount(chunk[kept], weights=weight[kept] ** 2, minlength=int(chunk.max(initial=0)) + 1)
+        return kept, weight / np.sqrt(squares[chunk], out=np.ones(len(chunk)), where=squares[chunk] > 0)
+
+    return postings.build(df.select(*keys, dimensions(F.col(text)).alias("dims")), keys, "dims", weigh=damped)
+
+
 def as_map(sparse: DataFrame, keys: list[str]) -> DataFrame:
     """Long form to map<int, float>; at most 256 entries per text."""
     return sparse.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("weight").cast("float")))).alias("sparse_embedding"))

@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondeo.functions import ordered
-from sondeo.operators import filters
+from sondeo.operators import filters, postings
+from sondeo.session import checkpointed, scratch_folder
 
 # Candidate depths and list lengths of the search modes.
 CANDIDATES = 50
@@ -213,26 +214,39 @@ def exploded_map(df: DataFrame, keys: list[str], sparse: str) -> DataFrame:
     return df.select(*keys, F.explode(sparse).alias("dim", "weight")).withColumn("weight", F.col("weight").cast("double"))
 
 
-def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8) -> DataFrame:
+KEY_TYPES = [("collection", "string"), ("document", "string"), ("chunk_index", "int")]
+
+
+def sparse_store(chunks: DataFrame) -> DataFrame:
+    """The postings of sparse vectors in long form (key, dim, weight), scaled to unit length. A vector has at most as many rows as
+    active dimensions, so collecting it is bounded."""
+    vectors = chunks.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("dim", "weight"))).alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    scaled = vectors.withColumn("_norm", norm).select(
+        *KEY, F.col("_v.dim").alias("dims"), F.transform("_v", lambda x: x["weight"] / F.col("_norm")).alias("weights"))
+    return postings.build(scaled.withColumn("chunk_index", F.col("chunk_index").cast("int")), KEY, "dims", "weights")
+
+
+def sparse_top_k(queries: DataFrame, chunks: DataFrame | None, k: int, store: DataFrame | None = None) -> DataFrame:
     """Cosine of sparse vectors in long form: queries (query_id, dim, weight), chunks (key, dim, weight).
 
-    Both sides are scaled to unit length first, inside the vectors they belong to (a vector has at most as many rows as
-    active dimensions), so the products only need to be summed. The equality join on the dimension touches only chunks
-    that share one with the query; chunks that share none would score 0 and are left out. A dimension found in very many
-    chunks is spread by salting the chunk side.
-    """
-    def unit(df, keys):
-        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys)))
-        return df.withColumn("weight", F.col("weight") / norm)
-
-    asked = unit(queries, ["query_id"]).select("query_id", "dim", F.col("weight").alias("qw")).withColumn(
-        "_salt", ordered.every_salt(salt))
-    stored = unit(chunks, KEY).withColumn("_salt", ordered.salt_of(KEY, salt))
-    scored = stored.join(asked, ["dim", "_salt"]).groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("raw"))
-    best = ordered.top_k(scored, ["query_id"], [F.desc("raw"), *[F.asc(x) for x in KEY]], k)
+    Chunks that share no dimension with a query would score 0 and are left out. Pass ``store``, written by ``sparse_store``, to search
+    it many times; without one it is built for this search and used in passing."""
+    asked = queries.withColumn("_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("query_id")))).select(
+        "query_id", F.col("dim").alias("term"), (F.col("weight") / F.col("_norm")).alias("weight"), F.lit(0).alias("n_terms"))
+    store = store if store is not None else kept_store(sparse_store(chunks))
+    found = postings.search(store, asked, k, KEY_TYPES)
+    best = ordered.top_k(found, ["query_id"], [F.desc("raw"), *[F.asc(x) for x in KEY]], k)
     return best.select("query_id", "rank", *KEY, F.round("raw", 4).alias("score"))
 
 
+def kept_store(store: DataFrame, path: str | None = None) -> DataFrame:
+    """The store, written once; below the shared folder if no path is given."""
+    path = path or scratch_folder(store.sparkSession)
+    store.write.parquet(path)
+    return store.sparkSession.read.parquet(path)
+
+
 # -- lexical -------------------------------------------------------------------------------------------------------------
 
 def explode_words(df: DataFrame, keys: list[str], words: str, out: str = "term") -> DataFrame:
@@ -245,32 +259,25 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, salt: int = 8) -> DataFrame:
+def lexical_store(chunks: DataFrame) -> DataFrame:
+    """The postings of the words of ``content``. Texts are cut once, here."""
+    return postings.build(chunks.select(*KEY, terms(F.col("content")).alias("_t")).withColumn("chunk_index", F.col("chunk_index").cast("int")), KEY, "_t")
+
+
+def lexical_top_k(queries: DataFrame, chunks: DataFrame | None, k: int, store: DataFrame | None = None) -> DataFrame:
     """BM25 over chunks that hold all words of the query; where none does and the query has several words, any word.
 
-    Only words that some query uses leave the chunk side, placed by chunk. Where the query terms are too many for Spark
-    to broadcast, the join on the word is salted, as a common word may sit in a third of all chunks.
-    """
-    asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("_t"))
-    q_terms = explode_words(asked.withColumn("n_terms", F.size("_t")), ["query_id", "n_terms"], "_t")
-    wanted = q_terms.select("term").distinct()
-    tokens = chunks.select(*KEY, terms(F.col("content")).alias("_t")).withColumn("length", F.size("_t"))
-    corpus = tokens.agg(F.struct(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length")).alias("c")).scalar()
-    # Rows of a chunk stay together from here on: counting, joining with broadcast query terms and summing need no
-    # further shuffle.
-    placed = explode_words(tokens, [*KEY, "length"], "_t").join(wanted, "term", "left_semi").repartition(*KEY)
-    tf = placed.groupBy(*KEY, "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = q_terms.join(df, "term").withColumn("_c", corpus).select("query_id", "n_terms", "term", "df", "_c.*").select(
-        "query_id", "n_terms", "term", "mean_length", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-        ordered.every_salt(salt).alias("_salt"))
-    salted = tf.withColumn("_salt", ordered.salt_of(KEY, salt))
-    part = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (
-        F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length")))
-    matched = salted.join(weighted, ["term", "_salt"]).groupBy("query_id", *KEY).agg(
-        F.round(F.sum(part), 9).alias("raw"), (F.count("*") == F.max("n_terms")).alias("whole"))
+    Pass ``store``, written by ``lexical_store``, to search it many times; without one it is built for this search."""
+    store = store if store is not None else kept_store(lexical_store(chunks))
+    asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("_t")).withColumn("n_terms", F.size("_t"))
+    words = checkpointed(explode_words(asked, ["query_id", "n_terms"], "_t"))
+    corpus = postings.corpus(store).first()
+    idf = F.log(1 + (corpus["n_chunks"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = words.join(postings.frequencies(store, words), "term").select("query_id", "term", idf.alias("weight"), "n_terms")
+    weigh = postings.Saturation(BM25_K1, BM25_B, corpus["mean_length"] or 1.0)
+    found = postings.search(store, weighted, k, KEY_TYPES, all_first=True, weigh=weigh)
     # Chunks with all words come first; where the best row is one of them, the others of its query drop out.
-    best = ordered.top_k(matched, ["query_id"], [F.desc("whole"), F.desc("raw"), *[F.asc(x) for x in KEY]], k)
+    best = ordered.top_k(found, ["query_id"], [F.desc("whole"), F.desc("raw"), *[F.asc(x) for x in KEY]], k)
     any_whole = F.max("whole").over(Window.partitionBy("query_id"))  # at most k rows
     kept = best.withColumn("_any", any_whole).filter(F.col("whole") | ~F.col("_any"))
     return kept.select("query_id", "rank", *KEY, F.round("raw", 4).alias("score"))

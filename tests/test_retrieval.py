@@ -4,11 +4,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sondeo.models import encoders
-from sondeo.operators import evaluation, fusion, retrieval
+from sondeo.operators import evaluation, fusion, postings, retrieval
 from sondeo.plans import modes
 
 
@@ -187,3 +188,66 @@ def test_sparse_encoding_keeps_256_dimensions(spark):
     rows = encoders.sparse_encode(df, ["id"], "t", 256).collect()
     assert len(rows) == 256 and all(r.weight >= round(math.log(2), 6) for r in rows)
     assert len(encoders.as_map(encoders.sparse_encode(df, ["id"], "t", 256), ["id"]).first().sparse_embedding) == 256
+
+
+def _worded(n=700):
+    words = [f"w{k}" for k in range(40)]
+    # "every" is in all chunks, "half" in every second one; the others thin out.
+    return [" ".join(["every"] + ["half"] * (i % 2) + [w for j, w in enumerate(words) if (i * 7 + j * j) % (j + 2) == 0] * (1 + i % 3)) for i in range(n)]
+
+
+def _bm25(texts, query, k):
+    docs = [t.split() for t in texts]
+    mean = sum(map(len, docs)) / len(docs)
+    asked = list(dict.fromkeys(query.lower().split()))
+    idf = {w: math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) for w in asked if (df := sum(w in d for d in docs))}
+    scored = []
+    for i, d in enumerate(docs):
+        here = [w for w in idf if w in d]
+        if here:
+            score = sum(idf[w] * d.count(w) * 2.2 / (d.count(w) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for w in here)
+            scored.append((len(here) < len(asked), -round(score, 9), i))
+    scored.sort()
+    if scored and not scored[0][0]:
+        scored = [s for s in scored if not s[0]]
+    return [(i, round(-s, 4)) for _, s, i in scored[:k]]
+
+
+@pytest.mark.parametrize("shard, block, sent", [(postings.SHARD_CHUNKS, postings.BLOCK_QUERIES, postings.MAX_SENT), (150, 2, 0)])
+def test_postings_equal_a_full_scan(spark, monkeypatch, shard, block, sent):
+    """Small shards, blocks of two queries and shuffled terms give the same; so do a pruned and a full search."""
+    for name, value in (("SHARD_CHUNKS", shard), ("BLOCK_QUERIES", block), ("MAX_SENT", sent), ("FIRST_RANGES", 1)):
+        monkeypatch.setattr(postings, name, value)
+    texts = _worded()
+    c = spark.createDataFrame([("c", "d", i, t) for i, t in enumerate(texts)] + [("c", "e", 0, None), ("c", "e", 1, "")],
+                              "collection string, document string, chunk_index int, content string").repartition(3)
+    asked = {1: "every", 2: "every half w3", 3: "w1 w2 w3 w4 w5", 4: "w39 absent", 5: "every absent", 6: "half w17 w31 w38", 7: "absent"}
+    q = spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    store = retrieval.kept_store(retrieval.lexical_store(c))
+    got = _collect(retrieval.lexical_top_k(q, None, 10, store))
+    want = {i: _bm25([*texts, "", ""], t, 10) for i, t in asked.items()}
+    assert {i: [(key[2], score) for key, score in hits] for i, hits in got.items()} == {i: w for i, w in want.items() if w}
+
+
+def test_a_pruned_search_skips_ranges():
+    """Most ranges promise less than the tenth best score and are never scored."""
+    table = pa.table({"document": [f"d{i:06d}" for i in range(100_000)],
+                      "_terms": pa.array([["often"] + ["rare"] * 30 * (i // 1000 == 37) for i in range(100_000)], pa.list_(pa.string()))})
+    rows = pa.Table.from_batches(list(postings._inverted(table, ["document"], 0, None)))
+    rows = rows.append_column("queries", pa.array([[]] * rows.num_rows, pa.list_(pa.int64())))
+    shard = postings.Shard(rows, postings.Saturation(1.2, 0.75, 1.0))
+    scored = []
+    zeros = np.zeros
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(postings.np, "zeros", lambda n, *a: (scored.append(n), zeros(n, *a))[1])
+        found, _ = shard.with_any(["often", "rare"], [0.1, 5.0], 10)
+    assert sorted(found.tolist()) == list(range(37_000, 37_010)) and sum(n for n in scored if n >= postings.RANGE * 8) <= 2 * 16 * postings.RANGE
+
+
+def test_sparse_store_of_texts(spark):
+    """The store made from texts answers like the one made from their vectors."""
+    c = spark.createDataFrame([("c", "d", i, t) for i, t in enumerate(_worded(200))], "collection string, document string, chunk_index int, content string")
+    q = spark.createDataFrame([(1, "every w3 w3 w9"), (2, "half w30")], "query_id long, query string")
+    asked = encoders.sparse_encode(q, ["query_id"], "query", 3)
+    store = retrieval.kept_store(encoders.sparse_store(c, retrieval.KEY, "content", 3))
+    assert _collect(retrieval.sparse_top_k(asked, None, 7, store)) == _collect(retrieval.sparse_top_k(asked, encoders.sparse_encode(c, retrieval.KEY, "content", 3), 7))
