@@ -8,7 +8,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sondeo.functions import ordered, text
+from sondeo.functions import heavy, ordered, text
 
 # Separators from coarse to fine, default sizes, bucket edges of the size histogram.
 SEPARATORS = ["\n\n", "\n", ". ", "! ", "? ", " "]
@@ -224,28 +224,31 @@ def merge_expanded(expanded: DataFrame, keys: list[str], cap: int = OVERLAP) ->
 
 # -- quotes -----------------------------------------------------------------------------------------------------------
 
-def quote_coverage(quotes: DataFrame, chunks: DataFrame, salt: int = 16) -> DataFrame:
+def quote_coverage(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """``single``, ``boundary`` or ``missing`` per quote (quote_id, collection, document, chunk_index, quote).
 
-    Chunks of a document are spread over ``salt`` groups by index and quotes are repeated once per group, so that a
-    document with very many chunks does not meet its quotes in one task.
+    Only chunks of documents with quotes are looked at. A quote meets the chunks that hold its rarest inner word; quotes of one or two
+    words meet all chunks of their document, which are spread where they are many.
     """
     # The white space pattern carries no state, so normalising both sides once before the join is enough.
-    q = quotes.withColumn("_q", text.normalize_ws(F.col("quote")))
-    sized = chunks.select(*DOC, "chunk_index", "content")
+    q = heavy.with_anchor(quotes.withColumn("_q", text.normalize_ws(F.col("quote"))), "quote_id", F.split("_q", " "))
+    sized = chunks.select(*DOC, "chunk_index", "content").join(q.select(*DOC).distinct(), DOC, "left_semi")
     nxt = sized.select(*DOC, (F.col("chunk_index") - 1).alias("chunk_index"), F.col("content").alias("_after"))
     texts = sized.join(nxt, [*DOC, "chunk_index"], "left").select(
         *DOC, F.col("chunk_index").alias("_index"), text.normalize_ws(F.col("content")).alias("_one"),
-        text.normalize_ws(F.concat("content", F.lit(" "), "_after")).alias("_two"),
-        F.pmod("chunk_index", F.lit(salt)).alias("_salt"),
+        text.normalize_ws(F.concat("content", F.lit(" "), F.coalesce("_after", F.lit("")))).alias("_two"),
+        F.col("_after").isNotNull().alias("_followed"),
     )
-    spread = q.withColumn("_salt", ordered.every_salt(salt))
-    found = spread.join(texts, [*DOC, "_salt"]).groupBy("quote_id").agg(
+    parted = texts.withColumn("_anchor", heavy.every_anchor(F.split("_two", " ")))
+    whole = sized.select(*DOC, F.lit("").alias("_anchor"))
+    on = [*DOC, "_anchor"]
+    held = heavy.spread_join(parted, q.select("quote_id", "_q", *on), on, ["_index"], sketched=whole).groupBy("quote_id").agg(
         F.min(F.when(F.col("_one").contains(F.col("_q")), F.col("_index"))).alias("single_index"),
-        F.min(F.when(F.col("_two").contains(F.col("_q")), F.col("_index"))).alias("boundary_index"),
-        F.lit(True).alias("_doc"),
+        F.min(F.when(F.col("_followed") & F.col("_two").contains(F.col("_q")), F.col("_index"))).alias("boundary_index"),
     )
-    joined = q.join(found, "quote_id", "left")
+    known = sized.select(*DOC).distinct().withColumn("_doc", F.lit(True))
+    found = q.select("quote_id", *DOC).join(known, DOC).join(held, "quote_id", "left").select("quote_id", "single_index", "boundary_index", "_doc")
+    joined = q.drop("_anchor").join(found, "quote_id", "left")
     status = F.when(F.col("single_index").isNotNull(), "single").when(
         F.col("boundary_index").isNotNull(), "boundary").otherwise("missing")
     return joined.select(

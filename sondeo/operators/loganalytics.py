@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sondeo.functions import logs, ordered
+from sondeo.functions import heavy, logs, ordered
 from sondeo.operators.filters import LOG_FAILURE_CODES
 from sondeo.session import checkpointed
 
@@ -274,17 +274,23 @@ def score_profile(items: DataFrame, hits: DataFrame) -> DataFrame:
     return every.join(stats, ["version_group", "rank"], "left").select("version_group", "rank", F.coalesce("n", F.lit(0)).alias("n"), "median")
 
 
-def read_back_commands(commands: DataFrame, readbacks: DataFrame, salt: int = 8) -> DataFrame:
+#: Delimiters that part a path and the texts that name it.
+PATH_PARTS = "[^A-Za-z0-9_-]+"
+
+
+def read_back_commands(commands: DataFrame, readbacks: DataFrame) -> DataFrame:
     """Ids of commands whose saved output is opened later in the same session.
 
-    Sessions are salted, and the containment test runs inside the join, so only true matches leave it.
+    A read meets only the saved outputs of its session that share a whole part of their path with it, the rarest inner one; paths
+    without inner parts meet all reads of their session, which are spread where they are many.
     """
-    saved = commands.select("tool_use_id", "session_id", "result_ts", logs.persisted_path(F.col("result_text")).alias("path")).filter(
-        F.col("path").isNotNull()).withColumn("_s", ordered.every_salt(salt))
-    later = readbacks.select("session_id", F.col("ts").alias("read_ts"), "text",
-                             ordered.salt_of(["text", "ts"], salt).alias("_s"))
-    on = ["session_id", "_s"]
-    return saved.join(later, on).filter((F.col("read_ts") > F.col("result_ts")) & F.contains("text", "path")).select("tool_use_id").distinct()
+    saved = commands.select("tool_use_id", "session_id", "result_ts", logs.persisted_path(F.col("result_text")).alias("path")).filter(F.col("path").isNotNull())
+    saved = heavy.with_anchor(saved, "tool_use_id", F.split("path", PATH_PARTS))
+    later = readbacks.select("session_id", F.col("ts").alias("read_ts"), "text")
+    parted = later.withColumn("_anchor", heavy.every_anchor(F.split("text", PATH_PARTS)))
+    whole = readbacks.select("session_id", F.lit("").alias("_anchor"))
+    hits = heavy.spread_join(parted, saved, ["session_id", "_anchor"], ["text", "read_ts"], sketched=whole)
+    return hits.filter((F.col("read_ts") > F.col("result_ts")) & F.contains("text", "path")).select("tool_use_id").distinct()
 
 
 def overflow_indicators(joined: DataFrame, readbacks: DataFrame) -> DataFrame:

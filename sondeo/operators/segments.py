@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sondeo.functions import ordered, text
+from sondeo.functions import heavy, ordered, text
 from sondeo.operators.retrieval import explode_words
 
 # Limits of the checks, kinds of discarded spans, query formats.
@@ -274,19 +274,17 @@ def shared_ngrams(pairs: DataFrame, passage: str, summary: str, n: int = NGRAM_S
     return grams.withColumn("shared", F.array_sort(F.array_intersect("_pg", "_sg"))).drop("_p", "_s", "_pg", "_sg")
 
 
-def corpus_leakage(passages: DataFrame, summaries: DataFrame, n: int = NGRAM_SIZE, salt: int = 8) -> DataFrame:
+def corpus_leakage(passages: DataFrame, summaries: DataFrame, n: int = NGRAM_SIZE) -> DataFrame:
     """Shared n-grams per (summary, passage) over the whole corpus, by an equality on the n-gram.
 
-    Passage n-grams are salted and summary n-grams repeated per salt, so a phrase found in a third of all passages is
-    spread; sums are combined before the last shuffle.
+    N-grams found in very many passages are spread, as many ways as they need; sums are combined before the last shuffle.
     """
     def grams(df, key):
         cut = df.select(key, text.content_words(F.col("text")).alias("_w"))
         return explode_words(cut.select(key, text.ngrams(F.col("_w"), n).alias("_g")), [key], "_g", "gram")
 
-    left = grams(passages, "passage_id").withColumn("_salt", ordered.salt_of(["passage_id"], salt))
-    right = grams(summaries, "summary_id").withColumn("_salt", ordered.every_salt(salt))
-    return left.join(right, ["gram", "_salt"]).groupBy("summary_id", "passage_id").agg(F.count("*").alias("shared"))
+    joined = heavy.spread_join(grams(passages, "passage_id"), grams(summaries, "summary_id"), ["gram"], ["passage_id"])
+    return joined.groupBy("summary_id", "passage_id").agg(F.count("*").alias("shared"))
 
 
 def passage_texts(spans: DataFrame, lines: DataFrame) -> DataFrame:
