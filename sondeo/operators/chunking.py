@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondeo.functions import heavy, ordered, text
+from sondeo.session import checkpointed
 
 # Separators from coarse to fine, default sizes, bucket edges of the size histogram.
 SEPARATORS = ["\n\n", "\n", ". ", "! ", "? ", " "]
@@ -231,8 +232,10 @@ def quote_coverage(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     words meet all chunks of their document, which are spread where they are many.
     """
     # The white space pattern carries no state, so normalising both sides once before the join is enough.
-    q = heavy.with_anchor(quotes.withColumn("_q", text.normalize_ws(F.col("quote"))), "quote_id", F.split("_q", " "))
-    sized = chunks.select(*DOC, "chunk_index", "content").join(q.select(*DOC).distinct(), DOC, "left_semi")
+    # Quotes, and the chunks of their documents, are made once; both are read several times below.
+    q = heavy.with_anchor(checkpointed(quotes.withColumn("_q", text.normalize_ws(F.col("quote")))), "quote_id", F.split("_q", " "))
+    q = checkpointed(q)
+    sized = checkpointed(chunks.select(*DOC, "chunk_index", "content").join(q.select(*DOC).distinct(), DOC, "left_semi"))
     nxt = sized.select(*DOC, (F.col("chunk_index") - 1).alias("chunk_index"), F.col("content").alias("_after"))
     texts = sized.join(nxt, [*DOC, "chunk_index"], "left").select(
         *DOC, F.col("chunk_index").alias("_index"), text.normalize_ws(F.col("content")).alias("_one"),
