@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from sondeo.catalog import standins as st
 from sondeo.catalog.base import ctes, query, table
 from sondeo.catalog.logs import ATTRIBUTED
+from sondeo.catalog.sync import WHOLE, WHOLE_CHUNKS
 from sondeo.session import scratch_folder
+from sondeo.sources.versioned import VersionedTable
 from sondeo.streaming import jobs
 
 
@@ -23,14 +25,25 @@ def _finish(q):
         raise q.exception()
 
 
-@query("st1_incremental_sync", ctes(st.CORPUS) + "SELECT collection, document, sha256(content) AS sha256 FROM corpus")
-def st1(spark, sf):
+def _synced(spark, sf):
+    """The documents table streamed into a versioned table, documents kept whole."""
     base = scratch_folder(spark)
     docs = _stream(spark, sf, "documents").select(
         F.col("source").alias("collection"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document"),
         F.col("text").alias("content"), F.lit(0).alias("version"))
-    _finish(jobs.sync_corpus(docs, f"{base}/chunks", f"{base}/manifest", f"{base}/staging", f"{base}/checkpoint"))
-    return spark.read.schema("collection string, document string, sha256 string").parquet(f"{base}/manifest")
+    versions = VersionedTable(spark, f"{base}/table")
+    _finish(jobs.sync_versioned(docs, versions, f"{base}/checkpoint", size=WHOLE))
+    return versions
+
+
+@query("st1_incremental_sync", ctes(st.CORPUS) + "SELECT collection, document, sha256(content) AS sha256 FROM corpus")
+def st1(spark, sf):
+    return _synced(spark, sf).hashes()
+
+
+@query("st1_streamed_chunks", ctes(st.CORPUS, WHOLE_CHUNKS) + "SELECT collection, document, chunk_index, total_chunks, content FROM whole_chunks")
+def st1b(spark, sf):
+    return _synced(spark, sf).chunks()
 
 
 @query("st2_streamed_attribution", ctes(st.LOGS, ATTRIBUTED) + "SELECT expand_id, search_id, kind, hit_rank FROM attributed")

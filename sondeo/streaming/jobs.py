@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sondeo.operators import sync
 from sondeo.operators.loganalytics import EXPAND_WINDOW_US
+from sondeo.sources.versioned import VersionedTable
 
 
 def sync_corpus(documents: DataFrame, chunk_path: str, manifest_path: str, staging_path: str, checkpoint: str) -> StreamingQuery:
@@ -24,6 +25,16 @@ def sync_corpus(documents: DataFrame, chunk_path: str, manifest_path: str, stagi
     return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sync_versioned(documents: DataFrame, table: VersionedTable, checkpoint: str, **cutting) -> StreamingQuery:
+    """As ``sync_corpus``, into a versioned table: a micro-batch rewrites the buckets of its changed documents and is one commit."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        latest = batch.groupBy("collection", "document").agg(F.max_by("content", "version").alias("content"))
+        table.sync(latest.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256)), removals=False, **cutting)
+
+    return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def attribution_candidates(expands: DataFrame, listed: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Stream-stream interval join: expands with the searches that listed their document within the hour before.
 

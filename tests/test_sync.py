@@ -1,8 +1,10 @@
 """Sync in place, in batch and as a stream: idempotent, complete, and careful with partial deliveries."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sondeo.operators import sync
+from sondeo.sources.versioned import VersionedTable
 from sondeo.streaming import jobs
 
 SCHEMA = "collection string, document string, content string"
@@ -61,3 +63,55 @@ def test_index_classification(spark):
     pick = lambda force: {r.document: r.action for r in sync.classify_for_index(now, old, progress, force).collect()}
     assert pick(False) == {"same": "skip", "changed": "index", "whole": "adopt", "part": "index"}
     assert set(pick(True).values()) == {"index"}
+
+
+def _buckets(base, kind="chunks"):
+    return {str(p.relative_to(base / kind)) for p in (base / kind).glob("commit=*/collection=*/bucket=*")}
+
+
+def test_one_changed_document_rewrites_one_bucket(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), buckets=8)
+    rows = [(c, f"d{i}", f"text {c} {i}") for c in "ab" for i in range(60)]
+    assert len(changes(table.sync(corpus(spark, rows)))) == 120 and table.version() == 1
+    first = _buckets(tmp_path)
+    assert len(first) == 16
+    assert changes(table.sync(corpus(spark, rows))) == [] and table.version() == 1 and _buckets(tmp_path) == first
+    rows[5] = ("a", "d5", "changed")
+    assert changes(table.sync(corpus(spark, rows))) == [("a", "d5", "updated")]
+    assert len(_buckets(tmp_path) - first) == len(_buckets(tmp_path, "hashes")) - 16 == 1
+    assert sorted((r.collection, r.document, r.content) for r in table.chunks().collect()) == sorted(rows)
+    old = {(r.collection, r.document): r.content for r in table.chunks(version=1).collect()}
+    assert old[("a", "d5")] == "text a 5" and len(old) == 120
+    # Without its last document a bucket is read as empty; blank documents keep their hash.
+    again = [("a", "d5", "changed"), ("b", "blank", " ")]
+    table.sync(corpus(spark, again))
+    assert [(r.document, r.content) for r in table.chunks().collect()] == [("d5", "changed")]
+    assert sorted(r.document for r in table.hashes().collect()) == ["blank", "d5"]
+    assert VersionedTable(spark, str(tmp_path)).buckets == 8
+
+
+def test_a_run_that_stops_before_its_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, str(tmp_path), buckets=4)
+    table.sync(corpus(spark, [("a", "x", "one"), ("a", "y", "two")]))
+    monkeypatch.setattr(VersionedTable, "_commit", lambda self, commit: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        table.sync(corpus(spark, [("a", "x", "ONE"), ("a", "y", "two")]))
+    monkeypatch.undo()
+    assert sorted(r.content for r in table.chunks().collect()) == ["one", "two"]
+    assert changes(table.sync(corpus(spark, [("a", "x", "ONE"), ("a", "y", "two")]))) == [("a", "x", "updated")]
+    assert sorted(r.content for r in table.chunks().collect()) == ["ONE", "two"] and table.version() == 2
+
+
+def test_streamed_batches_are_commits(spark, tmp_path):
+    schema = "collection string, document string, content string, version int"
+    table = VersionedTable(spark, str(tmp_path / "t"), buckets=4)
+
+    def deliver(rows, n):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        jobs.sync_versioned(stream, table, str(tmp_path / "cp")).awaitTermination()
+        return sorted((r.document, r.content) for r in table.chunks().collect())
+
+    assert deliver([("a", "x", "old", 1), ("a", "x", "new", 2), ("a", "y", "two", 1)], 1) == [("x", "new"), ("y", "two")]
+    assert deliver([("a", "y", "TWO", 1)], 2) == [("x", "new"), ("y", "TWO")]
+    assert table.version() == 2
