@@ -303,6 +303,31 @@ def test_sharding(spark, docs, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_groups_of_equal_texts_share_a_shard(spark):
+    """Groups of one and a half ranges, half a shard and nine tenths of one stay whole; one of two shards is cut, so sizes stay near equal."""
+    shards, singles = 10, 20_000
+    text = lambda group: F.concat(F.lit("group text number "), F.col("group").cast("string"))
+    width = 40  # bytes of a row with its text, about
+    whole = singles * 100 / shards
+    groups = [(1, 1.5 / sharding.RANGES), (2, 0.5), (3, 0.9), (4, 2.0), (5, 0.5), *[(6 + k, 0.02) for k in range(30)]]
+    plan = spark.createDataFrame([(g, max(2, int(share * whole / width))) for g, share in groups], "group long, n int")
+    copies = plan.select(text(None).alias("text"), F.explode(F.sequence(F.lit(1), "n")).alias("k"))
+    rows = copies.select("text").union(spark.range(singles).select(F.rpad(F.concat(F.lit("single "), "id"), 84, "x")))
+    docs = rows.repartition(6).select(F.monotonically_increasing_id().alias("doc_id"), "text").cache()
+    docs.count()
+    got = sharding.assign(docs, shards).join(docs, "doc_id").select("text", "shard", "size", "slot").collect()
+    places, sizes = collections.defaultdict(set), collections.Counter()
+    slots = collections.defaultdict(list)
+    for r in got:
+        places[r.text].add(r.shard)
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert {t for t, p in places.items() if len(p) > 1} == {"group text number 4"}
+    mean = sum(sizes.values()) / shards
+    assert all(abs(sizes[k] - mean) < 0.02 * mean for k in range(shards)), sizes
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
