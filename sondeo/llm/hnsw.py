@@ -3,10 +3,11 @@
 Equal vectors are one from here on. The vectors of a label are dealt into shards of bounded size; each gets a graph, built once. Every
 shard of a label is asked by every other one (and by itself), one task for each two of them, which ask each other; what either finds
 is a link, counted for both sides.
-A search walks down the layers, keeps a beam on the lowest one, and then follows links from hit to hit until it meets no new one. In
-each task some vectors are also compared with the whole shard, more and more of them until they have LEAST links; where all have fewer,
-this comparison is the result. While a link that it finds was missed, the beam is widened and all are asked again, at the end with a
-beam as wide as the shard, which is exact. Hits are verified in double precision."""
+A search walks down the layers, keeps a beam on the lowest one, and then follows links from hit to hit until it meets no new one. Hits are
+verified in double precision. Each task then audits itself: a bounded sample of vectors, half of them with links, is compared with the whole
+shard, and copies of shard vectors that were moved half-way to the threshold are asked for. While a link of the sample was missed, or
+more than a twentieth of the moved copies were not found, the beam is widened and all are asked again, at the end with a beam as wide as the
+shard. What was found is one bit a pair; links are counted and components tied a batch of rows at a time."""
 
 from __future__ import annotations
 
@@ -21,13 +22,13 @@ from sondeo.llm.components import components
 COSINE = 0.93
 #: Vectors of a shard, links of a node (twice as many on the lowest layer), beams while building and asking, vectors audited per task.
 SHARD, LINKS, BUILD_BEAM, BEAM, AUDIT = 8192, 16, 48, 48, 64
-#: Links, those of a vector with itself aside, that the audited vectors must have for an audit to say anything.
-LEAST = 64
+#: Moved copies that an audit asks for, and the share of them it must find.
+MOVED, RECALL = 32, 0.95
 #: Vectors that walk together, and nodes that each expands at a time.
 TOGETHER, AT_A_TIME = 256, 4
 SLACK = 1e-5
-#: How much wider a beam gets when an audit finds a link that was missed.
-WIDER = 16
+#: How much wider a beam gets when an audit fails.
+WIDER = 4
 #: Places of a node's list on the lowest layer that are kept for nodes without any other way in.
 SPARE = 4
 
@@ -174,10 +175,9 @@ class Graph:
             open_ &= ~go
             new = np.where(from_[:, :, None] >= 0, table[np.maximum(from_, 0)], -1).reshape(len(q), -1)
 
-    def links(self, q: np.ndarray, cosine: float, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all pairs at ``cosine`` or more that a beam of ``width`` leads to. Where the beam holds nothing but hits there
-        may be any number more: for such a query it is widened to the whole shard at once. Queries that are nodes, ``own``, also start from themselves."""
-        out, full = ([], []), ([], [])
+    def mark(self, found: np.ndarray, q: np.ndarray, cosine: float, width: int, own: np.ndarray | None = None) -> None:
+        """Sets the bits (query, node) of all pairs at ``cosine`` or more that a beam of ``width`` leads to. Where the beam holds nothing but
+        hits there may be any number more: such a query is compared with the shard. Queries that are nodes, ``own``, also start from themselves."""
         for i in range(0, len(q), TOGETHER):
             part = q[i:i + TOGETHER].astype(np.float32)
             at = np.full((len(part), 1), self.entry)
@@ -188,15 +188,15 @@ class Graph:
             seen = np.zeros((len(part), len(self.x)), bool)
             ids, worth = self._beam(0, part, at, width, seen)
             wide = np.flatnonzero((worth >= cosine - SLACK).all(axis=1))
-            r, c = np.nonzero(q[i + wide] @ self.exact.T >= cosine)
-            full[0].append(wide[r] + i)
-            full[1].append(c)
+            found[i + wide] = q[i + wide] @ self.exact.T >= cosine
             worth[wide] = -np.inf
             r, c = np.nonzero(worth >= cosine - SLACK)
             who, node = r, ids[r, c]
             while len(who):
-                out[0].append(who + i)
-                out[1].append(node)
+                for j in range(0, len(who), 100_000):
+                    a, b = who[j:j + 100_000], node[j:j + 100_000]
+                    sure = np.einsum("nd,nd->n", q[i + a], self.exact[b]) >= cosine
+                    found[i + a[sure], b[sure]] = True
                 near = self.layers[0][node]
                 flat = np.unique((np.repeat(who, near.shape[1]) * len(self.x) + near.ravel())[near.ravel() >= 0])
                 who, node = flat // len(self.x), flat % len(self.x)
@@ -205,53 +205,55 @@ class Graph:
                 seen[who, node] = True
                 hit = np.einsum("nd,nd->n", part[who], self.x[node]) >= cosine - SLACK
                 who, node = who[hit], node[hit]
-        who, node = (np.concatenate([np.empty(0, np.int64), *x]) for x in out)
-        true = np.zeros(0, bool) if not len(who) else np.concatenate([np.einsum("nd,nd->n", q[who[i:i + 100_000]], self.exact[node[i:i + 100_000]]) >= cosine for i in range(0, len(who), 100_000)])
-        return tuple(np.concatenate([x[true], *y]).astype(np.int64) for x, y in zip((who, node), full))
-
-    def _compared(self, q: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all pairs at ``cosine`` or more."""
-        hits = [np.nonzero(q[i:i + TOGETHER] @ self.exact.T >= cosine) for i in range(0, len(q), TOGETHER)]
-        empty = np.empty(0, np.int64)
-        return np.concatenate([empty, *(h[0] + i * TOGETHER for i, h in enumerate(hits))]), np.concatenate([empty, *(h[1] for h in hits)])
-
-    def audited(self, q: np.ndarray, cosine: float, width: int, audit: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-        """``links`` at the first of ever wider beams whose sample misses nothing, and that width. The sample grows from ``audit`` vectors
-        until it has ``least`` links; if it ends up with all vectors, their comparison is returned, with the width of the shard. Where the
-        shard asks itself, a link that either side finds counts for both, so a vector that few others point to is still found from its own side."""
+
+    def passes(self, found: np.ndarray, q: np.ndarray, cosine: float, width: int, audit: int) -> bool:
+        """Whether no link of ``audit`` sampled queries is missing in ``found`` and moved copies of nodes are found by such a beam."""
+        evenly = lambda of, n: of[np.unique(np.linspace(0, len(of) - 1, min(n, len(of))).astype(np.int64))] if len(of) else of
+        linked = np.flatnonzero(found.sum(axis=1) > (q is self.exact))
+        some = np.unique(np.concatenate([evenly(linked, audit // 2), evenly(np.arange(len(q)), audit - audit // 2)]))
+        for i in range(0, len(some), TOGETHER):
+            rows = some[i:i + TOGETHER]
+            if ((q[rows] @ self.exact.T >= cosine) & ~found[rows]).any():
+                return False
+        if self.exact.shape[1] < 2:
+            return True
+        places = evenly(np.arange(len(self.exact)), MOVED)
+        moved = np.random.RandomState(5).standard_normal((len(places), self.exact.shape[1]))
+        moved = unit(moved - np.einsum("nd,nd->n", moved, self.exact[places])[:, None] * self.exact[places] + 1e-12)
+        near = (1 + cosine) / 2
+        asked = np.zeros((len(places), len(self.exact)), bool)
+        self.mark(asked, unit(near * self.exact[places] + np.sqrt(1 - near * near) * moved), cosine, width)
+        return bool(asked[np.arange(len(places)), places].mean() >= RECALL)
+
+    def asked(self, q: np.ndarray, cosine: float, width: int, audit: int) -> tuple[np.ndarray, int]:
+        """A bit for each (query, node) that links, by the first of ever wider beams that passes its audit, and that beam's width. Where the
+        shard asks itself, a link that either side finds counts for both. Should the widest beam fail as well, the graph has lost its
+        ways, and all are compared."""
         own = np.arange(len(q)) if q is self.exact else None
-        some = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
-        rest = np.random.RandomState(2).permutation(np.setdiff1d(np.arange(len(q)), some))
-        new, true, links = some, 0, 0
         while True:
-            at, node = self._compared(q[new], cosine)
-            true += len(at)
-            links += len(at) if own is None else int((new[at] != node).sum())
-            if links >= least or not len(rest):
-                break
-            new, rest = np.split(rest, [max(len(some), TOGETHER)])
-            some = np.concatenate([some, new])
-        while len(some) < len(q) and width < len(self.x):
-            if own is not None or len(self.links(q[some], cosine, width)[0]) >= true:
-                who, node = self.links(q, cosine, width, own)
-                if own is not None:
-                    linked = np.zeros((len(q), len(q)), bool)
-                    linked[who, node] = True
-                    who, node = np.nonzero(linked | linked.T)
-                if np.isin(who, some).sum() >= true:
-                    return who, node, width
-            width *= WIDER
-        return *self._compared(q, cosine), len(self.x)
-
-
-def between(one: Graph, other: Graph, cosine: float, width: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node of other, node of one) of their links: each asks the other, and what either finds counts."""
-    who, node, reached = one.audited(other.exact, cosine, width, audit)
-    if reached < len(one.x):
-        back, at, _ = other.audited(one.exact, cosine, width, audit)
-        pairs = np.unique(np.concatenate([who * len(one.x) + node, at * len(one.x) + back]))
-        who, node = pairs // len(one.x), pairs % len(one.x)
-    return who, node
+            found = np.zeros((len(q), len(self.x)), bool)
+            self.mark(found, q, cosine, width, own)
+            if own is not None:
+                found |= found.T
+            if self.passes(found, q, cosine, width, audit):
+                return found, width
+            if width >= len(self.x):
+                for i in range(0, len(q), TOGETHER):
+                    found[i:i + TOGETHER] = q[i:i + TOGETHER] @ self.exact.T >= cosine
+                return found, width
+            width = min(width * WIDER, len(self.x))
+
+    def audited(self, q: np.ndarray, cosine: float, width: int, audit: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """What ``asked`` found as pairs."""
+        found, width = self.asked(q, cosine, width, audit)
+        return *np.nonzero(found), width
+
+
+def between(one: Graph, other: Graph, cosine: float, width: int, audit: int) -> np.ndarray:
+    """A bit for each (node of other, node of one) that links: each asks the other, and what either finds counts."""
+    found, _ = one.asked(other.exact, cosine, width, audit)
+    found |= other.asked(one.exact, cosine, width, audit)[0].T
+    return found
 
 
 def _index(frame: pd.DataFrame) -> pd.DataFrame:
@@ -274,36 +276,55 @@ def _loaded(row: pd.Series) -> tuple[Graph, np.ndarray, np.ndarray]:
     return graph, ids, copies
 
 
-def _roots(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each place the smallest name among those that links (a, b) between places connect it with."""
-    order = np.argsort(names, kind="stable")
-    low = np.empty(len(names), np.int64)
-    low[order] = np.arange(len(names))
+def _tied(found: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column the smallest name among those that the set bits connect it with."""
+    names = np.concatenate([rows, columns])
+    order = np.unique(names)
+    low = np.searchsorted(order, names)
+    place = np.full(len(order), -1)
+    place[low[::-1]] = np.arange(len(names))[::-1]
     while True:
         new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = np.minimum(new, new[order[new]])
+        for i in range(0, len(rows), TOGETHER):
+            bits = found[i:i + TOGETHER]
+            mine = np.arange(i, i + len(bits))
+            new[mine] = np.minimum(new[mine], np.where(bits, low[len(rows):], len(order)).min(axis=1, initial=len(order)))
+            new[len(rows):] = np.minimum(new[len(rows):], np.where(bits, low[mine][:, None], len(order)).min(axis=0, initial=len(order)))
+        # Rows and columns of one name are one node.
+        least = np.full(len(order), len(order))
+        np.minimum.at(least, np.searchsorted(order, names), new)
+        new = least[np.searchsorted(order, names)]
+        new = np.minimum(new, new[place[new]])
         if (new == low).all():
-            return names[order[low]]
+            return order[low[:len(rows)]], order[low[len(rows):]]
         low = new
 
 
+def _counted(found: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row and each column, every one as often as its other side has copies."""
+    of_rows, of_columns = np.zeros(len(rows)), np.zeros(len(columns))
+    for i in range(0, len(rows), TOGETHER):
+        bits = found[i:i + TOGETHER].astype(np.float64)
+        of_rows[i:i + TOGETHER] = bits @ columns
+        of_columns += rows[i:i + TOGETHER] @ bits
+    return of_rows, of_columns
+
+
 def _ask(cosine: float, beam: int, audit: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Two shards, or one and itself: links of every vector, counted with copies, and the roots of the forest they span."""
         frame = frame.sort_values("shard")
         graph, ids, copies = _loaded(frame.iloc[0])
         if len(frame) == 1:
-            who, node, _ = graph.audited(graph.exact, cosine, beam, audit)
-            who, node = who[who != node], node[who != node]
-            names, links = ids, np.bincount(who, weights=copies[node], minlength=len(ids))
+            found, _ = graph.asked(graph.exact, cosine, beam, audit)
+            np.fill_diagonal(found, False)
+            names, links, roots = ids, _counted(found, copies, copies)[0], _tied(found, ids, ids)[0]
         else:
             other, other_ids, other_copies = _loaded(frame.iloc[1])
-            who, node = between(graph, other, cosine, beam, audit)
-            links = np.concatenate([np.bincount(who, weights=copies[node], minlength=len(other_ids)), np.bincount(node, weights=other_copies[who], minlength=len(ids))])
-            names, node = np.concatenate([other_ids, ids]), node + len(other_ids)
-        out = pd.DataFrame({"id": names, "links": links.astype(np.int64), "root": _roots(names, who, node), "shards": int(frame["shards"].iloc[0])})
+            found = between(graph, other, cosine, beam, audit)
+            names = np.concatenate([other_ids, ids])
+            links, roots = np.concatenate(_counted(found, other_copies, copies)), np.concatenate(_tied(found, other_ids, ids))
+        out = pd.DataFrame({"id": names, "links": links.astype(np.int64), "root": roots, "shards": int(frame["shards"].iloc[0])})
         return out[out["links"] > 0]
     return run
 

@@ -150,6 +150,39 @@ def test_an_audit_without_links_does_not_pass():
     assert set(zip(who.tolist(), node.tolist())) == want
 
 
+def test_rare_links_come_through_the_graph(monkeypatch):
+    """Of 3,000 vectors few have a link; the result is that of all pairs, and only the audits' samples were compared."""
+    random = np.random.RandomState(11)
+    x = random.standard_normal((3000, 32))
+    x[2000:2040] = x[100:140] + 0.05 * random.standard_normal((40, 32))
+    x = hnsw.unit(x)
+    graph, compared, real = hnsw.Graph(x), [0], hnsw.Graph.passes
+    monkeypatch.setattr(hnsw.Graph, "passes", lambda self, found, *rest: (compared.__setitem__(0, compared[0] + rest[-1]), real(self, found, *rest))[1])
+    found, width = graph.asked(graph.exact, 0.93, hnsw.BEAM, hnsw.AUDIT)
+    assert (found == (x @ x.T >= 0.93)).all() and found.sum() == 3080
+    assert width < len(x) and compared[0] < len(x) / 5
+
+
+def test_a_full_shard_of_copies_needs_little_memory():
+    """All pairs of 4,096 vectors link: 16.8 million, one bit each."""
+    import tracemalloc
+
+    random = np.random.RandomState(12)
+    x = hnsw.unit(np.ones((4096, 16)) + 0.01 * random.standard_normal((4096, 16)))
+    graph, n = hnsw.Graph(x[:600]), len(x)
+    graph.exact, graph.x = x, x.astype(np.float32)
+    graph.layers = [np.stack([np.roll(np.arange(n), k) for k in (1, 2, 3, 5, 8, 13, 21, 34)], axis=1)]
+    graph.entry, graph.top = 0, 0
+    tracemalloc.start()
+    found, _ = graph.asked(graph.exact, 0.93, hnsw.BEAM, hnsw.AUDIT)
+    np.fill_diagonal(found, False)
+    links = hnsw._counted(found, np.full(n, 2), np.full(n, 2))[0]
+    roots = hnsw._tied(found, np.arange(n) + 7, np.arange(n) + 7)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == 2 * (n - 1)).all() and (roots == 7).all() and peak < 300e6
+
+
 def test_shards_ask_each_other():
     """One node of the first shard's graph has no way in; its link is found from its own side."""
     random = np.random.RandomState(4)
