@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sondeo.catalog import standins as st
 from sondeo.catalog.base import ctes, query
-from sondeo.catalog.retrieval import (CC_RAW, DENSE, DENSE_ALL, K, LISTS, RRF_RAW, SCALED, SPARSE, SPARSE_ALL, WORDED, dense50, fused_sql,
-                                      ranked_sql, sparse50, worded)
+from sondeo.catalog.retrieval import (CC_RAW, DENSE, DENSE_ALL, K, LISTS, RELEVANCE, RRF_RAW, SCALED, SPARSE, SPARSE_ALL, WORDED, dense50, fused_sql,
+                                      ranked_sql, sparse50, worded, outside_scores)
 from sondeo.operators import evaluation as ev
 from sondeo.operators import fusion, retrieval
 from sondeo.plans import modes
@@ -135,7 +135,7 @@ SWEEP = (st.VECTORS, WORDED, EXPECTED, DENSE_ALL, DENSE, SPARSE_ALL, SPARSE, fus
          f"shits AS (SELECT cell, query_id, rank, {K} FROM cells JOIN mlists USING (mode) WHERE rank <= top_k)",
          "sasked AS (SELECT a.*, cell, top_k, mode FROM asked a CROSS JOIN cells)", metrics_sql("smetrics", "shits", "top_k", "cell, query_id", "sasked"),
          f"ssnip AS (SELECT cell, query_id, count(rank) / count(*) AS snippet_recall FROM (SELECT a.cell, q.query_id, q.pos, min(h.rank) FILTER (contains(lower(h.content), lower(q.quote))) AS rank FROM equotes q JOIN sasked a USING (query_id) LEFT JOIN (SELECT s.*, w.content FROM shits s JOIN worded w USING ({K})) h ON h.query_id = q.query_id AND h.cell = a.cell GROUP BY ALL) GROUP BY ALL)",
-         "sweep AS (SELECT cell, mode, top_k, count(*) AS queries, round(avg(coalesce(snippet_recall, 0)), 6) AS snippet_recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall FROM smetrics LEFT JOIN ssnip USING (cell, query_id) GROUP BY ALL)")
+         "sweep AS (SELECT cell, mode, top_k, count(*) AS queries, round(avg(coalesce(snippet_recall, 0)), 6) AS snippet_recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall, count(*) FILTER (snippet_recall = 1) AS full_snippet_match, count(*) FILTER (coalesce(snippet_recall, 0) = 0) AS zero_snippet_match FROM smetrics LEFT JOIN ssnip USING (cell, query_id) GROUP BY ALL)")
 
 
 def sweep_summary(spark, sf, ranges=RANGES):
@@ -158,7 +158,24 @@ def _cell_metrics(queries, hits, expected_rows, keys):
 
 @query("a10_parameter_sweep", ctes(*SWEEP) + "SELECT * FROM sweep")
 def a10(spark, sf):
-    return sweep_summary(spark, sf).drop("full_snippet_match", "zero_snippet_match")
+    return sweep_summary(spark, sf)
+
+
+# Reranked modes and candidate depths of the sweep.
+RERANKED = {"mode": ["cc+rerank", "hybrid+rerank", "cc+rerank-8b", "hybrid+rerank-8b", "dense+rerank-0.6b", "dense+rerank-8b"], "rerank_candidates": [20, 30, 40, 50]}
+
+
+RERANKED_MODES = ", ".join(f"({i}, '{m}')" for i, m in enumerate(RERANKED["mode"]))
+
+
+@query("a10_rerank_sweep", ctes(*SWEEP[:SWEEP.index(CELLS)],
+       f"rlists AS (SELECT 'dense' AS base, query_id, rank, {K} FROM dense UNION ALL SELECT 'hybrid', query_id, rank, {K} FROM hybrid UNION ALL SELECT 'cc', query_id, rank, {K} FROM cc)",
+       f"rcells AS (SELECT row_number() OVER (ORDER BY mi, depth) - 1 AS cell, mode, split_part(mode, '+', 1) AS base, depth FROM (VALUES {RERANKED_MODES}) m(mi, mode), (VALUES (20), (30), (40), (50)) d(depth))",
+       f"rscored AS (SELECT cell, query_id, rank AS was, {K}, {RELEVANCE} AS rel FROM rcells JOIN rlists USING (base) WHERE rank <= depth)")
+       + f"SELECT cell, query_id, row_number() OVER (PARTITION BY cell, query_id ORDER BY rel DESC, was)::INT AS rank, {K}, round(rel, 6) AS score FROM rscored QUALIFY rank <= 12")
+def a10c(spark, sf):
+    """Every reranked cell of the grid: its candidates, rescored and cut to the list length."""
+    return modes.sweep({"dense": dense50(spark, sf), "sparse": sparse50(spark, sf)}, modes.grid(RERANKED, CONFIG), outside_scores)
 
 
 @query("a11_cross_table", ctes(*SWEEP) + """
@@ -202,14 +219,19 @@ DIM_CTES = (st.VECTORS, WORDED, EXPECTED, SPARSE_ALL, SPARSE, "dims(dim) AS (VAL
  LEFT JOIN dhits h ON h.mode = m.mode AND h.dim = d.dim AND h.query_id = e.query_id AND h.document = e.document GROUP BY ALL)""")
 
 
-def dimension_found(spark, sf):
-    """(mode, dim, query_id, type, total, doc_found): dense and fused lists for every vector length, sparse list shared."""
+def dimension_hits(spark, sf):
+    """Dense and fused lists, ten deep, for every vector length; the sparse list is shared."""
     q, c = st.vec_queries(spark, sf), st.vec_chunks(spark, sf)
     sparse = sparse50(spark, sf)
     dense = retrieval.dense_top_k(q, c, 50, dims=DIMS)
     spread = sparse.withColumn("dim", F.explode(F.array(*map(F.lit, DIMS))))
     fused = fusion.reciprocal_rank(dense, spread, keys=["dim", "query_id"], k=10)
-    hits = dense.filter("rank <= 10").withColumn("mode", F.lit("dense")).unionByName(fused.withColumn("mode", F.lit("hybrid")))
+    return dense.filter("rank <= 10").withColumn("mode", F.lit("dense")).unionByName(fused.withColumn("mode", F.lit("hybrid")))
+
+
+def dimension_found(spark, sf):
+    """(mode, dim, query_id, type, total, doc_found)."""
+    hits = dimension_hits(spark, sf)
     cells = modes.grid({"mode": ["dense", "hybrid"], "dim": DIMS}, {})
     wanted = modes.with_cells(expected_documents(spark, sf), cells, ["mode", "dim"]).withColumn("dim", F.col("dim").cast("int"))
     keys = ["mode", "dim", "query_id"]
@@ -217,6 +239,19 @@ def dimension_found(spark, sf):
         asked(spark, sf).select("query_id", "type"), "query_id")
 
 
+@query("r10_dimension_snippets", ctes(*DIM_CTES, f"""dsnip AS (SELECT mode, dim, query_id, count(rank) AS found, count(*) AS quotes FROM (
+  SELECT m.mode, d.dim, q.query_id, q.pos, min(h.rank) FILTER (contains(lower(h.content), lower(q.quote))) AS rank FROM (VALUES ('dense'), ('hybrid')) m(mode) CROSS JOIN dims d CROSS JOIN equotes q
+  LEFT JOIN (SELECT x.*, w.content FROM dhits x JOIN worded w USING ({K})) h ON h.mode = m.mode AND h.dim = d.dim AND h.query_id = q.query_id GROUP BY ALL) GROUP BY ALL)""")
+       + "SELECT mode, dim, count(*) AS queries, round(avg(found / quotes), 6) AS snippet_recall, count(*) FILTER (found = quotes) AS full_snippet_match, count(*) FILTER (found = 0) AS zero_snippet_match FROM dsnip GROUP BY ALL")
+def r10c(spark, sf):
+    """Share of quotes found in the lists of every vector length."""
+    cells = modes.grid({"mode": ["dense", "hybrid"], "dim": DIMS}, {})
+    keys = ["mode", "dim", "query_id"]
+    asked_for = modes.with_cells(quotes(spark, sf), cells, ["mode", "dim"]).withColumn("dim", F.col("dim").cast("int"))
+    snip = ev.found_share(ev.snippet_match(asked_for, with_content(spark, sf, dimension_hits(spark, sf)), keys), "snippet_recall", keys)
+    return _rounded(ev.summary(snip, None, ["mode", "dim"]), "snippet_recall")
+
+
 @query("r10_dimension_sweep", ctes(*DIM_CTES) + """
 SELECT mode, dim, type, count(*) AS queries, round(avg(doc_found / total), 6) AS doc_recall, count(*) FILTER (doc_found = total) AS full_doc FROM (SELECT * EXCLUDE (type), coalesce(type, 'unknown') AS type FROM dfound) GROUP BY GROUPING SETS ((mode, dim, type), (mode, dim))""")
 def r10(spark, sf):

@@ -343,7 +343,11 @@ targets AS (SELECT name, 'd' || (event_id % 20 + t)::VARCHAR AS document, c::INT
 records AS (SELECT search_id AS name, * FROM searches WHERE event_id % 8 <> 0),
 best AS (SELECT t.name, min(h.rank) AS rank FROM targets t JOIN records r USING (name) JOIN hits h ON h.search_id = r.search_id AND h.document = t.document AND h.chunk_index = t.chunk_index GROUP BY 1),
 results AS (SELECT c.name, c.kind, CASE WHEN r.search_id IS NULL THEN 'ERROR' WHEN (c.kind = 'zero' AND r.hit_count = 0) OR (c.kind = 'hit' AND b.rank IS NOT NULL) THEN 'PASS' ELSE 'FAIL' END AS status,
- b.rank, r.hit_count AS result_count, r.candidates, r.duration_ms FROM cases c LEFT JOIN records r USING (name) LEFT JOIN best b USING (name))"""
+ b.rank, r.hit_count AS result_count, r.candidates, f.top_score, r.duration_ms, CASE WHEN r.search_id IS NOT NULL THEN coalesce(o.output_chars, 0) END AS output_chars, r.code_version, r.config_fingerprint AS fingerprint,
+ CASE WHEN r.search_id IS NULL THEN 'no search record written' END AS error
+ FROM cases c LEFT JOIN records r USING (name) LEFT JOIN best b USING (name) LEFT JOIN (SELECT search_id, arg_min(score, rank) AS top_score FROM hits GROUP BY 1) f ON f.search_id = r.search_id
+ LEFT JOIN (SELECT search_id, (sum(length(txt)) + count(*) - 1)::BIGINT AS output_chars FROM printed GROUP BY 1) o ON o.search_id = r.search_id)"""
+CASE_CTES = (st.LOGS, CONTENTS, PRINTED, CASES)
 
 
 def canary_results(spark, sf):
@@ -351,17 +355,18 @@ def canary_results(spark, sf):
     cases = s.select(F.col("search_id").alias("name"), F.when(F.col("event_id") % 5 == 0, "zero").otherwise("hit").alias("kind"), "event_id")
     t = cases.filter("kind = 'hit'").withColumn("t", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("chunk_index", F.explode(F.array(F.lit(0), F.lit(1))))
     targets = t.select("name", F.concat(F.lit("d"), (F.col("event_id") % 20 + F.col("t")).cast("string")).alias("document"), "chunk_index")
-    records = s.filter("event_id % 8 <> 0").select(F.col("search_id").alias("name"), "search_id", "hit_count", "candidates", "duration_ms")
+    records = s.filter("event_id % 8 <> 0").select(F.col("search_id").alias("name"), "search_id", "hit_count", "candidates", "duration_ms", "code_version", "config_fingerprint")
     hits = st.hits(spark, sf).join(records.select("search_id", "name"), "search_id").drop("search_id")
-    return canary.evaluate_cases(cases.drop("event_id"), targets, records, hits)
+    outputs = la.output_sizes(s, st.hits(spark, sf), contents(spark, sf)).withColumnRenamed("search_id", "name")
+    return canary.evaluate_cases(cases.drop("event_id"), targets, records, hits, outputs)
 
 
-@query("a32_canary_results", ctes(st.LOGS, CASES) + "SELECT * FROM results")
+@query("a32_canary_results", ctes(*CASE_CTES) + "SELECT * FROM results")
 def a32(spark, sf):
-    return canary_results(spark, sf).drop("top_score", "error")
+    return canary_results(spark, sf)
 
 
-@query("a32_canary_summary", ctes(st.LOGS, CASES) + """
+@query("a32_canary_summary", ctes(*CASE_CTES) + """
 SELECT count(*) AS cases, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'ERROR') AS errors FROM results""")
 def a32b(spark, sf):
     return canary.summary(canary_results(spark, sf))
@@ -374,7 +379,7 @@ SELECT c.name, CASE WHEN b.name IS NULL THEN 'new case' WHEN b.status <> 'PASS'
  b.result_count AS before_result_count, c.result_count AS after_result_count FROM results c LEFT JOIN baseline b USING (name)"""
 
 
-@query("j08_run_comparison", ctes(st.LOGS, CASES) + BASE)
+@query("j08_run_comparison", ctes(*CASE_CTES) + BASE)
 def j08(spark, sf):
     r = canary_results(spark, sf)
     crc = F.substring("name", 2, 20).cast("long")

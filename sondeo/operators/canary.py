@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def evaluate_cases(cases: DataFrame, targets: DataFrame, records: DataFrame, hits: DataFrame) -> DataFrame:
-    """PASS, FAIL or ERROR per case. ``targets`` holds (name, document, chunk_index); ``records`` one search per case."""
+def evaluate_cases(cases: DataFrame, targets: DataFrame, records: DataFrame, hits: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
+    """PASS, FAIL or ERROR per case. ``targets`` holds (name, document, chunk_index); ``records`` one search per case, with code_version and
+    config_fingerprint where the log has them; ``outputs`` (name, output_chars) what it printed, none if left out."""
+    for name in ("code_version", "config_fingerprint"):
+        if name not in records.columns:
+            records = records.withColumn(name, F.lit(None).cast("string"))
+    if outputs is None:
+        outputs = records.select("name", F.lit(None).cast("long").alias("output_chars"))
     best = hits.join(targets, ["name", "document", "chunk_index"]).groupBy("name").agg(F.min("rank").alias("rank"))
     top = hits.groupBy("name").agg(F.min_by("score", "rank").alias("top_score"))
-    joined = cases.join(records, "name", "left").join(best, "name", "left").join(top, "name", "left")
+    joined = cases.join(records, "name", "left").join(best, "name", "left").join(top, "name", "left").join(outputs.select("name", "output_chars"), "name", "left")
     passed = F.when(F.col("kind") == "zero", F.col("hit_count") == 0).otherwise(F.col("rank").isNotNull())
     status = F.when(F.col("search_id").isNull(), "ERROR").when(passed, "PASS").otherwise("FAIL")
     return joined.select(
         "name", "kind", status.alias("status"), "rank", F.col("hit_count").alias("result_count"), "candidates", "top_score",
-        "duration_ms", F.when(F.col("search_id").isNull(), "no search record written").alias("error"))
+        "duration_ms", F.when(F.col("search_id").isNotNull(), F.col("output_chars")).alias("output_chars"), "code_version",
+        F.col("config_fingerprint").alias("fingerprint"), F.when(F.col("search_id").isNull(), "no search record written").alias("error"))
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondeo.functions import heavy, logs, ordered
 from sondeo.operators.filters import LOG_FAILURE_CODES
@@ -199,9 +199,14 @@ def with_provenance(log: DataFrame, registry: DataFrame) -> DataFrame:
 
 # -- indicators ----------------------------------------------------------------------------------------------------------
 
+def version_groups() -> Column:
+    """``all`` and the version. A version of that very name is called ``all (version)``, so it is never part of the total twice."""
+    return F.array(F.lit(ALL), F.when(F.col("version") == ALL, f"{ALL} (version)").otherwise(F.col("version")))
+
+
 def by_version(items: DataFrame) -> DataFrame:
     """Each item under its version and under ``all``."""
-    return items.withColumn("version_group", F.explode(F.array(F.lit(ALL), F.col("version"))))
+    return items.withColumn("version_group", F.explode(version_groups()))
 
 
 def technical_indicators(items: DataFrame) -> DataFrame:
@@ -217,7 +222,7 @@ def technical_indicators(items: DataFrame) -> DataFrame:
         entry(F.lit("hits"), F.col("hit_count")), entry(ms, F.col("duration_ms")), entry(F.lit("output"), F.col("output_chars")),
         entry(F.lit("complete"), F.col("complete").cast("int")),
         entry(F.lit("no_candidates"), ((F.col("hit_count") == 0) & (F.col("candidates") == 0)).cast("int")))
-    groups = F.array(F.lit(ALL), F.col("version"))
+    groups = version_groups()
     counted = items.select(groups.alias("g"), F.explode(entries).alias("e")).select(F.explode("g").alias("version_group"), "e.*").groupBy(
         "version_group", "measure", "value").agg(F.count("*").alias("c"))
     w = Window.partitionBy("version_group", "measure")
@@ -269,7 +274,7 @@ def score_profile(items: DataFrame, hits: DataFrame) -> DataFrame:
     ranked = hits.filter(F.col("rank").isin(SCORE_PROFILE_RANKS)).select("search_id", "rank", "score")
     stats = by_version(items.select("search_id", "version").join(ranked, "search_id")).groupBy("version_group", "rank").agg(
         F.count("*").alias("n"), F.round(F.median("score"), 4).alias("median"))
-    every = items.select("version").distinct().select(F.explode(F.array(F.lit(ALL), F.col("version"))).alias("version_group")).distinct()
+    every = items.select("version").distinct().select(F.explode(version_groups()).alias("version_group")).distinct()
     every = every.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in SCORE_PROFILE_RANKS])))
     return every.join(stats, ["version_group", "rank"], "left").select("version_group", "rank", F.coalesce("n", F.lit(0)).alias("n"), "median")
 
