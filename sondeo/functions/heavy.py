@@ -5,10 +5,15 @@ Only these get salts, as many as fair shares they fill; rows of all other keys a
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 #: Keys that a sketch reports at most, and items it tracks. A key is found if its share of the rows is well above 1 / TRACKED.
 REPORTED, TRACKED = 1000, 65536
+#: Patterns of an automaton, about.
+GROUP_PATTERNS = 200_000
 
 
 def heavy_keys(rows: DataFrame, on: list[str], tasks: int | None = None) -> list[tuple[int, int]]:
@@ -26,14 +31,22 @@ def spread_join(
     """``left`` joined with ``right`` on equal columns ``on`` (inner or left). Rows of a heavy key of ``left`` are dealt to its salts by their
     ``spread`` columns, and rows of ``right`` with that key are repeated for each salt. Reads ``left``'s keys once more than a join does,
     or those of ``sketched`` instead, if its heavy keys are the ones to expect."""
+    dealt, repeated = salted(left, right, on, spread, tasks, sketched)
+    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt") if "_salt" in dealt.columns else dealt.join(repeated, on, how)
+
+
+def salted(
+    left: DataFrame, right: DataFrame, on: list[str], spread: list[str], tasks: int | None = None, sketched: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of such a join with a column ``_salt`` to join on as well; without it if no key is heavy."""
     heavy = heavy_keys(left if sketched is None else sketched, on, tasks)
     if not heavy:
-        return left.join(right, on, how)
+        return left, right
     table = F.broadcast(left.sparkSession.createDataFrame(heavy, "_key long, _salts long"))
     salts = F.coalesce("_salts", F.lit(1))
     dealt = left.withColumn("_key", F.xxhash64(*on)).join(table, "_key", "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts))
     repeated = right.withColumn("_key", F.xxhash64(*on)).join(table, "_key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.drop("_key", "_salts").join(repeated.drop("_key", "_salts"), [*on, "_salt"], how).drop("_salt")
+    return dealt.drop("_key", "_salts"), repeated.drop("_key", "_salts")
 
 
 # -- containment -----------------------------------------------------------------------------------------------------------
@@ -52,3 +65,42 @@ def with_anchor(rows: DataFrame, key: str, parts: Column) -> DataFrame:
 def every_anchor(parts: Column) -> Column:
     """A row for each distinct part of a container, and one for texts without an anchor."""
     return F.explode(F.array_distinct(F.concat(F.coalesce(parts, F.array().cast("array<string>")), F.array(F.lit("")))))
+
+
+def containing(texts: DataFrame, patterns: DataFrame, on: list[str], text: str, pattern: str, spread: list[str], tasks: int | None = None) -> DataFrame:
+    """Rows of ``texts`` beside those of ``patterns`` with equal columns ``on`` whose pattern stands in the text; other columns must differ in name.
+
+    Keys are dealt into groups of bounded numbers of patterns. The patterns of a group become one automaton, by which each of its texts goes
+    once, whatever their number; of what it finds, rows of the text's own key count. Keys with many texts are spread. Null texts and
+    patterns match nothing; the empty pattern stands in every text."""
+    left, right = salted(texts.filter(F.col(text).isNotNull()), patterns.filter(F.col(pattern).isNotNull()), on, spread, tasks)
+    keys = [*on, "_salt"] if "_salt" in left.columns else on
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(tasks or least, -(-patterns.count() // GROUP_PATTERNS))
+    left, right = (side.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups))) for side in (left, right))
+    own = {*texts.columns}
+    schema = StructType([*texts.schema.fields, *[f for f in patterns.schema.fields if f.name not in on]])
+
+    def keyed(table: pa.Table) -> list[tuple]:
+        return list(zip(*(table.column(c).to_pylist() for c in keys)))
+
+    def match(some: pa.Table, against: pa.Table) -> pa.Table:
+        rows: dict[str, dict[tuple, list[int]]] = {}
+        for i, (p, key) in enumerate(zip(against.column(pattern).to_pylist(), keyed(against))):
+            rows.setdefault(p, {}).setdefault(key, []).append(i)
+        everywhere = rows.pop("", {})
+        automaton = ahocorasick.Automaton()
+        for p, by_key in rows.items():
+            automaton.add_word(p, by_key)
+        automaton.make_automaton()
+        at, found = [], []
+        for i, (value, key) in enumerate(zip(some.column(text).to_pylist(), keyed(some))):
+            # A pattern has one table of rows, so its identity names the pattern.
+            hits = {id(by_key): by_key for _, by_key in automaton.iter(value)} if rows else {}
+            for where in [by_key.get(key, ()) for by_key in (*hits.values(), everywhere)]:
+                found += where
+                at += [i] * len(where)
+        a, b = some.take(pa.array(at, pa.int64())), against.take(pa.array(found, pa.int64()))
+        return pa.table({f.name: (a if f.name in own else b).column(f.name) for f in schema.fields})
+
+    return left.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(match, schema)

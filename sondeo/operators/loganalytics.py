@@ -151,7 +151,8 @@ def match_commands(searches: DataFrame, commands: DataFrame, order: str) -> Data
     """First command (by ``order``) within 120 s that names the collection and the first 40 characters of the query.
 
     No equality exists here, so time is cut into buckets of the window width and a command is offered to its own bucket
-    and both neighbours. Each bucket meets distinct (collection, query) texts only; repeats are joined back by time.
+    and both neighbours. The distinct query starts of a bucket are looked for in one pass over each command; repeats are joined back by
+    time.
     """
     width = MATCH_WINDOW_US
     timed = searches.select("search_id", "collection", F.left("query", F.lit(40)).alias("_q"), logs.micros(F.col("ts")).alias("_at"))
@@ -160,7 +161,7 @@ def match_commands(searches: DataFrame, commands: DataFrame, order: str) -> Data
         "_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_cat") / width) + d))
     )
     patterns = timed.select("_b", "collection", "_q").distinct()
-    named = patterns.join(offered, "_b").filter(F.col("command").contains(F.col("collection")) & F.col("command").contains(F.col("_q")))
+    named = heavy.containing(offered, patterns, ["_b"], "command", "_q", ["_order"]).filter(F.col("command").contains(F.col("collection")))
     close = timed.join(named, ["_b", "collection", "_q"]).filter(F.abs(F.col("_at") - F.col("_cat")) < width)
     return close.groupBy("search_id").agg(F.min(F.struct("_order", "command")).alias("m")).select(
         "search_id", F.col("m._order").alias(order), "m.command")

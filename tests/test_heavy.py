@@ -60,3 +60,22 @@ def test_quotes_are_found_wherever_they_stand(spark):
         row = got[q]
         assert row.status == ("single" if single else "boundary" if both else "missing") and row.doc_found == bool(own)
         assert row.matched_chunk_index == (min(single) if single else min(both) if both else None)
+
+
+def test_patterns_of_one_key_are_found_in_one_pass(spark):
+    r = random.Random(6)
+    texts = [(i, i % 3, "".join(r.choice("abc") for _ in range(r.randint(0, 12)))) for i in range(400)] + [(900, 0, None), (901, 0, "")]
+    patterns = [(i % 3, "".join(r.choice("abc") for _ in range(r.randint(0, 4))), i) for i in range(60)] + [(1, None, 99), (1, "ab", 100), (1, "ab", 101), (7, "a", 102)]
+    t = spark.createDataFrame(texts, "id long, k long, text string")
+    p = spark.createDataFrame(patterns, "k long, pattern string, n long")
+    for tasks in (4, 40):
+        got = sorted((row.id, row.n) for row in heavy.containing(t, p, ["k"], "text", "pattern", ["id"], tasks).collect())
+        assert got == sorted((i, n) for i, k, text in texts for key, pattern, n in patterns if k == key and text is not None and pattern is not None and pattern in text)
+
+
+def test_many_patterns_and_texts_of_one_key(spark):
+    """30,000 patterns and 30,000 texts share a key: 9 * 10^8 pairs, of which 30,000 match."""
+    numbered = spark.range(30_000).select(F.lit(1).alias("k"), "id", F.concat(F.lit("find <"), "id", F.lit("> in it")).alias("text"))
+    patterns = spark.range(30_000).select(F.lit(1).alias("k"), F.col("id").alias("n"), F.concat(F.lit("<"), "id", F.lit(">")).alias("pattern"))
+    got = heavy.containing(numbered, patterns, ["k"], "text", "pattern", ["id"])
+    assert got.agg(F.count("*"), F.count_if(F.col("id") == F.col("n"))).first() == (30_000, 30_000)
