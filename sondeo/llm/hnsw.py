@@ -210,7 +210,9 @@ class Graph:
         """Whether no link of ``audit`` sampled queries is missing in ``found`` and moved copies of nodes are found by such a beam."""
         evenly = lambda of, n: of[np.unique(np.linspace(0, len(of) - 1, min(n, len(of))).astype(np.int64))] if len(of) else of
         linked = np.flatnonzero(found.sum(axis=1) > (q is self.exact))
-        some = np.unique(np.concatenate([evenly(linked, audit // 2), evenly(np.arange(len(q)), audit - audit // 2)]))
+        some = np.arange(len(q))
+        if audit < len(q):
+            some = np.unique(np.concatenate([evenly(linked, audit // 2), evenly(some, audit - audit // 2)]))
         for i in range(0, len(some), TOGETHER):
             rows = some[i:i + TOGETHER]
             if ((q[rows] @ self.exact.T >= cosine) & ~found[rows]).any():
