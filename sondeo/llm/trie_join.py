@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sondeo.functions.heavy import heavy_keys
 from sondeo.llm.common import cut, needed
 from sondeo.llm.components import Forest, components
 from sondeo.llm.words import mix, windows, word_numbers
@@ -138,30 +139,57 @@ def _survivors(docs: DataFrame, sets: DataFrame, text_col: str, width: int) -> D
     return sets.join(counts, "low").where(F.col("n_shared") >= least).select("low", "n", "first", "mark", "copies")
 
 
-def _all_tokens(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _numbers(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in frames:
+        lows, sets, held = [], [], 0
         for text, low in zip(batch.column(0), batch.column(1).to_pylist()):
             if low in seen:
                 continue
             numbers = shingles(text.as_py(), width)
-            if _identity(numbers)[0] == low:
-                seen.add(low)
-                yield _token_rows([numbers], [np.full(len(numbers), low, np.int64)])
+            if _identity(numbers)[0] != low:
+                continue
+            seen.add(low)
+            lows.append(low)
+            sets.append(numbers)
+            held += len(numbers)
+            if held > 200_000:
+                yield _list_rows(lows, sets)
+                lows, sets, held = [], [], 0
+        if lows:
+            yield _list_rows(lows, sets)
+
+
+def _list_rows(lows: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), lists], ["low", "tokens"])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows (token, low)`` with ``salts`` and ``salt``: tokens that fill more than a task's fair share are dealt to several salts by
+    their sets, all others have one. The heavy tokens come from a sketch over all rows, so at most REPORTED of them are known."""
+    heavy = rows.sparkSession.createDataFrame(heavy_keys(rows, ["token"]), "key long, salts long")
+    known = rows.join(F.broadcast(heavy), F.xxhash64("token") == F.col("key"), "left")
+    known = known.select("token", "low", F.coalesce("salts", F.lit(1)).alias("salts"))
+    return known.withColumn("salt", F.pmod(F.xxhash64("low"), "salts"))
 
 
 def ordered_sets(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, width: int = WIDTH) -> DataFrame:
     """``low, n, copies, tokens``: the sets that may link, with those n-grams that others of them hold, rarest first.
 
     A set's text is found by the id and the hash of one of its rows. Rows repeated as a whole give it several times, in several
-    tasks too, so an n-gram counts once for each set."""
+    tasks too, so an n-gram counts once for each set. Heavy n-grams are counted nowhere as a whole: they come last in the order, and
+    any order that is the same for all sets gives the same links."""
     few = cut(_survivors(docs, sets, text_col, width))
     texts = needed(docs, id=id_col, text=text_col).withColumn("hash", F.xxhash64("text"))
     texts = texts.join(few.select("first", "mark", "low"), F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("mark"))).select("text", "low")
-    rows = texts.mapInArrow(lambda frames: _all_tokens(frames, width), "token long, low long")
-    of_token = Window.partitionBy("token")
-    once = rows.withColumn("before", F.lag("low").over(of_token.orderBy("low"))).where("NOT (low <=> before)").select("token", "low")
-    held = once.withColumn("df", F.count("*").over(of_token)).where("df > 1")
+    numbers = cut(texts.mapInArrow(lambda frames: _numbers(frames, width), "low long, tokens array<long>"))
+    rows = _dealt(numbers.select("low", F.explode("tokens").alias("token")))
+    of_token = Window.partitionBy("token", "salt")
+    once = rows.withColumn("before", F.lag("low").over(of_token.orderBy("low"))).where("NOT (low <=> before)")
+    count = F.when(F.col("salts") > 1, F.col("salts") + (1 << 40)).otherwise(F.count("*").over(of_token))
+    held = once.withColumn("df", count).where("df > 1").select("low", "df", "token")
     lists = held.groupBy("low").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).getField("token").alias("tokens"))
     return cut(few.join(lists, "low").where(F.size("tokens") >= F.ceil(F.col("n") * 0.75)).select("low", "n", "copies", "tokens"))
 
@@ -273,13 +301,21 @@ def join_block(table: pa.Table) -> pa.Table:
     return pa.table({"low": low, "links": links, "root": np.array([forest.root(x) for x in low.tolist()], np.int64), "blocks": table.column("blocks")})
 
 
+def _edges(prefix: DataFrame) -> DataFrame:
+    """``a, b``: every set of a token is tied to the smallest set of the token's salt, and these to the smallest of all."""
+    dealt = _dealt(prefix)
+    least = F.min("low").over(Window.partitionBy("token", "salt"))
+    tops = dealt.where("salts > 1").groupBy("token", "salt").agg(F.min("low").alias("a"))
+    tops = tops.select("a", F.min("a").over(Window.partitionBy("token")).alias("b"))
+    return dealt.select(F.col("low").alias("a"), least.alias("b")).union(tops)
+
+
 def linked_sets(held: DataFrame, block: int = BLOCK) -> DataFrame:
     """``low, links, component`` of the sets in ``held`` that link with another; component is one of its sets."""
     own = F.col("n") - F.size("tokens")
     lead = F.floor(F.col("n") / 4).cast("long") + 1 - own
     prefix = held.where(lead > 0).select("low", F.explode(F.slice("tokens", F.lit(1), lead.cast("int"))).alias("token"))
-    edges = prefix.select(F.col("low").alias("a"), F.min("low").over(Window.partitionBy("token")).alias("b"))
-    clusters = components(edges).select(F.col("node").alias("low"), F.col("component").alias("cluster"))
+    clusters = components(_edges(prefix)).select(F.col("node").alias("low"), F.col("component").alias("cluster"))
     members = held.join(clusters, "low")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("low"), "blocks").cast("int"))

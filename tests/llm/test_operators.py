@@ -100,6 +100,30 @@ def test_jaccard_join_of_repeated_rows_and_null_ids(spark):
     assert any(i is None and len({rows[b][1] for a, b in links + [(b, a) for a, b in links] if a == k}) > 1 for k, (i, _) in enumerate(rows))
 
 
+def test_an_ngram_of_every_text_is_spread(spark):
+    """One passage stands in all texts and another in a third; both are dealt to several salts, and the links are those of brute force."""
+    random = np.random.RandomState(13)
+    texts = [" ".join(["p q r s t", *("w%d" % k for k in random.randint(0, 900, 9)), *["f g h i j"] * (n % 3 == 0)]) for n in range(240)]
+    texts += [t + " end" for t in texts[::6]] + texts[:20]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        rows = spark.range(4000).selectExpr("id AS low", "explode(array(-1L, id, id + 1, id + 2)) AS token").where("token < 4000")
+        sizes = trie_join._dealt(rows).groupBy("token", "salt").count()
+        assert sizes.where("token = -1").count() >= 10 and sizes.agg({"count": "max"}).first()[0] < 2 * 16000 / 48
+        edges = trie_join._edges(rows)
+        assert edges.groupBy("b").count().agg({"count": "max"}).first()[0] < 2000
+        assert components.components(edges).select("component").distinct().count() == 1
+        got = {r.doc_id: (r.component_id, r.n_links) for r in trie_join.jaccard_join(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root, count = spanned(range(len(sets)), links), collections.Counter(x for e in links for x in e)
+    assert got == {k: (root[k], count[k]) for k in range(len(sets))} and len(links) > 40
+
+
 def test_trie_finds_all_partners():
     lists = [np.array(sorted(RANDOM.choice(30, RANDOM.randint(0, 20), replace=False)), np.int64) for _ in range(120)] + [np.arange(10)] * 3
     sizes = np.array([len(x) + RANDOM.randint(0, 3) for x in lists])
