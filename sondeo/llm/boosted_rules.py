@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.common import needed
+from sondeo.llm.common import needed, tidy
 from sondeo.llm.labelled import sample
 from sondeo.llm.words import IS_SPACE, PIECE, windows, word_numbers
 
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2), batch.column(3)], ["id", "x", "label", "share"])
 
     kind = dict(texts.dtypes)["id"]
-    frame = texts.mapInArrow(measured, f"id {kind}, x array<double>, label int, share double").toPandas().sort_values("id", kind="stable")
+    frame = texts.mapInArrow(tidy(measured), f"id {kind}, x array<double>, label int, share double").toPandas().sort_values("id", kind="stable")
     x = np.array(frame["x"].tolist(), float).reshape(-1, len(FEATURES))
     return grow(x, frame["label"].to_numpy(float), 1 / frame["share"].to_numpy(float), list(FEATURES.values()))
 
@@ -174,5 +174,5 @@ def quality_rules(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"id {kinds['id']}, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean"
-    out = given.mapInArrow(judged, schema + (f", carried {kinds['carried']}" if carry else ""))
+    out = given.mapInArrow(tidy(judged), schema + (f", carried {kinds['carried']}" if carry else ""))
     return out.withColumnsRenamed({"id": id_col, "carried": carry or "carried"})

@@ -1,9 +1,12 @@
-"""What the operators of this folder share: the word rule, the shared folder, stable random numbers."""
+"""What the operators of this folder share: the word rule, the shared folder, stable random numbers, tidy workers."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +43,17 @@ def uniform(*parts: Column | str | int) -> Column:
 def needed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns an operator reads, under its own names; others, whatever they are called, cannot clash."""
     return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()])
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, which gives its freed memory back to the system at the end of a task. Workers are kept for later tasks, several to a
+    core where a stage has more than one function, and the allocators of idle ones would hold what their last batches took."""
+
+    def tidied(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(frames)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied

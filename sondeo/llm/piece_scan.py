@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.common import cut, needed
+from sondeo.llm.common import cut, needed, tidy
 from sondeo.llm.unigram import NONE, PRE_TOKEN, Vocabulary, vocabulary
 
 CHUNK = 65_536
@@ -130,8 +130,8 @@ def encode_giants(rows: DataFrame, model: str, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array([e for e, _ in found], pa.list_(pa.int32())),
                                               pa.array([i for _, i in found], pa.list_(pa.list_(pa.int32())))], ["key", "k", "entries", "ids"])
 
-    scores = chunks.mapInArrow(matrices, "key long, k long, matrix binary").groupBy("key").applyInArrow(lambda t: _scan(t, states), "key long, k long, scores array<long>")
-    traced = cut(chunks.join(scores, ["key", "k"]).mapInArrow(paths, "key long, k long, entries array<int>, ids array<array<int>>"))
+    scores = chunks.mapInArrow(tidy(matrices), "key long, k long, matrix binary").groupBy("key").applyInArrow(lambda t: _scan(t, states), "key long, k long, scores array<long>")
+    traced = cut(chunks.join(scores, ["key", "k"]).mapInArrow(tidy(paths), "key long, k long, entries array<int>, ids array<array<int>>"))
     exits = traced.select("key", "k", "entries").groupBy("key").applyInArrow(_walk_back, "key long, k long, state long")
     chosen = traced.join(exits, ["key", "k"]).select("key", "k", F.element_at("ids", (F.col("state") + 1).cast("int")).alias("ids"))
     return chosen.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 ids = [np.frombuffer(vocabulary(model).packed(t), "<i4") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), part.column(2)], ["id", "ids", "crc"])
 
-    whole = given.where(length < chunk).mapInArrow(small, f"id {kind}, ids array<int>, crc long")
+    whole = given.where(length < chunk).mapInArrow(tidy(small), f"id {kind}, ids array<int>, crc long")
     long = cut(given.where(length >= chunk).withColumn("key", F.monotonically_increasing_id()))
     found = encode_giants(long.select("key", "text"), model, chunk)
     giants = long.select("key", "id", "crc").join(found, "key").select("id", "ids", "crc")
@@ -171,7 +171,7 @@ def decode(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "
                 texts = [vocabulary(model).decode(x or []) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return given.mapInArrow(read, f"id {dict(given.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
+    return given.mapInArrow(tidy(read), f"id {dict(given.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
@@ -188,4 +188,4 @@ def round_trip(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFr
             columns = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns]], [*batch.schema.names, "n_tokens", "ids_crc32", "text_crc32"])
 
-    return given.mapInArrow(read, f"id {dict(given.dtypes)['id']}, ids array<int>, source_crc32 long, n_tokens long, ids_crc32 long, text_crc32 long").withColumnRenamed("id", id_col)
+    return given.mapInArrow(tidy(read), f"id {dict(given.dtypes)['id']}, ids array<int>, source_crc32 long, n_tokens long, ids_crc32 long, text_crc32 long").withColumnRenamed("id", id_col)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.functions.heavy import heavy_keys
-from sondeo.llm.common import cut, needed
+from sondeo.llm.common import cut, needed, tidy
 from sondeo.llm.components import Forest, components
 from sondeo.llm.words import mix, windows, word_numbers
 
@@ -65,7 +65,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
     """``id, hash, n, low, high``: a hash of every document's text, the size and the 128-bit identity of its n-gram set."""
     given = needed(docs, id=id_col, text=text_col).withColumn("hash", F.xxhash64("text"))
     kind = dict(given.dtypes)["id"]
-    return given.mapInArrow(lambda frames: _sets(frames, width), f"id {kind}, hash long, n long, low long, high long")
+    return given.mapInArrow(tidy(lambda frames: _sets(frames, width)), f"id {kind}, hash long, n long, low long, high long")
 
 
 def looked_at(n):
@@ -132,8 +132,8 @@ def _counted(owner: np.ndarray) -> pa.RecordBatch:
 
 
 def _survivors(docs: DataFrame, sets: DataFrame, text_col: str, width: int) -> DataFrame:
-    tokens = needed(docs, text=text_col).mapInArrow(lambda frames: _small_tokens(frames, width), "token long, low long")
-    counts = (tokens.repartition("token").sortWithinPartitions("token", "low").mapInArrow(_shared_counts, "low long, n_shared long")
+    tokens = needed(docs, text=text_col).mapInArrow(tidy(lambda frames: _small_tokens(frames, width)), "token long, low long")
+    counts = (tokens.repartition("token").sortWithinPartitions("token", "low").mapInArrow(tidy(_shared_counts), "low long, n_shared long")
               .groupBy("low").agg(F.sum("n_shared").alias("n_shared")))
     least = F.ceil(F.ceil(F.col("n") * 0.75) * EXTRA)
     return sets.join(counts, "low").where(F.col("n_shared") >= least).select("low", "n", "first", "mark", "copies")
@@ -184,7 +184,7 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, w
     few = cut(_survivors(docs, sets, text_col, width))
     texts = needed(docs, id=id_col, text=text_col).withColumn("hash", F.xxhash64("text"))
     texts = texts.join(few.select("first", "mark", "low"), F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("mark"))).select("text", "low")
-    numbers = cut(texts.mapInArrow(lambda frames: _numbers(frames, width), "low long, tokens array<long>"))
+    numbers = cut(texts.mapInArrow(tidy(lambda frames: _numbers(frames, width)), "low long, tokens array<long>"))
     rows = _dealt(numbers.select("low", F.explode("tokens").alias("token")))
     of_token = Window.partitionBy("token", "salt")
     once = rows.withColumn("before", F.lag("low").over(of_token.orderBy("low"))).where("NOT (low <=> before)")

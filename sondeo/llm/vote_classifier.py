@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.common import needed
+from sondeo.llm.common import needed, tidy
 from sondeo.llm.labelled import held_out, sample
 from sondeo.llm.words import pieces, spans
 
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2), batch.column(3)], ["id", "x", "label", "share"])
 
     kind = dict(texts.dtypes)["id"]
-    frame = texts.mapInArrow(counted, f"id {kind}, x binary, label int, share double").toPandas().sort_values("id", kind="stable")
+    frame = texts.mapInArrow(tidy(counted), f"id {kind}, x binary, label int, share double").toPandas().sort_values("id", kind="stable")
     counts = np.frombuffer(b"".join(map(bytes, frame["x"])), "<u2").reshape(-1, TERMS)
     empty = Model(np.ones(TERMS, np.float32), np.zeros((TERMS, LATENT), np.float32), np.zeros((0, LATENT), np.float32), np.zeros(0), np.zeros(0))
     if not len(counts):
@@ -135,6 +135,6 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     arrays, names = [*arrays, batch.column(2)], [*names, "carried"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    out = given.mapInArrow(scored, f"id {kinds['id']}, score double" + (f", carried {kinds['carried']}" if carry else ""))
+    out = given.mapInArrow(tidy(scored), f"id {kinds['id']}, score double" + (f", carried {kinds['carried']}" if carry else ""))
     out = out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["carried"] if carry else []))
     return out.withColumnsRenamed({"id": id_col, "carried": carry or "carried"})
