@@ -124,7 +124,8 @@ def j04(spark, sf):
 
 @query("j05_hit_contents", ctes(st.LOGS, CONTENTS) + "SELECT h.search_id, h.rank, h.document, length(c.content) AS size FROM hits h JOIN contents c USING (search_id, rank)")
 def j05(spark, sf):
-    return la.hit_contents(st.hits(spark, sf), contents(spark, sf)).select("search_id", "rank", "document", F.length("content").cast("long").alias("size"))
+    size = F.length("content").cast("long").alias("size")
+    return la.hit_contents(st.hits(spark, sf), contents(spark, sf), [size]).select("search_id", "rank", "document", "size")
 
 
 @query("j06_provenance", ctes(st.LOGS, REGISTRY) + "SELECT s.search_id, coalesce(r.rr <> '', false) AS complete FROM searches s LEFT JOIN registry r ON r.fingerprint = s.config_fingerprint")

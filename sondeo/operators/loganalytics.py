@@ -167,22 +167,27 @@ def match_commands(searches: DataFrame, commands: DataFrame, order: str) -> Data
         "search_id", F.col("m._order").alias(order), "m.command")
 
 
-def hit_contents(hits: DataFrame, contents: DataFrame) -> DataFrame:
+def hit_contents(hits: DataFrame, contents: DataFrame, measures: list[Column] | None = None) -> DataFrame:
     """Hits with stored contents by position after sorting both by rank; the shorter side ends the list.
 
-    Both sides are single result lists (at most the search depth).
+    Both sides are single result lists (at most the search depth). With ``measures`` (expressions over ``content``) each text is measured
+    where it is read, and only its measures move to the hit. Texts may be many times larger than the planner thinks, so the join is by
+    sorted keys: they are never gathered on the driver to be sent to all tasks.
     """
     w = Window.partitionBy("search_id").orderBy("rank")
     left = hits.withColumn("pos", F.row_number().over(w))
-    right = contents.select("search_id", F.row_number().over(w).alias("pos"), "content")
-    return left.join(right, ["search_id", "pos"])
+    taken = contents.select("search_id", "rank", *(measures or [F.col("content")]))
+    right = taken.withColumn("pos", F.row_number().over(w)).drop("rank")
+    return left.join(right.hint("merge"), ["search_id", "pos"])
 
 
 def output_sizes(searches: DataFrame, hits: DataFrame, contents: DataFrame) -> DataFrame:
-    """Characters of the printed list per search: rendered results joined by line breaks; 0 without contents."""
-    placed = hit_contents(hits, contents).join(searches.select("search_id", "collection"), "search_id")
-    printed = logs.render_result(F.col("pos"), F.col("score"), F.col("collection"), F.col("document"), F.col("chunk_index"), F.col("content"))
-    sums = placed.groupBy("search_id").agg((F.sum(F.length(printed)) + F.count("*") - 1).alias("output_chars"))
+    """Characters of the printed list per search: rendered results joined by line breaks; 0 without contents.
+
+    A printed result is as long as its lines around the content and the content together."""
+    placed = hit_contents(hits, contents, [F.length("content").alias("_chars")]).join(searches.select("search_id", "collection"), "search_id")
+    around = logs.render_result(F.col("pos"), F.col("score"), F.col("collection"), F.col("document"), F.col("chunk_index"), F.lit(""))
+    sums = placed.groupBy("search_id").agg((F.sum(F.length(around) + F.col("_chars")) + F.count("*") - 1).alias("output_chars"))
     return searches.select("search_id").join(sums, "search_id", "left").fillna(0, ["output_chars"])
 
 
@@ -419,11 +424,12 @@ def latency_stats(lat: DataFrame, groups: list[str], value: str, order: list[str
 
 
 def printed_sizes(hits: DataFrame, searches: DataFrame, contents: DataFrame) -> DataFrame:
-    """Characters and bytes of each result printed on its own."""
-    joined = hits.join(contents.select("search_id", "rank", "content"), ["search_id", "rank"]).join(
-        searches.select("search_id", "collection"), "search_id")
-    one = logs.render_result(F.lit(1), F.col("score"), F.col("collection"), F.col("document"), F.col("chunk_index"), F.col("content"))
-    return joined.select("search_id", "rank", F.length(one).alias("chars"), F.octet_length(one).alias("bytes"))
+    """Characters and bytes of each result printed on its own: its lines around the content, and the content, which is measured where it
+    is read and does not move."""
+    measured = contents.select("search_id", "rank", F.length("content").alias("_chars"), F.octet_length("content").alias("_bytes"))
+    joined = hits.join(measured.hint("merge"), ["search_id", "rank"]).join(searches.select("search_id", "collection"), "search_id")
+    around = logs.render_result(F.lit(1), F.col("score"), F.col("collection"), F.col("document"), F.col("chunk_index"), F.lit(""))
+    return joined.select("search_id", "rank", (F.length(around) + F.col("_chars")).alias("chars"), (F.octet_length(around) + F.col("_bytes")).alias("bytes"))
 
 
 def size_summary(sizes: DataFrame) -> DataFrame:

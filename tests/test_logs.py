@@ -140,3 +140,39 @@ def test_canary_changes(spark):
     now = spark.createDataFrame([("a", "PASS", 2, 3), ("b", "ERROR", None, None), ("c", "PASS", 2, 3), ("d", "PASS", None, 0), ("n", "PASS", 1, 3)], schema)
     got = {r["name"]: r.change for r in canary.compare_runs(before, now).collect()}
     assert got == {"a": "fixed", "b": "regressed", "c": "rank moved", "d": "unchanged", "n": "new case"}
+
+
+def _listed(spark, n):
+    """Searches with three hits and contents each; the last content of every tenth search is null."""
+    searches = spark.range(n).select(F.format_string("s%03d", "id").alias("search_id"), F.lit("col").alias("collection"))
+    hits = searches.select("search_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")).select(
+        "search_id", "rank", F.lit("dö").alias("document"), F.lit(2).alias("chunk_index"), (1 - F.col("rank") / 8).alias("score"))
+    body = F.when((F.col("rank") == 3) & (F.substring("search_id", 4, 1) == "0"), None).otherwise(F.repeat(F.lit("ö "), 10 * F.col("rank")))
+    return searches, hits, hits.select("search_id", "rank", body.alias("content"))
+
+
+def test_printed_sizes_count_the_text_around_the_content(spark):
+    searches, hits, contents = _listed(spark, 10)
+    around = lambda rank, score: len(f"--- Result {rank} (score: {score}) ---\nCollection: col | Document: dö | Chunk: 2\n\n")
+    whole = {(r.search_id, r.rank): (r.chars, r.bytes) for r in la.printed_sizes(hits, searches, contents).collect()}
+    assert whole["s001", 3] == (around(1, 0.625) + 60, around(1, 0.625) + 1 + 90)
+    assert whole["s000", 3] == (None, None) and len(whole) == 30
+    sums = {r.search_id: r.output_chars for r in la.output_sizes(searches, hits, contents).collect()}
+    scores = {1: 0.875, 2: 0.75, 3: 0.625}
+    assert sums["s001"] == sum(around(r, s) + 20 * r for r, s in scores.items()) + 2
+    assert sums["s000"] == sum(around(r, scores[r]) + 20 * r for r in (1, 2)) + 2
+
+
+def test_contents_are_not_gathered_on_the_driver(spark):
+    """A table of texts looks small to the planner where they are made from short columns; it must not be broadcast, nor texts shuffled for a size."""
+    searches, hits, contents = _listed(spark, 10)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joined = la.hit_contents(hits, contents)
+    assert joined.filter("length(content) = 20 * rank").count() == 29
+    assert "Broadcast" not in plan(joined)
+    shuffled = lambda df: [line for line in plan(df).splitlines() if "Exchange" in line or "Sort [" in line]
+    for df in (la.output_sizes(searches, hits, contents), la.printed_sizes(hits, searches, contents)):
+        text = plan(df)
+        joins = [line for line in text.splitlines() if "Join" in line]
+        assert any("SortMergeJoin" in j and "rank" in j or "pos" in j and "SortMergeJoin" in j for j in joins), joins
+        assert not any("content" in line for line in shuffled(df))
