@@ -229,29 +229,38 @@ def quote_coverage(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """``single``, ``boundary`` or ``missing`` per quote (quote_id, collection, document, chunk_index, quote).
 
     Only chunks of documents with quotes are looked at. A quote meets the chunks that hold its rarest inner word; quotes of one or two
-    words meet all chunks of their document, which are spread where they are many.
+    words meet all chunks of their document, which are spread where they are many. A chunk is repeated only for words that quotes of its
+    document are looked up by, not for every word.
     """
     # The white space pattern carries no state, so normalising both sides once before the join is enough.
     # Quotes, and the chunks of their documents, are made once; both are read several times below.
-    q = heavy.with_anchor(checkpointed(quotes.withColumn("_q", text.normalize_ws(F.col("quote")))), "quote_id", F.split("_q", " "))
-    q = checkpointed(q)
+    q = checkpointed(quotes.select("quote_id", *DOC, "chunk_index", text.normalize_ws(F.col("quote")).alias("_q")))
+    word = F.xxhash64("_anchor").alias("_word")
+    anchored = checkpointed(heavy.with_anchor(q, "quote_id", F.split("_q", " ")).select("quote_id", "_q", *DOC, word))
     sized = checkpointed(chunks.select(*DOC, "chunk_index", "content").join(q.select(*DOC).distinct(), DOC, "left_semi"))
     nxt = sized.select(*DOC, (F.col("chunk_index") - 1).alias("chunk_index"), F.col("content").alias("_after"))
+    # A chunk's own text is the start of the text that its successor ends.
     texts = sized.join(nxt, [*DOC, "chunk_index"], "left").select(
-        *DOC, F.col("chunk_index").alias("_index"), text.normalize_ws(F.col("content")).alias("_one"),
+        *DOC, F.col("chunk_index").alias("_index"), F.length(text.normalize_ws(F.col("content"))).alias("_own"),
         text.normalize_ws(F.concat("content", F.lit(" "), F.coalesce("_after", F.lit("")))).alias("_two"),
         F.col("_after").isNotNull().alias("_followed"),
     )
-    parted = texts.withColumn("_anchor", heavy.every_anchor(F.split("_two", " ")))
-    whole = sized.select(*DOC, F.lit("").alias("_anchor"))
-    on = [*DOC, "_anchor"]
-    held = heavy.spread_join(parted, q.select("quote_id", "_q", *on), on, ["_index"], sketched=whole).groupBy("quote_id").agg(
-        F.min(F.when(F.col("_one").contains(F.col("_q")), F.col("_index"))).alias("single_index"),
+    # Words travel as hashes, without their texts; a text follows only for words that anchor a quote of its document. Equal hashes of
+    # different words propose a text in vain.
+    on = [*DOC, "_word"]
+    of = F.xxhash64(*DOC).alias("_of")
+    every = texts.select(of, "_index", heavy.every_anchor(F.split("_two", " ")).alias("_anchor")).select("_of", "_index", word)
+    named = every.join(anchored.select(of, "_word").distinct(), ["_of", "_word"], "left_semi").distinct()
+    parted = texts.withColumn("_of", of).join(named, ["_of", "_index"]).drop("_of")
+    whole = sized.select(*DOC, F.xxhash64(F.lit("")).alias("_word"))
+    own = F.left("_two", F.col("_own"))
+    held = heavy.spread_join(parted, anchored, on, ["_index"], sketched=whole).groupBy("quote_id").agg(
+        F.min(F.when(own.contains(F.col("_q")), F.col("_index"))).alias("single_index"),
         F.min(F.when(F.col("_followed") & F.col("_two").contains(F.col("_q")), F.col("_index"))).alias("boundary_index"),
     )
     known = sized.select(*DOC).distinct().withColumn("_doc", F.lit(True))
     found = q.select("quote_id", *DOC).join(known, DOC).join(held, "quote_id", "left").select("quote_id", "single_index", "boundary_index", "_doc")
-    joined = q.drop("_anchor").join(found, "quote_id", "left")
+    joined = q.drop("_q").join(found, "quote_id", "left")
     status = F.when(F.col("single_index").isNotNull(), "single").when(
         F.col("boundary_index").isNotNull(), "boundary").otherwise("missing")
     return joined.select(

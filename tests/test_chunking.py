@@ -134,3 +134,18 @@ def test_merged_expansion(spark):
     anchors = spark.createDataFrame([("c", "d", 1, 50, 1), ("c", "d", 2, None, -3)], "collection string, document string, chunk_index int, before int, after int")
     got = chunking.merge_expanded(chunking.expand_anchors(anchors, chunks), ["anchor_index"]).collect()
     assert {(r.anchor_index, r.chunks_returned, r.content) for r in got} == {(1, 3, "one two three\n\nfour"), (2, 1, "four")}
+
+
+def test_chunks_are_not_copied_for_every_word(spark):
+    """Only words that a quote is looked up by take the text of a chunk along."""
+    rows = [("c", "d", i, " ".join(f"w{i}x{j}" for j in range(40)) + "   end") for i in range(6)]
+    chunks = spark.createDataFrame(rows, "collection string, document string, chunk_index int, content string")
+    quotes = spark.createDataFrame(
+        [(1, "c", "d", 2, "w2x3  w2x4 w2x5"), (2, "c", "d", 3, "w3x39 end w4x0"), (3, "c", "d", 1, "w1x7"), (4, "c", "d", 0, "w0x1 no w0x2"), (5, "c", "gone", 0, "w0x1 w0x2 w0x3")],
+        "quote_id long, collection string, document string, chunk_index int, quote string")
+    got = chunking.quote_coverage(quotes, chunks)
+    made = {r.quote_id: (r.status, r.matched_chunk_index, r.index_match, r.doc_found) for r in got.collect()}
+    assert made == {1: ("single", 2, True, True), 2: ("boundary", 3, None, True), 3: ("single", 1, True, True), 4: ("missing", None, None, True), 5: ("missing", None, None, False)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate" in line]
+    assert generated and not any("_two#" in line.split("), [", 1)[-1] for line in generated), generated
