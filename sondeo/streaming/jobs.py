@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sondeo.operators import sync
 from sondeo.operators.loganalytics import EXPAND_WINDOW_US
@@ -36,18 +41,72 @@ def sync_versioned(documents: DataFrame, table: VersionedTable, checkpoint: str,
 
 
 def attribution_candidates(expands: DataFrame, listed: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Stream-stream interval join: expands with the searches that listed their document within the hour before.
+    """Expands with the latest search within the hour before that listed their chunk, and the latest that listed their document.
 
     ``expands`` (expand_id, ts, collection, document, chunk_index), ``listed`` (search_id, ts, collection, document,
-    chunk_index, hit_rank), both streams. Watermarks on both sides bound the state to one hour plus the delay.
-    Unmatched expands appear once the watermark has passed them.
+    chunk_index, hit_rank), both streams. An hour of a bucket of documents is one keyed state; lists are sent to their own hour and the next,
+    so an hour sees all it needs. Its events are looked up in time order: no pair of an expand and an older search is formed, and at most two
+    candidates an expand leave for every batch that brings something newer. The watermark ends the state of an hour.
     """
-    e = expands.select("expand_id", F.col("ts").alias("expand_ts"), F.col("collection").alias("e_collection"), F.col("document").alias("e_document"),
-                       F.col("chunk_index").alias("e_chunk")).withWatermark("expand_ts", delay)
-    s = listed.select("search_id", F.col("ts").alias("search_ts"), "collection", "document", "chunk_index", "hit_rank").withWatermark("search_ts", delay)
-    within = (F.col("search_ts") <= F.col("expand_ts")) & (F.col("expand_ts") <= F.col("search_ts") + F.expr(f"INTERVAL {EXPAND_WINDOW_US // 60_000_000} MINUTES"))
-    joined = e.join(s, (F.col("e_collection") == F.col("collection")) & (F.col("e_document") == F.col("document")) & within, "left_outer")
-    return joined.select("expand_id", "expand_ts", "search_id", "search_ts", "hit_rank", (F.col("e_chunk") == F.col("chunk_index")).alias("exact"))
+    null = lambda kind: F.lit(None).cast(kind)
+    key = [F.col("collection").cast("string").alias("collection"), F.col("document").cast("string").alias("document"), F.col("chunk_index").cast("long").alias("chunk_index")]
+    hour = F.floor(F.unix_micros("ts") / EXPAND_WINDOW_US)
+    e = expands.select("ts", *key, F.col("expand_id"), null("string").alias("search_id"), null("int").alias("hit_rank"), F.array(hour).alias("_hours"))
+    s = listed.select("ts", *key, null("string").alias("expand_id"), "search_id", F.col("hit_rank").cast("int").alias("hit_rank"), F.array(hour, hour + 1).alias("_hours"))
+    # One watermark for both: the union's.
+    events = e.unionByName(s).withWatermark("ts", delay).select("*", F.explode("_hours").alias("_hour")).drop("_hours")
+    placed = events.withColumn("_bucket", F.pmod(F.xxhash64("collection", "document"), F.lit(STATE_BUCKETS)).cast("int"))
+    return placed.groupBy("_hour", "_bucket").applyInPandasWithState(
+        _latest_lists, CANDIDATE, "seen binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Documents are dealt to so many states an hour.
+STATE_BUCKETS = 4
+CANDIDATE = "expand_id string, expand_ts timestamp, search_id string, search_ts timestamp, hit_rank int, exact boolean"
+_EVENT = ["ts", "collection", "document", "chunk_index", "expand_id", "search_id", "hit_rank"]
+
+
+def _latest_lists(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """New expands meet all lists of the hour, expands of earlier batches the new lists only."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    new = pd.concat(list(parts), ignore_index=True)[_EVENT]
+    old = pickle.loads(state.get[0]) if state.exists else new.iloc[:0]
+    both = pd.concat([old, new], ignore_index=True) if len(old) else new
+    is_new, is_list = new["search_id"].notna(), both["search_id"].notna()
+    yield _as_of(new[~is_new], both[is_list])
+    if len(old) and is_new.any():
+        again = _as_of(old[old["search_id"].isna()], new[is_new])
+        yield again[again["search_id"].notna()]
+    if key[0] is None:
+        return
+    state.update((pickle.dumps(both),))
+    end = (int(key[0]) + 1) * EXPAND_WINDOW_US // 1000
+    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+
+def _as_of(expands: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """The latest list of each expand's chunk, if there is one, and of its document, at most an hour old; null where there is none. Of lists of
+    one moment the smallest id and rank count."""
+    e = expands[["expand_id", "ts", "collection", "document", "chunk_index"]].rename(columns={"ts": "expand_ts"})
+    s = lists.rename(columns={"ts": "search_ts"}).drop(columns="expand_id")
+    s = s.dropna(subset=["search_ts", "collection", "document"]).sort_values(["search_ts", "search_id", "hit_rank"])
+    timed = e.dropna(subset=["expand_ts", "collection", "document"]).sort_values("expand_ts")
+    found = []
+    for by, exact in ((["collection", "document", "chunk_index"], True), (["collection", "document"], False)):
+        left, right = (timed.dropna(subset=by), s.dropna(subset=by).drop_duplicates([*by, "search_ts"]))
+        if len(left) and len(right):
+            if "chunk_index" in by:
+                left, right = left.astype({"chunk_index": "int64"}), right.astype({"chunk_index": "int64"})
+            else:
+                right = right.drop(columns="chunk_index")
+            near = pd.merge_asof(left, right, left_on="expand_ts", right_on="search_ts", by=by, tolerance=pd.Timedelta(microseconds=EXPAND_WINDOW_US))
+            found.append(near[near["search_id"].notna()].assign(exact=exact))
+    hit = pd.concat(found, ignore_index=True) if found else e.iloc[:0].assign(search_id=None, search_ts=pd.NaT, hit_rank=None, exact=None)
+    none = e[~e["expand_id"].isin(hit["expand_id"])].assign(search_id=None, search_ts=pd.NaT, hit_rank=None, exact=None)
+    out = pd.concat([x for x in (hit, none) if len(x)], ignore_index=True) if len(hit) or len(none) else hit
+    return out[["expand_id", "expand_ts", "search_id", "search_ts", "hit_rank", "exact"]]
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:
