@@ -251,3 +251,25 @@ def test_sparse_store_of_texts(spark):
     asked = encoders.sparse_encode(q, ["query_id"], "query", 3)
     store = retrieval.kept_store(encoders.sparse_store(c, retrieval.KEY, "content", 3))
     assert _collect(retrieval.sparse_top_k(asked, None, 7, store)) == _collect(retrieval.sparse_top_k(asked, encoders.sparse_encode(c, retrieval.KEY, "content", 3), 7))
+
+
+def test_shards_of_one_large_batch_are_bounded(spark, monkeypatch):
+    """A batch of many long texts is cut by its terms, not only by its rows."""
+    monkeypatch.setattr(postings, "SHARD_TERMS", 100)
+    lists = [["w"] * n for n in (60, 40, 1, 250, 30, 30, 30, 30)] + [None, []]
+    batch = pa.RecordBatch.from_pydict({"_terms": pa.array(lists, pa.list_(pa.string()))})
+    cut = list(postings._portions(batch))
+    assert [(part.num_rows, n) for part, n in cut] == [(2, 100), (1, 1), (1, 250), (3, 90), (3, 30)]
+    assert pa.Table.from_batches([part for part, _ in cut]).column("_terms").to_pylist() == lists
+
+
+def test_only_expected_chunks_that_are_listed_are_shuffled(spark):
+    """The distinct expected rows of a query are never gathered; equal results for both ways of sending the listed ones."""
+    queries = spark.range(20).withColumnRenamed("id", "query_id")
+    expected = queries.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.lit(499)))).select("query_id", F.lit("d").alias("document"), "chunk_index")
+    hits = queries.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("query_id", "rank", F.lit("d").alias("document"), (F.col("rank") * 200).alias("chunk_index"))
+    got = evaluation.rank_metrics(queries, hits, expected, 4)
+    rows = got.collect()
+    assert len(rows) == 20 and all(r.mrr == 1.0 and abs(r.recall - 2 / 500) < 1e-12 for r in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan
