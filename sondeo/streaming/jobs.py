@@ -52,7 +52,7 @@ def attribution_candidates(expands: DataFrame, listed: DataFrame, delay: str = "
     key = [F.col("collection").cast("string").alias("collection"), F.col("document").cast("string").alias("document"), F.col("chunk_index").cast("long").alias("chunk_index")]
     hour = F.floor(F.unix_micros("ts") / EXPAND_WINDOW_US)
     e = expands.select("ts", *key, F.col("expand_id"), null("string").alias("search_id"), null("int").alias("hit_rank"), F.array(hour).alias("_hours"))
-    s = listed.select("ts", *key, null("string").alias("expand_id"), "search_id", F.col("hit_rank").cast("int").alias("hit_rank"), F.array(hour, hour + 1).alias("_hours"))
+    s = listed.filter(F.col("search_id").isNotNull()).select("ts", *key, null("string").alias("expand_id"), "search_id", F.col("hit_rank").cast("int").alias("hit_rank"), F.array(hour, hour + 1).alias("_hours"))
     # One watermark for both: the union's.
     events = e.unionByName(s).withWatermark("ts", delay).select("*", F.explode("_hours").alias("_hour")).drop("_hours")
     placed = events.withColumn("_bucket", F.pmod(F.xxhash64("collection", "document"), F.lit(STATE_BUCKETS)).cast("int"))
@@ -79,7 +79,7 @@ def _latest_lists(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState)
     if len(old) and is_new.any():
         again = _as_of(old[old["search_id"].isna()], new[is_new])
         yield again[again["search_id"].notna()]
-    if key[0] is None:
+    if pd.isna(key[0]):  # events without a time wait for nothing
         return
     state.update((pickle.dumps(both),))
     end = (int(key[0]) + 1) * EXPAND_WINDOW_US // 1000
