@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sondeo.operators import postings
 from sondeo.operators.filters import encoder_input
 from sondeo.operators.retrieval import explode_words, terms
+from sondeo.session import tidy
 
 # Prefixes of stored and asked texts, sparse vocabulary and its active share.
 DOCUMENT_PREFIX = "search_document: "
@@ -19,6 +21,7 @@ QUERY_PREFIX = "Instruct: Given a search query, retrieve relevant passages that
 SPARSE_DIMS = 30522
 MAX_ACTIVE_DIMS = 256
 BATCH = 32
+HANDED_ON = 1024  # vectors that are held before they are handed on, about
 
 
 class HashedTerms:
@@ -41,16 +44,22 @@ def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], lis
 
     Texts go in whole. ``limited`` is for an encoder with an input limit: they are cut to `filters.encoder_input`'s."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    some = -(-HANDED_ON // batch) * batch
+
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load()
         for part in parts:
-            texts = part.tolist()
-            vectors: list = []
-            for start in range(0, len(texts), batch):
-                vectors.extend(encoder(texts[start:start + batch]))
-            yield pd.Series(vectors)
+            for first in range(0, len(part), some):
+                end = min(first + some, len(part))
+                vectors = (encoder(part.slice(i, min(batch, end - i)).to_pylist()) for i in range(first, end, batch))
+                yield pa.concat_arrays([pa.array(v, pa.list_(pa.float32()), from_pandas=True) for v in vectors])
+
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(encode)(parts)
 
+    # Not to be repeated: a filter on the vectors would else be moved below and encode every text a second time.
+    run = run.asNondeterministic()
     return df.withColumn("embedding", run(encoder_input(F.col(text), prefix) if limited else F.concat(F.lit(prefix), F.col(text))))
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import statistics
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sondeo.functions import text
@@ -149,3 +150,18 @@ def test_chunks_are_not_copied_for_every_word(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     generated = [line for line in plan.splitlines() if "Generate" in line]
     assert generated and not any("_two#" in line.split("), [", 1)[-1] for line in generated), generated
+
+
+def test_texts_are_cut_once_behind_the_join(spark):
+    """No filter on the chunks is moved below the join, where it would cut the texts that the join drops."""
+    docs = spark.createDataFrame([("c", f"d{i}", "aa bb cc dd") for i in range(20)], "collection string, document string, content string")
+    cut = chunking.chunk_documents(docs.repartition(2).join(docs.filter("document = 'd3'").select("document"), "document", "left_semi"), 6, 0)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.chunk_index, r.content, r.total_chunks) for r in cut.collect()) == [(0, "aa bb", 2), (1, "cc dd", 2)]
+
+
+def test_batches_are_cut_in_slices():
+    texts = pa.array(["x" * 60, "y" * 50, None, "", "z" * 500, "u", "v"])
+    cut = list(chunking.slices(texts.slice(0), 100))
+    assert [len(c) for c in cut] == [2, 3, 2] and pa.concat_arrays(cut).equals(texts)
+    assert list(chunking.slices(texts.slice(0, 0), 100)) == []
