@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -273,3 +274,75 @@ def test_only_expected_chunks_that_are_listed_are_shuffled(spark):
     assert len(rows) == 20 and all(r.mrr == 1.0 and abs(r.recall - 2 / 500) < 1e-12 for r in rows)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi, BuildRight" in plan
+
+
+def _ranked_block(qv, cv, k, batch=500):
+    n = len(qv)
+    asked = pa.table({"query_id": pa.array(range(n), pa.int64()), "embedding": pa.array(list(qv), pa.list_(pa.float64())), **{f: pa.nulls(n, pa.string()) for f in retrieval.FILTERS}})
+    rows = pa.table({"collection": ["c"] * len(cv), "document": [f"d{i:06d}" for i in range(len(cv))], "chunk_index": pa.array([0] * len(cv), pa.int32()), "embedding": pa.array(list(cv), pa.list_(pa.float32()))})
+    block, batches = retrieval._QueryBlock(asked, [None]), rows.to_batches(max_chunksize=batch)
+    tracemalloc.start()
+    out = pa.Table.from_batches(block.best(iter(batches), k))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for q, d, s in zip(*(out.column(c).to_pylist() for c in ("query_id", "document", "raw"))):
+        got.setdefault(q, []).append((-s, int(d[1:])))
+    return {q: sorted(x) for q, x in got.items()}, peak
+
+
+def test_lists_of_many_queries_are_held_in_arrays(monkeypatch):
+    """2,000 lists of 50 take some MB, not an object for each entry; equal to all scores sorted."""
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 2**15)
+    monkeypatch.setattr(retrieval, "SPARE_KEYS", 100)
+    r = np.random.default_rng(3)
+    qv, cv = r.normal(size=(2000, 8)), r.normal(size=(3000, 8)).astype(np.float32)
+    got, peak = _ranked_block(qv, cv, 50)
+    unit = cv.astype(float) / np.linalg.norm(cv.astype(float), axis=1, keepdims=True)
+    for q in range(0, 2000, 191):
+        scores = np.round(unit @ (qv[q] / np.linalg.norm(qv[q])), 9)
+        assert [i for _, i in got[q]] == np.lexsort((np.arange(3000), -scores))[:50].tolist()
+    assert peak < 16e6
+
+
+def test_many_copies_keep_the_first_keys():
+    r = np.random.default_rng(5)
+    base = r.normal(size=(3, 8))
+    got, _ = _ranked_block(base, np.repeat(base, 2000, axis=0).astype(np.float32), 10)
+    assert {q: [i for _, i in x] for q, x in got.items()} == {q: list(range(2000 * q, 2000 * q + 10)) for q in range(3)}
+
+
+def test_modes_search_each_list_once(spark):
+    """What is fused and reranked is read from the lists, not searched for again."""
+    _, _, q, c = _frames(spark)
+    lists = {"dense": retrieval.dense_top_k(q, c, 7), "sparse": retrieval.dense_top_k(q, c, 5)}
+    score = lambda h: h.withColumn("relevance", F.col("rank") / 7)
+    cells = modes.grid({"mode": ["dense", "cc+rerank"]}, {"top_k": 3, "alpha": 0.8, "rrf_k": 60, "score_threshold": 0.0, "rerank_candidates": 5})
+    for hits in (modes.mode_table(["dense", "hybrid", "cc+rerank"], lists, 5, score_pairs=score), modes.sweep(lists, cells, score)):
+        assert "MapInArrow" not in hits._jdf.queryExecution().executedPlan().toString() and hits.count() > 0
+
+
+def test_well_filled_lists_are_searched_by_a_matrix(monkeypatch):
+    """The same chunks and scores as list by list; terms of negative weight are left to the lists."""
+    r = np.random.default_rng(7)
+    table = pa.table({"document": [f"d{i:04d}" for i in range(900)], "_terms": pa.array([sorted(r.choice(20, 6, replace=False).tolist()) for _ in range(900)], pa.list_(pa.int32())),
+                      "_weights": pa.array([r.choice([0.25, 0.5, 1.0], 6).tolist() for _ in range(900)], pa.list_(pa.float64()))})
+    rows = pa.Table.from_batches(list(postings._inverted(table, ["document"], 0, None)))
+    rows = rows.append_column("queries", pa.array([[]] * rows.num_rows, pa.list_(pa.int64())))
+    shard = postings.Shard(rows, None)
+    assert shard.filled()
+    monkeypatch.setattr(postings, "SCORE_CELLS", 2000)
+    asked = [([1, 2, 3], [0.5, 0.25, 1.0]), ([7], [1.0]), ([0, 19], [1.0, 1.0])]
+    for (terms, factors), (found, scores) in zip(asked, shard.with_any_of(asked, 10)):
+        want, expected = shard.with_any(terms, factors, 10)
+        order = np.lexsort((want, -expected))[:10]
+        assert found.tolist() == want[order].tolist() and scores.tolist() == expected[order].tolist()
+    later = []
+    shard.best({"query_id": 1, "n_terms": 0, "terms": [{"term": 1, "weight": -1.0}]}, 10, False, later)
+    assert not later
+
+
+def test_vectors_are_encoded_once(spark):
+    df = encoders.embed(spark.createDataFrame([("a b",), ("c",)], "t string"), "t", encoders.HashedTerms)
+    kept = df.filter(F.exists("embedding", lambda v: v > 0))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and kept.count() == 2
