@@ -533,3 +533,15 @@ def test_pipeline(spark):
     vocab = unigram.Vocabulary(queries.PIECES)
     assert all(r.exact for r in out) and sorted((r.doc_id, r.ids) for r in out) == sorted((r.doc_id, vocab.encode(r.text)) for r in kept.collect())
     assert corpus_pipeline.run(spark, SF).count() == len(out)
+
+
+def test_plain_text_replaces_literals_and_puts_no_space_back(spark):
+    odd = [" a  b ", "a\t b\f\r\nc", "a \n \n b\n", "a \u2028", "a\n\u0085", "&amp;lt;&amp;amp;nbsp;", "x&#39;&quot;&nbsp;y", "<p>1 &lt; 2</p>\n<br> 3", "$1 \\ &gt;", "", None]
+    given = spark.createDataFrame([(x,) for x in odd], "html string")
+    one_by_one = F.col("html")
+    for pattern, place in warc.TO_TEXT:
+        one_by_one = F.regexp_replace(one_by_one, pattern, place)
+    found = given.select("html", one_by_one.alias("told"), warc.plain_text(F.col("html")).alias("made"))
+    assert all(r.told == r.made for r in found.collect())
+    plan = given.select(warc.plain_text(F.col("html")).alias("made"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 8
