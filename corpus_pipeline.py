@@ -34,8 +34,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's ids, and whether they decode to its text."""
-    found = piece_scan.round_trip(piece_scan.encode(docs, PIECES), PIECES)
+    """Each row's ids, and whether they decode to its text. The ids are written and read back before they are decoded: in one stage,
+    every core would keep a worker for each of the two functions."""
+    path = new_folder(spark, "encoded")
+    piece_scan.encode(docs, PIECES).write.parquet(path)
+    found = piece_scan.round_trip(spark.read.parquet(path), PIECES)
     return found.select("doc_id", "ids", "n_tokens", "ids_crc32", (F.col("text_crc32") == F.col("source_crc32")).alias("exact"))
 
 

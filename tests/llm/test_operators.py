@@ -545,3 +545,12 @@ def test_plain_text_replaces_literals_and_puts_no_space_back(spark):
     assert all(r.told == r.made for r in found.collect())
     plan = given.select(warc.plain_text(F.col("html")).alias("made"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 8
+
+
+def test_pipeline_encodes_and_decodes_in_stages_of_their_own(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some text"), (None, ""), (3, None), (3, "x y")], "doc_id long, text string")
+    out = corpus_pipeline.encoding(spark, docs, SF)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id or 0, r.n_tokens > 0, r.exact) for r in out.collect()) == [(0, False, True), (1, True, True), (3, False, True), (3, True, True)]
