@@ -554,3 +554,19 @@ def test_pipeline_encodes_and_decodes_in_stages_of_their_own(spark):
     out = corpus_pipeline.encoding(spark, docs, SF)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted((r.doc_id or 0, r.n_tokens > 0, r.exact) for r in out.collect()) == [(0, False, True), (1, True, True), (3, False, True), (3, True, True)]
+
+
+def test_carried_texts_are_sent_once(spark, docs, none):
+    """Rows that come along hold the text; it is not sent a second time beside them, whatever the case of the names."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(TEXTS))], "doc_id long, quality int")
+    forest, model = boosted_rules.fit(docs, labels), vote_classifier.fit(docs, labels)
+    for run in (lambda d, **k: boosted_rules.quality_rules(d, forest, **k), lambda d, **k: vote_classifier.classify(d, model, **k)):
+        out = run(docs, id_col="DOC_ID", text_col="Text", carry="c")
+        node = out._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "MapInArrow":
+            node = node.children().head()
+        assert node.children().head().output().size() == 1
+        plain, rows = {r.doc_id: r for r in run(docs).collect()}, out.collect()
+        assert sorted((r.c.doc_id, r.c.text or "") for r in rows) == [(k, t or "") for k, t in enumerate(TEXTS)]
+        assert all(r.DOC_ID == r.c.doc_id and r.score == pytest.approx(plain[r.c.doc_id].score, abs=1e-6) for r in rows)
+        assert run(none, carry="c").count() == 0
