@@ -412,6 +412,20 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read_dataset(spark, f"{path}0", queries.BYTE_BPE).count() == 0
 
 
+def test_ids_in_between_are_packed_beside_a_sample(spark, tmp_path):
+    """Short documents with phrases in common, a few words of their own each; what waits on disk is well below the ids' own size."""
+    random = np.random.RandomState(8)
+    phrases = [" ".join("".join(chr(97 + c) for c in random.randint(0, 26, 5)) for _ in range(12)) for _ in range(60)]
+    texts = [" ".join(phrases[k] for k in random.randint(0, 60, 4)) + f" {k}" for k in range(600)]
+    path = str(tmp_path / "d")
+    token_files.write_dataset(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), path, queries.BYTE_BPE)
+    packed = spark.read.parquet(f"{path}/encoded").agg(F.sum(F.octet_length("ids")), F.sum("n")).first()
+    assert packed[0] < 0.25 * 2 * packed[1]
+    sums = {r.id: r.crc32 for r in token_files.read_dataset(spark, path, queries.BYTE_BPE, digest=True).collect()}
+    encoder = unit_ids.ByteUnits(queries.BYTE_BPE, False)
+    assert sums == {k: zlib.crc32(np.append(encoder.encode([t])[0], 0).astype("<u4")) for k, t in enumerate(texts)}
+
+
 def test_changed_offsets_fail_the_read(spark, docs, tmp_path):
     path = str(tmp_path / "d")
     token_files.write_dataset(docs, path, queries.BYTE_BPE, file_ids=500)
