@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -62,6 +63,29 @@ def test_pieces_equal_the_library(monkeypatch):
         assert fair.tolist() == [s == b" " + t.encode() for s, t in zip(spelled, some)]
 
 
+@pytest.mark.parametrize("kind, given", [(unit_ids.ByteUnits, ("byte_bpe_50k.json", True)), (unit_ids.PieceUnits, ("piece_bpe_32k.model",))])
+def test_new_units_are_learnt_a_few_at_a_time(kind, given, monkeypatch):
+    whole, few = (kind(public_tokenizers.path(given[0]), *given[1:]) for _ in range(2))
+    texts = [" " + t for t in MIXED if t]
+    expected, sizes, ids_of = whole.encode(texts), [], few.ids_of
+    monkeypatch.setattr(unit_ids, "LEARNT_UNITS", 7)
+    monkeypatch.setattr(few, "ids_of", lambda units: sizes.append(len(units)) or ids_of(units))
+    for _ in range(2):
+        assert all((x == y).all() for x, y in zip(few.encode(texts), expected, strict=True))
+    assert len(sizes) > 7 and max(sizes) == 7 and sum(sizes) == len(few.first) == len(whole.first)
+
+
+def test_a_block_of_alignments_needs_little_memory():
+    aligner = token_alignment.Aligner(queries.BYTE_BPE, queries.PIECES)
+    text = [" ".join(RANDOM.choice(["some", "words", "of", "every", "sort", str(k)]) for k in range(400)) for _ in range(400)]
+    found = aligner.align(text)
+    tracemalloc.start()
+    aligner.written(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 56 * (len(found["a"]) + len(found["b"]))
+
+
 def test_merge_pieces_find_all_common_ends():
     for _ in range(200):
         a, b = (np.array(sorted(RANDOM.sample(range(1, 60), RANDOM.randint(0, 40)))) for _ in range(2))
