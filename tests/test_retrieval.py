@@ -168,6 +168,54 @@ def test_snippets_ignore_letter_case(spark):
     assert {(r.pos, r.rank, r.found) for r in evaluation.snippet_match(quotes, hits).collect()} == {(0, 2, True), (1, None, False)}
 
 
+@pytest.mark.parametrize("sent, rows", [(evaluation.MAX_SENT_BYTES, evaluation.PACKED_ROWS), (600, 5)])
+def test_quotes_meet_the_lists_of_all_cells_at_once(spark, monkeypatch, sent, rows):
+    """Against plain Python: repeated, far and null positions, null and empty quotes, texts side by side, cells without lists, more cells than a word has bits."""
+    monkeypatch.setattr(evaluation, "MAX_SENT_BYTES", sent)
+    monkeypatch.setattr(evaluation, "PACKED_ROWS", rows)
+    r, cells = random.Random(11), 70
+    text = lambda n: "".join(r.choice("aBä") for _ in range(r.randint(0, n)))
+    hits = [(r.randrange(0, cells, 3), q, rank, text(6)) for q in range(6) for rank in range(1, 9)]
+    hits += [hits[0], (3, 0, 9, None), (3, None, 1, "ab"), (6, 9, 1, "unasked"), (9, 1, None, "zz")]
+    place = lambda: r.choice([None, -3, 0, 1, 2, 2**20 - 1, 2**20, 2**20 + 1, 2**40 + 5, *range(10, 30)])
+    quotes = [(q, place(), r.choice([None, "", text(3), text(3)])) for q in (0, 1, 2, 3, 4, 7) for _ in range(40)] + [(1, 500, "zZ")]
+    listed = spark.createDataFrame([(c, q, k, f"t{i}", t) for i, (c, q, k, t) in enumerate(hits)], "cell long, query_id long, rank int, document string, content string")
+    asked = spark.createDataFrame(quotes, "query_id long, pos long, quote string")
+    matches = evaluation.snippet_match(asked, listed, ["cell", "query_id"], cells)
+    ranks = {}
+    for c, q, k, t in hits:
+        if t is not None and k is not None:
+            ranks.setdefault((q, t.lower()), set()).add((c, k))
+    at = lambda q, quote: sorted(p for (x, t), found in ranks.items() if x == q and quote is not None and quote.lower() in t for p in found)
+    got = [(m.query_id, m.pos, sorted((p >> evaluation.RANK_BITS, p & (2**evaluation.RANK_BITS - 1)) for p in m.places)) for m in matches.collect()]
+    assert sorted(got, key=str) == sorted([(q, p, at(q, quote)) for q, p, quote in quotes], key=str)
+    share = {(m.cell, m.query_id): m.share for m in evaluation.found_share(matches, "share", ["cell", "query_id"], cells).collect()}
+    each = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumn("cell", F.col("cell").cast("long"))
+    plain = evaluation.found_share(evaluation.snippet_match(each, listed, ["cell", "query_id"]), "share", ["cell", "query_id"]).collect()
+    assert len(plain) == 6 * cells and share == {(m.cell, m.query_id): m.share for m in plain}
+
+
+def test_shares_of_cells_without_quotes_or_lists(spark):
+    hits = spark.createDataFrame([], "cell long, query_id long, rank int, content string")
+    quotes = spark.createDataFrame([(1, 0, "a")], "query_id long, pos long, quote string")
+    share = lambda q: sorted(map(tuple, evaluation.found_share(evaluation.snippet_match(q, hits, cells=2), "share", cells=2).collect()))
+    assert share(quotes) == [(0, 1, 0.0), (1, 1, 0.0)] and share(quotes.limit(0)) == []
+
+
+def test_sweep_fuses_once_for_each_value(spark, monkeypatch):
+    """Cells of other depths share a fused list; each equals the mode run alone."""
+    _, _, q, c = _frames(spark)
+    lists = {"dense": retrieval.dense_top_k(q, c, 9), "sparse": retrieval.dense_top_k(q, c.filter("chunk_index % 2 = 0"), 6)}
+    cells = modes.grid({"mode": ["hybrid", "cc"], "top_k": [2, 5], "alpha": [0.5, 0.8], "rrf_k": [60]}, {"score_threshold": 0.0})
+    alone = {x["cell"]: sorted(map(tuple, modes.retrieve(x["mode"], lists, x["top_k"], x["alpha"], x["rrf_k"]).collect())) for x in cells}
+    fused = []
+    for name in ("reciprocal_rank", "convex"):
+        monkeypatch.setattr(fusion, name, lambda dense, *given, f=getattr(fusion, name): fused.append(dense.count()) or f(dense, *given))
+    hits = modes.sweep(lists, cells).collect()
+    assert {k: sorted((h.query_id, h.rank, h.collection, h.document, h.chunk_index, h.score) for h in hits if h.cell == k) for k in alone} == alone
+    assert fused == [9 * 9, 2 * 9 * 9]
+
+
 def test_encoder_batches_and_prefix(spark):
     seen = []
 
