@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sondeo.catalog import evaluation as catalog
 from sondeo.models import encoders
 from sondeo.operators import evaluation, fusion, postings, retrieval
 from sondeo.plans import modes
@@ -216,6 +217,30 @@ def test_sweep_fuses_once_for_each_value(spark, monkeypatch):
     assert fused == [9 * 9, 2 * 9 * 9]
 
 
+def test_rows_get_the_number_of_their_cell(spark):
+    rows = spark.createDataFrame([("dense", 8, 1), ("hybrid", 64, 2), ("dense", 9, 3), (None, 8, 4)], "mode string, dim int, query_id long")
+    cells = modes.grid({"mode": ["dense", "hybrid"], "dim": [8, 64]}, {})
+    assert sorted((r.cell, r.query_id) for r in modes.numbered(rows, cells, ["mode", "dim"]).collect()) == [(0, 1), (3, 2)]
+
+
+def test_dimension_sweep_takes_each_quote_once(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 0.125) for _ in range(64)], i % 3) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    given, plain = [], evaluation.snippet_match
+    monkeypatch.setattr(evaluation, "snippet_match", lambda quotes, *rest: given.append(quotes.count()) or plain(quotes, *rest))
+    got = {(x.mode, x.dim): x for x in catalog.r10c(spark, str(tmp_path)).collect()}
+    keys, cells = ["mode", "dim", "query_id"], modes.grid({"mode": ["dense", "hybrid"], "dim": catalog.DIMS}, {})
+    each = modes.with_cells(catalog.quotes(spark, str(tmp_path)), cells, ["mode", "dim"]).withColumn("dim", F.col("dim").cast("int"))
+    hits = catalog.with_content(spark, str(tmp_path), catalog.dimension_hits(spark, str(tmp_path)))
+    shares = evaluation.found_share(plain(each, hits, keys), "snippet_recall", keys).collect()
+    assert given == [catalog.quotes(spark, str(tmp_path)).count()] and len(got) == 8
+    for (mode, dim), x in got.items():
+        mine = [s.snippet_recall for s in shares if (s.mode, s.dim) == (mode, dim)]
+        assert len(mine) == x.queries and abs(sum(mine) / len(mine) - x.snippet_recall) < 1e-6
+        assert (x.full_snippet_match, x.zero_snippet_match) == (mine.count(1.0), mine.count(0.0))
+
+
 def test_encoder_batches_and_prefix(spark):
     seen = []
 
